@@ -38,7 +38,7 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]):
         n = self.n = len(keys)
-        self.nb = max(1, n // 4)
+        self.nb = max(1, n // 2)
         self.disp = np.zeros(self.nb, np.int64)
         self.slot_of_key = np.zeros(n, np.int64)
         hashes = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, n)
