@@ -7,7 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import table
+from lucerna.llm.common import crc_mod, table
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lucerna.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = language.train(docs.where(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def _scored(spark: SparkSession, sf_dir: str, label: str, held_out, learn, score, bound: int, least: float) -> DataFrame:
+    from lucerna.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    sample = toxicity.labelled(docs, table(spark, sf_dir, "labels"), label, lambda i: ~held_out(i), bound)
+    out = score(docs, learn(sample))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lucerna.llm import quality
+
+    return _scored(spark, sf_dir, "quality", lambda i: crc_mod(i, 4) == 2, quality.fit, quality.score, quality.SAMPLE, 0.7)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lucerna.llm import toxicity
+
+    def learn(sample: DataFrame) -> toxicity.Model:
+        return toxicity.fit(sorted((r[0], (r[1] or "").encode(), r[2]) for r in sample.collect()))
+
+    return _scored(spark, sf_dir, "toxic", lambda i: crc_mod(i, 5) == 0, learn, toxicity.score, toxicity.SAMPLE, 0.5)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +68,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
 }
