@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import crc_mod, table
+from lucerna.llm.common import Scratch, crc_mod, table
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lucerna.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def _scored(spark: SparkSession, sf_dir: str, label: str, held_out, learn, score, bound: int, least: float) -> DataFrame:
     from lucerna.llm import toxicity
 
@@ -69,6 +76,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,

@@ -32,7 +32,7 @@ from lucerna.llm.common import bytes_of
 
 #: At most about so many labelled rows of each class are learned from (an expected size: rows are picked by a hash).
 SAMPLE = 3000
-SIZES = {"toxic": 1024, "ordinary": 1024}
+SIZES = {"toxic": 1024, "ordinary": 4096}
 STEPS = (3, 4, 5, 6, 7, 8, 9, 10, 12)
 REMEMBERED = 600_000
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -153,7 +153,7 @@ def fit(rows: list[tuple[object, bytes, int]]) -> Model:
         m.weights[0] = math.log(share / (1 - share))
         return m
     best = None
-    for least in (5.0, 8.0, 12.0):
+    for least in (7.0, 9.0):
         m = Model(train(counts[1], counts[0], n[1], n[0], SIZES["toxic"], least), train(counts[0], counts[1], n[0], n[1], SIZES["ordinary"], -1e9))
         x = np.stack([m.features(r[1]) for r in rest])
         m.weights = calibrate(x, y)
