@@ -74,6 +74,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lucerna.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lucerna.llm.embedding import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op3_simhash": op3_simhash,
@@ -81,6 +93,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
+    "op8_topk": op8_topk,
+    "op10_embedding": op10_embedding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP8_SQL = """
+WITH sound AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_topk": OP8_SQL}
