@@ -60,11 +60,13 @@ def count_units(df: DataFrame) -> DataFrame:
                     by.setdefault(lang, Counter()).update(words(text))
                 out: Counter = Counter()
                 for lang, found in by.items():
+                    levels = [found, *(Counter() for _ in range(LONGEST))]
                     for w, k in found.items():
-                        out[lang, 0, w] += k
                         for n in range(1, LONGEST + 1):
+                            level = levels[n]
                             for g in grams(w, n):
-                                out[lang, n, g] += k
+                                level[g] += k
+                    out.update({(lang, n, u): k for n, level in enumerate(levels) for u, k in level.items()})
                 if out:
                     keys = list(out)
                     yield pa.record_batch([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys]), pa.array(list(out.values()), pa.int64())], names=["lang", "n", "unit", "count"])
@@ -74,14 +76,17 @@ def count_units(df: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies of units by language; a table of words grows as texts are read, within a bound."""
+    """Log frequencies of units by language; a table of words grows as texts are read, within a bound.
 
-    def __init__(self, langs: list[str], units: list[dict[str, np.ndarray]]):
-        self.langs, self.units = langs, units
+    ``units`` holds, for words (0) and for n-grams by length, each unit's row in ``logs``.
+    """
+
+    def __init__(self, langs: list[str], units: list[dict[str, int]], logs: np.ndarray):
+        self.langs, self.units, self.logs = langs, units, logs
         self._fresh()
 
     def __getstate__(self):
-        return self.langs, self.units
+        return self.langs, self.units, self.logs
 
     def __setstate__(self, x):
         self.__init__(*x)
@@ -90,31 +95,48 @@ class Model:
         self.row: dict[str, int] = {}
         self.rows = np.zeros((1 << 14, max(1, len(self.langs))), np.float32)
 
-    def _backoff(self, word: str) -> np.ndarray | float:
-        found = self.units[0].get(word)
-        if found is not None:
-            return found
-        for n in range(LONGEST, 0, -1):
-            known = [v for g in grams(word, n) if (v := self.units[n].get(g)) is not None]
+    def _units_of(self, word: str) -> list[int]:
+        """The rows that score a word: its own, or those of its longest known n-grams."""
+        at = self.units[0].get(word)
+        if at is not None:
+            return [at]
+        s = f"_{word}_"
+        for n in range(LONGEST, 1, -1):
+            get = self.units[n].get
+            known = [i for k in range(len(s) - n + 1) if (i := get(s[k : k + n])) is not None]
             if known:
-                return sum(known) / len(known)
-        return 0.0
+                return known
+        get = self.units[1].get
+        return [i for c in word if (i := get(c)) is not None]
+
+    def _learn(self, new: list[str]) -> None:
+        flat: list[int] = []
+        ends = []
+        for w in new:
+            flat += self._units_of(w)
+            ends.append(len(flat))
+        at, to = len(self.row), len(self.row) + len(new)
+        while to > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        total = np.concatenate([np.zeros((1, self.rows.shape[1])), self.logs[flat].cumsum(0, dtype=np.float64)])
+        ends = np.array(ends)
+        starts = np.append(0, ends[:-1])
+        self.rows[at:to] = (total[ends] - total[starts]) / np.maximum(ends - starts, 1)[:, None]
+        self.row.update(zip(new, range(at, to)))
 
     def scores(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         if len(self.row) > REMEMBERED:
             self._fresh()
-        for text in texts:
-            found = words(text)
+        cut = [words(t) for t in texts]
+        new = [w for w in dict.fromkeys(w for c in cut for w in c) if w not in self.row] if self.langs else []
+        if new:
+            self._learn(new)
+        for found in cut:
             if not self.langs or not has_letter(found):
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            for w in {w for w in found if w not in self.row}:
-                at = self.row[w] = len(self.row)
-                if at == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[at] = self._backoff(w)
             total = self.rows[np.fromiter(map(self.row.__getitem__, found), np.int64, len(found))].sum(0, dtype=np.float64)
             total *= min(len(found), EVIDENCE) / len(found)
             p = np.exp(total - total.max())
@@ -141,17 +163,20 @@ def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     kept = units.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= KEPT).drop("rank").toPandas()
     langs = sorted(set(kept["lang"]))
     at = {lang: i for i, lang in enumerate(langs)}
-    out: list[dict[str, np.ndarray]] = []
+    units: list[dict[str, int]] = []
+    logs = [np.zeros((0, max(1, len(langs))), np.float32)]
     for n in range(LONGEST + 1):
         part = kept[kept["n"] == n]
         index = {u: i for i, u in enumerate(dict.fromkeys(part["unit"]))}
-        m = np.zeros((len(index), len(langs)))
+        m = np.zeros((len(index), max(1, len(langs))))
         m[[index[u] for u in part["unit"]], [at[x] for x in part["lang"]]] = part["count"]
-        logs = np.log((m + 0.5) / (m.sum(0) + 0.5 * max(1, len(index)))) if len(index) else m
-        if len(index):
-            logs -= logs.mean(1, keepdims=True)
-        out.append({u: logs[i].astype(np.float32) for u, i in index.items()})
-    return Model(langs, out)
+        first = sum(map(len, logs))
+        if index:
+            m = np.log((m + 0.5) / (m.sum(0) + 0.5 * len(index)))
+            m -= m.mean(1, keepdims=True)
+        logs.append(m.astype(np.float32))
+        units.append({u: first + i for u, i in index.items()})
+    return Model(langs, units, np.concatenate(logs))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
