@@ -80,6 +80,14 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lucerna.llm.suffix import repeated_spans
+
+    out = repeated_spans(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    removed = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("begins").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lucerna.llm.embedding import near_duplicates
 
@@ -94,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
     "op8_topk": op8_topk,
+    "op9_suffix": op9_suffix,
     "op10_embedding": op10_embedding,
 }
 
