@@ -198,3 +198,17 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.record_batch([b.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def keep(df: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with their columns, whose text has a language with at least that score."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for whole in batches:
+            for b in slices(whole, text_col):
+                langs, scores = m.scores(texts_of(b.column(b.schema.get_field_index(text_col))))
+                yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

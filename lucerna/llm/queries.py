@@ -19,6 +19,15 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lucerna.llm.lines import drop_lines, repeated_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = drop_lines(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1))), repeated_lines(docs, Scratch(spark, "op2")))
+    kept = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1)))
+    return out.select("doc_id", "n_lines", kept.alias("n_kept"), F.octet_length("text").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lucerna.llm.simhash import near_duplicates
 
@@ -96,6 +105,7 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_lines": op2_lines,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
