@@ -1,6 +1,8 @@
-"""Every registered query of the evidence engine, with its SQL counterpart."""
+"""Every registered query of the evidence engine, each with its SQL counterpart where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lucerna.plans import evidence, relational, state
+
+QUERIES: dict = {**evidence.QUERIES, **state.QUERIES, **relational.QUERIES}
+ORACLE_SQL: dict = {**evidence.ORACLE_SQL, **state.ORACLE_SQL, **relational.ORACLE_SQL}

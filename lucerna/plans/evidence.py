@@ -1,0 +1,386 @@
+"""Queries over pages, documents and questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lucerna.functions import scoring, texts, urls
+from lucerna.operators import dedup, discovery, extraction, grading, matching, retrieval
+from lucerna.plans.registry import registry
+from lucerna.sources.readers import table
+
+QUERIES, ORACLE_SQL, query = registry()
+
+# SQL macros over a column ``url``: host, path and query string of the tables' URLs.
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), ':[0-9]*$', '')"
+_PATH = r"CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END"
+_QUERY = r"regexp_extract(url, '^[^?#]*[?]([^#]*)', 1)"
+_KEPT = rf"array_to_string(list_filter(string_split({_QUERY}, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_.+|gclid|dclid|fbclid|igshid|msclkid|ttclid|yclid|mc_[a-z]+)(=.*)?$', 'i')), '&')"
+_TOKENS = r"""list_filter(list_sort(list_distinct(list_transform(list_concat(
+    regexp_extract_all(text, '[\p{L}\p{N}_]+'), regexp_extract_all(text, '[\p{L}\p{N}_./:+#\-]{2,}')), lambda x: lower(x)))), lambda x: length(x) > 1)"""
+_LEXICAL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query("url_strip_trackers", rf"""
+    SELECT page_id, regexp_extract(url, '^[^?#]*') || CASE WHEN k <> '' THEN '?' || k ELSE '' END AS clean_url FROM (SELECT page_id, url, {_KEPT} AS k FROM pages)""")
+def url_strip_trackers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", urls.strip_trackers(F.col("url")).alias("clean_url"))
+
+
+@query("url_canonical", rf"""
+    SELECT page_id, regexp_extract(url, '^[a-z]+') || '://' || {_HOST} || CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END || CASE WHEN k <> '' THEN '?' || k ELSE '' END AS canonical_url
+    FROM (SELECT page_id, url, {_PATH} AS p, {_KEPT} AS k FROM pages)""")
+def url_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical_url"))
+
+
+@query("url_host_site", rf"""
+    SELECT host, site, CAST(count(*) AS BIGINT) AS n_pages FROM (
+        SELECT host, CASE WHEN len(l) <= 2 THEN array_to_string(l, '.') WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'github.io', 'com.au', 'co.jp') THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS site
+        FROM (SELECT {_HOST} AS host, string_split(regexp_replace({_HOST}, '^www[.]', ''), '.') AS l FROM pages)) GROUP BY host, site""")
+def url_host_site(spark: SparkSession, d: str) -> DataFrame:
+    hosts = table(spark, d, "pages").select(urls.host(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("n_pages"))
+    return hosts.select("host", urls.site(F.col("host")).alias("site"), "n_pages")
+
+
+#: Addresses of every policy class; some are public.
+POLICY_CASES = (
+    "ftp://a.example/x", "https://u:p@a.example/", "http://localhost/", "http://printer.local/", "http://metadata/", "http://127.0.0.1/", "http://10.2.3.4/",
+    "http://172.16.0.9/", "http://172.32.0.9/", "http://192.168.7.7/", "http://169.254.1.1/", "http://100.64.0.1/", "http://100.63.0.1/", "http://198.51.1.1/",
+    "http://203.0.113.9/", "http://8.8.8.8/", "http://224.0.0.1/", "http://0.0.0.0/", "http://a.example:99999/", "http://a.example:8080/x",
+)
+_CASES = ", ".join(f"('{u}')" for u in POLICY_CASES)
+
+
+@query("url_policy_reason", rf"""
+    WITH u AS (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES {_CASES}) AS v(url)),
+    p AS (SELECT url, regexp_extract(url, '^[a-z]+') AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS authority, {_HOST} AS host FROM u),
+    q AS (SELECT *, CASE WHEN regexp_matches(host, '^[0-9]+([.][0-9]+){{3}}$') THEN list_transform(string_split(host, '.'), lambda x: CAST(x AS INTEGER)) END AS o, TRY_CAST(regexp_extract(authority, ':([0-9]+)$', 1) AS INTEGER) AS port FROM p)
+    SELECT url, CASE WHEN scheme NOT IN ('http', 'https') THEN 'non_http_scheme' WHEN contains(authority, '@') THEN 'embedded_credentials' WHEN port < 1 OR port > 65535 THEN 'invalid_port'
+        WHEN host = 'localhost' OR host LIKE '%.localhost' OR host LIKE '%.local' OR host IN ('metadata.google.internal', 'metadata', 'instance-data') THEN 'local_hostname'
+        WHEN o[1] IN (0, 10, 127) OR o[1] >= 224 OR (o[1] = 100 AND o[2] BETWEEN 64 AND 127) OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31)
+          OR (o[1] = 192 AND o[2] IN (0, 168)) OR (o[1] = 198 AND o[2] IN (18, 19, 51)) OR (o[1] = 203 AND o[2] = 0) THEN 'non_public_address' END AS reason FROM q""")
+def url_policy_reason(spark: SparkSession, d: str) -> DataFrame:
+    cases = spark.createDataFrame([(u,) for u in POLICY_CASES], "url string")
+    return table(spark, d, "pages").select("url").unionByName(cases).select("url", urls.policy_reason(F.col("url")).alias("reason"))
+
+
+@query("page_identity", rf"""
+    SELECT page_id, regexp_extract(url, '^[a-z]+') || '://' || regexp_replace({_HOST}, '^www[.]', '') || CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS page
+    FROM (SELECT page_id, url, {_PATH} AS p, {_QUERY} AS q FROM pages)""")
+def page_identity(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", urls.page_identity(F.col("url")).alias("page"))
+
+
+@query("page_title", r"""
+    SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title FROM pages""")
+def page_title(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", texts.title_of(F.col("html")).alias("title"))
+
+
+def _removed(column: str) -> str:
+    for name in texts.ACTIVE:
+        column = rf"regexp_replace({column}, '(?is)<{name}.*?</{name}\s*>', '', 'g')"
+    for pattern, to in ((r"<[^>]+>", " "), (r"[^\S\n]+", " "), (r" *\n[ \n]*\n *", "\n\n"), (r" *\n *", "\n"), (r"^\s+|\s+$", "")):
+        to = {"\n\n": "chr(10) || chr(10)", "\n": "chr(10)"}.get(to, f"'{to}'")
+        column = f"regexp_replace({column}, '{pattern}', {to}, 'g')"
+    return column
+
+
+@query("html_to_text", f"SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS text_sha256 FROM (SELECT page_id, {_removed('html')} AS t FROM pages)")
+def html_to_text(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "pages").select("page_id", texts.html_to_text(F.col("html")).alias("t"))
+    return t.select("page_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
+
+
+@query("links_classified", r"""
+    WITH a AS (SELECT page_id, url AS page, regexp_extract_all(html, '(?is)<a\s[^>]*href\s*=\s*["''][^"'']*["''][^>]*>.*?</a>') AS l FROM pages),
+    b AS (SELECT page_id, page, unnest(l) AS x, unnest(range(len(l))) AS pos FROM a),
+    c AS (SELECT page_id, page, pos, regexp_extract(x, '(?is)href\s*=\s*["'']([^"'']*)["'']', 1) AS h, trim(regexp_replace(regexp_replace(regexp_extract(x, '(?is)^<a[^>]*>(.*?)</a>$', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM b),
+    e AS (SELECT page_id, page, pos, title, CASE WHEN regexp_matches(h, '^https?://') THEN h WHEN h LIKE '/%' THEN regexp_extract(page, '^[a-z]+://[^/?#]*') || h END AS link FROM c),
+    f AS (SELECT * FROM e WHERE link IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY pos) = 1),
+    g AS (SELECT page_id, pos, title, link, CASE WHEN regexp_extract(link, '^[a-z]+://[^/?#]*') = regexp_extract(page, '^[a-z]+://[^/?#]*') OR regexp_matches(title, '^(home|menu|navigation|next|previous|sign in|log in)$', 'i') THEN 'navigation' ELSE 'content' END AS kind FROM f),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id, kind ORDER BY pos) AS INTEGER) AS rank FROM g)
+    SELECT page_id, kind, rank, link AS url FROM r WHERE rank <= CASE kind WHEN 'navigation' THEN 10 ELSE 20 END""")
+def links_classified(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.links(table(spark, d, "pages"), "page_id", "url", "html").drop("title")
+
+
+@query("serp_source_type", rf"""
+    SELECT page_id, CASE WHEN regexp_matches(s, '(^|[^a-z0-9_])(news|top stories|headline)($|[^a-z0-9_])') THEN 'news' WHEN regexp_matches(s, '(^|[^a-z0-9_])(discussion|forum|reddit|stack overflow|stackoverflow)($|[^a-z0-9_])') THEN 'discussion'
+        WHEN regexp_matches(s, '(^|[^a-z0-9_])(video|youtube|vimeo)($|[^a-z0-9_])') THEN 'video' WHEN regexp_matches(s, '(^|[^a-z0-9_])(academic|scholar|journal|doi[.]org|arxiv)($|[^a-z0-9_])') THEN 'academic'
+        WHEN regexp_matches(s, '(^|[^a-z0-9_])(document|pdf|filetype:|[.]pdf)($|[^a-z0-9_])') THEN 'document' WHEN regexp_matches(s, '(^|[^a-z0-9_])(other results|shopping|images|maps)($|[^a-z0-9_])') THEN 'other' ELSE 'organic' END AS source_type
+    FROM (SELECT page_id, lower(coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') || ' ' || {_HOST} || {_PATH}) AS s FROM pages)""")
+def serp_source_type(spark: SparkSession, d: str) -> DataFrame:
+    said = F.coalesce(texts.title_of(F.col("html")), F.lit(""))
+    return table(spark, d, "pages").select("page_id", texts.source_type(said, urls.host(F.col("url")), urls.path(F.col("url"))).alias("source_type"))
+
+
+def _serps(spark: SparkSession, d: str) -> DataFrame:
+    """Pages read as result pages: what they link is what an engine found."""
+    p = table(spark, d, "pages")
+    base = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
+    links = F.transform(texts.anchors_of(F.col("html")), lambda a: F.struct(F.when(a["url"].startswith("/"), F.concat(base, a["url"])).otherwise(a["url"]).alias("url"), a["text"].alias("text")))
+    return p.select(F.col("page_id").alias("serp_id"), texts.html_to_text(F.col("html")).alias("text"), links.alias("links"))
+
+
+@query("serp_candidates")
+def serp_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.candidates(_serps(spark, d), "google")
+
+
+@query("serp_status")
+def serp_status(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.serp_status(_serps(spark, d), "duckduckgo")
+
+
+@query("query_tokens", f"SELECT item_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark)")
+def query_tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "benchmark").select("item_id", F.array_sort(texts.tokens(F.col("text"))).alias("t"))
+    return t.select("item_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+_WORD = "(^|[^a-z0-9_])({})($|[^a-z0-9_])"
+
+
+@query("query_profile_temporal", rf"""
+    WITH q AS (SELECT conv_id, turn, text, lower(text) AS low, {_TOKENS} AS t FROM conversations WHERE role = 'user'),
+    p AS (SELECT *, CASE WHEN regexp_matches(low, '{_WORD.format("api|typescript|javascript|python|rust|code|sdk|cli|bug|error")}') THEN 'technical' WHEN regexp_matches(low, '{_WORD.format("news|breaking|today|latest|recent|actualité")}') THEN 'news'
+        WHEN regexp_matches(low, '{_WORD.format("paper|research|study|journal|doi|arxiv|citation")}') THEN 'academic' WHEN regexp_matches(low, '{_WORD.format("reddit|forum|community|discussion|opinions?")}') THEN 'community' ELSE 'general' END AS profile FROM q)
+    SELECT conv_id, turn, profile, profile = 'news' OR len(list_filter(t, lambda x: x IN ('latest', 'recent', 'today', 'current', 'news', 'nouveau', 'actualité') OR regexp_matches(x, '^(19|20)[0-9]{{2}}$'))) > 0
+        OR regexp_matches(low, '(^|[^a-z0-9_])((before|after):[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}($|[^a-z0-9_])|(v|version)[0-9])') AS temporal FROM p""")
+def query_profile_temporal(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "conversations").where("role = 'user'").withColumn("t", texts.tokens(F.col("text")))
+    q = q.withColumn("profile", texts.profile(F.col("text"), F.col("t")))
+    return q.select("conv_id", "turn", "profile", texts.temporal(F.col("text"), F.col("t"), F.col("profile")).alias("temporal"))
+
+
+@query("follow_up_terms")
+def follow_up_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", discovery.follow_up(F.col("text")).alias("follow_up"))
+
+
+UNITS = 6
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", F.slice(F.array_sort(texts.tokens(F.col("text"))), 1, UNITS).alias("units"))
+
+
+_UNITS = f"SELECT item_id, {_TOKENS}[1:{UNITS}] AS units FROM benchmark"
+_HITS = "CAST(len(list_filter(units, lambda u: contains(corpus, u))) AS BIGINT)"
+
+
+@query("coverage_scores", f"""
+    SELECT item_id, doc_id, n_hits, round(n_hits / n_units, 6) AS coverage FROM (
+        SELECT item_id, doc_id, {_HITS} AS n_hits, len(units) AS n_units FROM ({_UNITS}) q, (SELECT doc_id, lower(text) AS corpus FROM documents) d) WHERE n_hits / n_units >= 0.5""")
+def coverage_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("corpus"))
+    hits = matching.matched_units(_questions(spark, d), docs, "corpus", ["doc_id"])
+    cov = F.col("n_hits") / F.col("n_units")
+    return hits.where(cov >= 0.5).select("item_id", "doc_id", "n_hits", F.round(cov, 6).alias("coverage"))
+
+
+@query("prerank_topk", rf"""
+    WITH p AS (SELECT page_id, url, lower(coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') || ' ' || url) AS corpus, 1.0 / (1 + page_id % 10) AS pos FROM pages),
+    s AS (SELECT item_id, page_id, url, least(1.0, 0.45 * ({_HITS} / len(units)) + 0.25 * pos + 0.3) AS score FROM ({_UNITS}) q, p),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, url, page_id) AS INTEGER) AS rank FROM s)
+    SELECT item_id, rank, page_id, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE rank <= 5""")
+def prerank_topk(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    """The best pages of each question before they are rendered.
+
+    A page without any of a question's terms can only place by its position, so
+    the k best-placed pages stand for all of those; no other pair without a term
+    is formed.
+    """
+    said = F.lower(F.concat(F.coalesce(texts.title_of(F.col("html")), F.lit("")), F.lit(" "), F.col("url")))
+    pages = table(spark, d, "pages").select("page_id", "url", (1 + F.col("page_id") % 10).alias("pos"), said.alias("corpus"))
+    asked = _questions(spark, d)
+    hits = matching.matched_units(asked, pages, "corpus", ["page_id", "url", "pos"])
+    lead = pages.orderBy("pos", "url", "page_id").limit(k).agg(F.collect_list(F.struct("page_id", "url", "pos")).alias("p"))
+    first = lead.first()[0]
+    lead = F.array(*[F.struct(F.lit(x[0]).alias("page_id"), F.lit(x[1]).alias("url"), F.lit(x[2]).alias("pos")) for x in first])
+    rest = asked.select("item_id", F.size("units").alias("n_units"), F.explode(lead).alias("p")).select("item_id", "n_units", "p.*", F.lit(0).cast("long").alias("n_hits"))
+    every = hits.select("item_id", "n_units", "page_id", "url", "pos", "n_hits").unionByName(rest)
+    every = every.groupBy("item_id", "n_units", "page_id", "url", "pos").agg(F.max("n_hits").alias("n_hits"))
+    score = scoring.prerank(F.col("n_hits") / F.col("n_units"), scoring.position(F.col("pos")), F.lit(1.0), F.lit(1.0), F.lit(0.0))
+    w = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "url", "page_id")
+    ranked = every.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("item_id", "rank", "page_id", F.round("score", 6).alias("score"), scoring.confidence(F.col("score")).alias("confidence"))
+
+
+VERSIONED = (
+    ("q1", "https://a.example/spec/2025-03-26/tools"), ("q1", "https://a.example/spec/2025-11-25/tools"), ("q1", "https://b.example/spec/2024-01-01/"), ("q1", "https://a.example/about"),
+    ("q2", "https://a.example/spec/2025-03-26/tools"), ("q2", "https://c.example/spec/2026-07-28"), ("q2", "https://c.example/spec/2026-07-28/server"),
+)
+_VERSIONED = ", ".join(f"('{a}', '{b}')" for a, b in VERSIONED)
+
+
+@query("version_preference", rf"""
+    WITH v(question, url) AS (VALUES {_VERSIONED}), x AS (SELECT question, url, {_HOST} AS host, nullif(regexp_extract(url, '/((?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}})(?:/|$)', 1), '') AS dated FROM v)
+    SELECT question, url, CASE WHEN dated IS NOT NULL AND dated = max(dated) OVER (PARTITION BY question, host) THEN 0.25 ELSE 0.0 END AS bonus FROM x""")
+def version_preference(spark: SparkSession, d: str) -> DataFrame:
+    v = spark.createDataFrame(list(VERSIONED), "question string, url string").withColumn("dated", urls.dated_version(F.col("url")))
+    newest = F.max("dated").over(Window.partitionBy("question", urls.host(F.col("url"))))
+    return v.select("question", "url", F.when(F.col("dated") == newest, 0.25).otherwise(0.0).alias("bonus"))
+
+
+_QUALITY = "least(1.0, greatest(0.0, 0.45 * (CASE WHEN length(trim(text)) >= 800 THEN 1 WHEN length(trim(text)) >= 200 THEN 0.6 ELSE 0.25 END)))"
+
+
+@query("postrank_topk", f"""
+    WITH s AS (SELECT item_id, doc_id, {_HITS} / len(units) AS cov, q.v AS quality FROM ({_UNITS}) u, (SELECT doc_id, lower(text) AS corpus, {_QUALITY} AS v FROM documents) q),
+    r AS (SELECT item_id, doc_id, 0.55 * cov + 0.15 + 0.15 * 0.5 + 0.1 * quality + 0.05 * 0.5 AS score FROM s WHERE cov > 0),
+    w AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM r)
+    SELECT item_id, rank, doc_id, round(score, 6) AS score FROM w WHERE rank <= 5""")
+def postrank_topk(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("corpus"), scoring.quality(F.col("text"), F.lit(0), F.lit(0), F.lit(0.0)).alias("quality"))
+    hits = matching.matched_units(_questions(spark, d), docs, "corpus", ["doc_id", "quality"])
+    cov, one = F.col("n_hits") / F.col("n_units"), F.lit(1.0)
+    score = scoring.postrank(cov, cov, one, one, F.lit(0.5), F.col("quality"), F.lit(0.5), F.lit("general"))
+    w = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    ranked = hits.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("quality_score", f"SELECT doc_id, round({_QUALITY}, 6) AS quality FROM documents")
+def quality_score(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.round(scoring.quality(F.col("text"), F.lit(0), F.lit(0), F.lit(0.0)), 6).alias("quality"))
+
+
+@query("freshness_score", "SELECT event_id, round(least(1.0, greatest(0.0, 1 - greatest(0.0, date_diff('microsecond', ts, TIMESTAMP '2024-06-01') / 8.64e10) / 365)), 6) AS freshness FROM events")
+def freshness_score(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.select("event_id", F.round(scoring.freshness(F.col("ts"), F.lit(True), F.to_timestamp(F.lit("2024-06-01"))), 6).alias("freshness"))
+
+
+@query("passages_best")
+def passages_best(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.best_passages(extraction.blocks(table(spark, d, "documents"), "doc_id", "text"), "doc_id").drop("text")
+
+
+@query("code_blocks")
+def code_blocks(spark: SparkSession, d: str) -> DataFrame:
+    fenced = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# Part\n\n```sql\n"), F.substring("text", 1, 80), F.lit("\n```\n"), F.col("text")).alias("text"))
+    return extraction.code_blocks(extraction.blocks(fenced, "doc_id", "text"), "doc_id").select("doc_id", "pos", "language", "content_hash")
+
+
+@query("navigation_flags", r"""
+    SELECT doc_id, length(text) >= 200 AND (len(regexp_extract_all(text, '\p{Ll}\p{Lu}')) / (length(text) / 100) >= 2
+        OR (len(l) >= 8 AND len(list_filter(l, lambda x: length(trim(x)) <= 70)) >= 0.9 * len(l))) AS navigation
+    FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)""")
+def navigation_flags(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", texts.is_navigation(F.col("text")).alias("navigation"))
+
+
+@query("code_warnings", r"""
+    SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(t, '\x{200B}') THEN 'zero_width_space' END, CASE WHEN regexp_matches(t, '\x{200C}') THEN 'zero_width_non_joiner' END,
+        CASE WHEN regexp_matches(t, '\x{200D}') THEN 'zero_width_joiner' END, CASE WHEN regexp_matches(t, '[\x{202A}\x{202B}\x{202D}\x{202E}\x{2066}-\x{2069}]') THEN 'bidirectional_control' END], lambda x: x IS NOT NULL), ',') AS warnings
+    FROM (SELECT doc_id, CASE doc_id % 50 WHEN 0 THEN text || chr(8203) WHEN 1 THEN chr(8238) || text ELSE text END AS t FROM documents)""")
+def code_warnings(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("doc_id") % 50
+    t = F.when(m == 0, F.concat("text", F.lit("\u200b"))).when(m == 1, F.concat(F.lit("\u202e"), "text")).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(texts.code_warnings(t), ",").alias("warnings"))
+
+
+@query("exact_dupes", "SELECT source, sha256(text) AS digest, min(doc_id) AS representative, CAST(count(*) AS BIGINT) AS n_copies FROM documents GROUP BY source, sha256(text) HAVING count(*) > 1")
+def exact_dupes(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.exact_representatives(table(spark, d, "documents"), "source", "text", "doc_id")
+
+
+@query("dedupe_keep_first", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")
+def dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id", "source")).alias("k")).select("k.doc_id", "k.source")
+
+
+@query("shingle_jaccard", rf"""
+    WITH w AS (SELECT source, min(doc_id) AS id, any_value({_LEXICAL}) AS w FROM documents GROUP BY source, sha256(text)),
+    s AS (SELECT source, id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
+    p AS (SELECT a.source, a.id AS left_id, b.id AS right_id, len(list_intersect(a.s, b.s)) AS n, len(a.s) AS x, len(b.s) AS y FROM s a JOIN s b ON a.source = b.source AND a.id < b.id AND len(a.s) >= 0.8 * len(b.s) AND len(b.s) >= 0.8 * len(a.s))
+    SELECT source, left_id, right_id, round(n / (x + y - n), 6) AS jaccard FROM p WHERE n / (x + y - n) >= 0.8""")
+def shingle_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.jaccard_pairs(table(spark, d, "documents"), "source", "text", "doc_id", 0.8).withColumn("jaccard", F.round("jaccard", 6))
+
+
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return dedup.minhash(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id")
+
+
+@query("minhash_neardup")
+def minhash_neardup(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_pairs(_signatures(spark, d), "source", "doc_id", 0.9)
+
+
+@query("near_dup_representatives")
+def near_dup_representatives(spark: SparkSession, d: str) -> DataFrame:
+    s = _signatures(spark, d)
+    classes = s.groupBy("source", "signature").agg(F.min("doc_id").alias("rep"))
+    member = s.join(classes, ["source", "signature"]).select("doc_id", "rep")
+    reps = dedup.representatives(classes.select("rep"), dedup.near_pairs(s, "source", "doc_id", 0.9), "rep")
+    return member.join(reps, "rep").select("doc_id", "representative")
+
+
+@query("bm25_topk", rf"""
+    WITH d AS (SELECT doc_id, {_LEXICAL} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d),
+    t AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM d), p AS (SELECT doc_id, l, term, count(*) AS tf FROM t GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    q AS (SELECT item_id, unnest(list_sort(list_distinct({_LEXICAL}))[1:3]) AS term FROM benchmark), k AS (SELECT item_id, count(*) AS k FROM q GROUP BY item_id),
+    s AS (SELECT q.item_id, p.doc_id, sum(greatest(ln((n.n - f.df + 0.5) / (f.df + 0.5)), 1e-6) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.l / n.a))) AS score, count(*) AS c FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY ALL),
+    r AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s JOIN k USING (item_id) WHERE c = k)
+    SELECT item_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    totals = docs.agg(F.count("*"), F.avg(F.size(texts.words(F.col("text")))))
+    terms = table(spark, d, "benchmark").select("item_id", F.explode(F.slice(F.array_sort(F.array_distinct(texts.words(F.col("text")))), 1, 3)).alias("term"))
+    return retrieval.bm25(terms, retrieval.postings(docs, "doc_id", "text"), totals, "doc_id", "item_id", 10).withColumn("score", F.round("score", 6))
+
+
+@query("containment_join", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def containment_join(spark: SparkSession, d: str) -> DataFrame:
+    passages = table(spark, d, "benchmark").select("item_id", F.array("text").alias("units"))
+    return matching.matched_units(passages, table(spark, d, "documents"), "text", ["doc_id"]).select("item_id", "doc_id")
+
+
+@query("dominant_source", """
+    WITH c AS (SELECT lang, source, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY lang, source)
+    SELECT lang, source, CAST(n AS BIGINT) AS n FROM c WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) = 1""")
+def dominant_source(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return c.where("n > 1").groupBy("lang").agg(F.max_by(F.struct("source", "n"), F.struct("n", -F.col("first"))).alias("b")).select("lang", "b.source", "b.n")
+
+
+@query("lexical_token_counts", r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS INTEGER) AS n_tokens, CAST(length(text) AS INTEGER) AS n_units FROM documents")
+def lexical_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", texts.lexical_tokens(F.col("text")).alias("n_tokens"), texts.utf16_length(F.col("text")).alias("n_units"))
+
+
+@query("grounding_words", r"""
+    WITH q AS (SELECT item_id, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')), lambda x: length(x) > 3 AND x NOT IN ('that', 'this', 'these', 'those', 'with', 'from', 'into', 'than', 'then', 'when', 'while', 'where', 'which', 'their', 'there', 'them', 'they', 'also', 'have', 'been', 'being', 'does', 'only', 'each', 'both', 'same', 'such', 'over', 'under', 'after', 'before', 'because', 'however', 'rather', 'still', 'some', 'more', 'most', 'other', 'another', 'every', 'must', 'should', 'would', 'could', 'will', 'using', 'used')) AS w FROM benchmark),
+    d AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS s FROM documents)
+    SELECT item_id, doc_id FROM q, d WHERE len(w) > 0 AND list_has_all(s, w)""")
+def grounding_words(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold every distinctive word of a claim: an equi-join on words, rarest kept by counting."""
+    claims = table(spark, d, "benchmark").select("item_id", grading.content_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    words = claims.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    held = table(spark, d, "documents").select("doc_id", F.explode(grading.word_set(F.col("text"))).alias("word"))
+    held = held.join(words.select("word").distinct(), "word", "left_semi")
+    found = held.join(words, "word").groupBy("item_id", "n", "doc_id").agg(F.count("*").alias("k"))
+    return found.where("k = n").select("item_id", "doc_id")
+
+
+@query("redact_secrets", r"""
+    SELECT doc_id, sha256(r) AS redacted_sha256, r <> text AS changed FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)(cookie|set-cookie)[^\n]*', '[redacted-cookie]', 'g'),
+        '(?i)Bearer\s+[^\s,;''"]*(?:[A-Za-z][0-9]|[0-9][A-Za-z]|[\-_./+])[^\s,;''"]*|(password|passwd|token|secret|api[_-]?key|access[_-]?key|auth[_-]?token)\s*=\s*[^\s,;''"]+|(password|passwd|token|secret|api[_-]?key|access[_-]?key|auth[_-]?token)\s*:\s*[^\s,;''"]*(?:[A-Za-z][0-9]|[0-9][A-Za-z]|[\-_./+])[^\s,;''"]*', '[redacted-secret]', 'g') AS r FROM documents)""")
+def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "documents").select("doc_id", "text", texts.redact(F.col("text")).alias("r"))
+    return r.select("doc_id", F.sha2("r", 256).alias("redacted_sha256"), (F.col("r") != F.col("text")).alias("changed"))
+
+
+@query("secret_kinds", r"""
+    SELECT k AS kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(list_filter([CASE WHEN regexp_matches(text, '(AKIA|ASIA)[0-9A-Z]{16}') THEN 'aws_key' END,
+        CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'private_key' END,
+        CASE WHEN regexp_matches(text, '(?i)(password|passwd|token|secret|api[_-]?key|access[_-]?key|auth[_-]?token)\s*[=:]\s*[^\s,;''"]+') THEN 'assignment' END], lambda x: x IS NOT NULL)) AS k FROM documents) GROUP BY k""")
+def secret_kinds(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "documents").select(F.explode(texts.secret_kinds(F.col("text"))).alias("kind"))
+    return k.where(F.col("kind").isin("aws_key", "private_key", "assignment")).groupBy("kind").agg(F.count("*").alias("n"))
