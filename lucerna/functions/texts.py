@@ -191,15 +191,24 @@ def safe_text(value: Column, markup: bool) -> Column:
     return F.trim(F.regexp_replace(x, r"(?i)\]\s*\(\s*(?:javascript|data|vbscript):[^)]*\)", "]"))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it (also inside lambdas)."""
+    return F.transform(F.array(value), f)[0]
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def shingles(text: Column, k: int = 3) -> Column:
     """Distinct k-word shingles; none for a text of fewer words."""
-    w = words(text)
-    n = F.size(w) - (k - 1)
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, k))))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        n = F.size(w) - (k - 1)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat_ws(" ", *[F.try_element_at(w, i + j) for j in range(k)]))
+        return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    return let(words(text), cut)
 
 
 def flattened(text: Column) -> Column:

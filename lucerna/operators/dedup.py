@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,48 +61,47 @@ def _times(x: Column, k: int) -> Column:
 def slot_hash(text: Column, seed: int) -> Column:
     """Seeded 32-bit FNV-style hash of a string's code points with a final avalanche."""
     start = (2166136261 ^ ((seed + 1) * 0x9E3779B1 & _MASK)) & _MASK
-    points = F.transform(F.split(text, "(?!^)(?!$)"), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long"))
+    points = F.transform(F.split(text, "(?!^)(?!$)"), lambda c: F.conv(F.hex(F.encode(c, "utf-32")), 16, 10).cast("long"))
     x = F.aggregate(points, F.lit(start).cast("long"), lambda acc, p: _times(acc.bitwiseXOR(p), 16777619))
     x = _times(x.bitwiseXOR(F.shiftright(x, 16)), 0x85EBCA6B)
     return x.bitwiseXOR(F.shiftright(x, 13))
 
 
+def signature(shingles: list[str], seeds: int = SLOTS) -> list[int]:
+    """The least hash of the shingles under each seed."""
+    start = np.array([(2166136261 ^ ((s + 1) * 0x9E3779B1 & _MASK)) & _MASK for s in range(seeds)], np.uint32)
+    best = np.full(seeds, _MASK, np.uint32)
+    for at in range(0, len(shingles), 2048):
+        some = sorted(shingles[at : at + 2048], key=len)
+        x = np.repeat(start[None], len(some), 0)
+        lens = np.array([len(s) for s in some])
+        grid = np.zeros((len(some), int(lens.max())), np.uint32)
+        for i, s in enumerate(some):
+            grid[i, : len(s)] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+        for j in range(grid.shape[1]):
+            live = slice(int(np.searchsorted(lens, j, "right")), None)
+            x[live] = (x[live] ^ grid[live, j, None]) * np.uint32(16777619)
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(0x85EBCA6B)
+        x ^= x >> np.uint32(13)
+        best = np.minimum(best, x.min(0))
+    return best.astype(np.int64).tolist()
+
+
 def minhash(df: DataFrame, key: str, text: str, seeds: int = SLOTS) -> DataFrame:
-    """(key, signature): the least hash under each seed over the distinct 3-word shingles; no row without a shingle.
+    """(key, signature) over the distinct 3-word shingles of each text; no row without a shingle.
 
-    Shingles are hashed by an Arrow function, all seeds of a text at once.
+    All seeds of a text are hashed at once in numpy, over Arrow batches.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    kind = df.schema[key].dataType.simpleString()
 
-    start = np.array([(2166136261 ^ ((s + 1) * 0x9E3779B1 & _MASK)) & _MASK for s in range(seeds)], np.uint32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [signature(s, seeds) for s in b.column("s").to_pylist()]
+            yield pa.record_batch([b.column("k"), pa.array(found, pa.list_(pa.int64()))], names=[key, "signature"])
 
-    @pandas_udf("array<long>")
-    def signature(lists: pd.Series) -> pd.Series:
-        def one(shingles) -> list[int] | None:
-            if shingles is None or not len(shingles):
-                return None
-            best = np.full(seeds, _MASK, np.uint32)
-            for at in range(0, len(shingles), 2048):
-                some = sorted(shingles[at : at + 2048], key=len)
-                x = np.repeat(start[None], len(some), 0)
-                lens = np.array([len(s) for s in some])
-                grid = np.zeros((len(some), int(lens.max())), np.uint32)
-                for i, s in enumerate(some):
-                    grid[i, : len(s)] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
-                for j in range(grid.shape[1]):
-                    live = slice(int(np.searchsorted(lens, j, "right")), None)
-                    x[live] = (x[live] ^ grid[live, j, None]) * np.uint32(16777619)
-                x ^= x >> np.uint32(16)
-                x *= np.uint32(0x85EBCA6B)
-                x ^= x >> np.uint32(13)
-                best = np.minimum(best, x.min(0))
-            return best.astype(np.int64).tolist()
-
-        return lists.map(one)
-
-    return df.select(key, signature(texts.shingles(F.col(text))).alias("signature")).where("signature IS NOT NULL")
+    cut = df.select(F.col(key).alias("k"), texts.shingles(F.col(text)).alias("s")).where(F.size("s") > 0)
+    return cut.mapInArrow(run, f"`{key}` {kind}, signature array<long>")
 
 
 def similarity(a: Column, b: Column) -> Column:

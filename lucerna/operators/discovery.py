@@ -90,14 +90,18 @@ def follow_up(question: Column) -> Column:
     rest = F.regexp_replace(F.regexp_replace(question, '"[^"\\n]+"', " "), r"(?:^|\s)-?\w+:[^\s]+", " ")
     whole = F.reverse(F.array_distinct(F.regexp_extract_all(rest, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}_.:+#\-]*[./][\p{L}\p{N}_.:+#\-]+"), F.lit(0))))
     words = F.array_distinct(F.concat(whole, F.regexp_extract_all(rest, F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))))
-    long = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(*QUESTION_WORDS))
-    low = F.transform(long, F.lower)
-    terms = F.filter(long, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
-    naming = F.filter(terms, lambda w: ~F.lower(w).isin(*GENERIC_WORDS) & ~w.isin(*FRAGMENTS))
-    want = F.greatest(F.lit(TERMS) - F.size(kept), F.lit(0))
-    chosen = F.slice(F.when(F.size(naming) > 0, naming).otherwise(terms), F.lit(1), want)
-    out = F.trim(F.array_join(F.concat(kept, F.filter(terms, lambda w: F.array_contains(chosen, w))), " "))
-    return F.when((F.length(question) > SHORT) & (out != "") & (F.length(out) < F.length(question)), out)
+    naming = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(*QUESTION_WORDS))
+    lower = lambda x: F.transform(x, F.lower)
+    once = texts.let(naming, lambda x: texts.let(lower(x), lambda low: F.filter(x, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)))
+
+    def pick(x: Column) -> Column:
+        terms, said = x["terms"], x["kept"]
+        subject = F.filter(terms, lambda w: ~F.lower(w).isin(*GENERIC_WORDS) & ~w.isin(*FRAGMENTS))
+        want = F.greatest(F.lit(TERMS) - F.size(said), F.lit(0))
+        return texts.let(F.slice(F.when(F.size(subject) > 0, subject).otherwise(terms), F.lit(1), want), lambda c: F.trim(F.array_join(F.concat(said, F.filter(terms, lambda w: F.array_contains(c, w))), " ")))
+
+    out = texts.let(F.struct(once.alias("terms"), kept.alias("kept")), pick)
+    return F.when(F.length(question) > SHORT, texts.let(out, lambda o: F.when((o != "") & (F.length(o) < F.length(question)), o)))
 
 
 def dominant_site(found: DataFrame, group: str, host: str, order: str) -> DataFrame:

@@ -41,8 +41,8 @@ def upsert(entries: DataFrame, puts: DataFrame, key: str, at: str, cache_control
 
 def lookup(entries: DataFrame, aliases: DataFrame, wanted: DataFrame) -> DataFrame:
     """Entries by canonical URL or by alias: two equi-joins instead of one disjunction; (asked, entry columns)."""
-    direct = wanted.join(entries, wanted.asked == entries.canonical_url).select("asked", *entries.columns)
-    through = wanted.join(aliases, wanted.asked == aliases.alias).select("asked", F.col("canonical_url").alias("_c"))
+    direct = wanted.join(entries, F.col("asked") == F.col("canonical_url")).select("asked", *entries.columns)
+    through = wanted.join(aliases, F.col("asked") == F.col("alias")).select("asked", F.col("canonical_url").alias("_c"))
     through = through.join(entries, F.col("_c") == F.col("canonical_url")).select("asked", *entries.columns)
     return direct.unionByName(through).distinct()
 

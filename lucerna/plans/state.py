@@ -73,14 +73,14 @@ def orphan_blobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("cache_upsert", f"""
-    WITH e AS ({_ENTRIES}), a AS (SELECT source AS key, doc_id AS at, body_kind, 'public' AS cc FROM e WHERE doc_id % 2 = 0),
-    p AS (SELECT source AS key, doc_id AS at, body_kind, CASE WHEN doc_id % 7 = 0 THEN 'No-Store' ELSE 'public' END AS cc FROM e WHERE doc_id % 2 = 1)
-    SELECT key, at, body_kind FROM (SELECT * FROM a UNION ALL SELECT * FROM p WHERE NOT regexp_matches(cc, 'no-store', 'i')) QUALIFY row_number() OVER (PARTITION BY key ORDER BY at DESC) = 1""")
+    WITH e AS ({_ENTRIES}), a AS (SELECT source AS key, doc_id AS seen_at, body_kind, 'public' AS cc FROM e WHERE doc_id % 2 = 0),
+    p AS (SELECT source AS key, doc_id AS seen_at, body_kind, CASE WHEN doc_id % 7 = 0 THEN 'No-Store' ELSE 'public' END AS cc FROM e WHERE doc_id % 2 = 1)
+    SELECT key, seen_at, body_kind FROM (SELECT * FROM a UNION ALL SELECT * FROM p WHERE NOT regexp_matches(cc, 'no-store', 'i')) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seen_at DESC) = 1""")
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
-    e = _entries(spark, d).select(F.col("source").alias("key"), F.col("doc_id").alias("at"), "body_kind")
-    old = e.where("at % 2 = 0").withColumn("cc", F.lit("public"))
-    new = e.where("at % 2 = 1").withColumn("cc", F.when(F.col("at") % 7 == 0, "No-Store").otherwise("public"))
-    return store.upsert(old, new, "key", "at", "cc").drop("cc")
+    e = _entries(spark, d).select(F.col("source").alias("key"), F.col("doc_id").alias("seen_at"), "body_kind")
+    old = e.where("seen_at % 2 = 0").withColumn("cc", F.lit("public"))
+    new = e.where("seen_at % 2 = 1").withColumn("cc", F.when(F.col("seen_at") % 7 == 0, "No-Store").otherwise("public"))
+    return store.upsert(old, new, "key", "seen_at", "cc").drop("cc")
 
 
 @query("consumed_anti", """
@@ -235,7 +235,7 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 
 @query("redirect_closure", """
     WITH RECURSIVE e AS (SELECT doc_id AS f, doc_id + 1 AS t FROM documents WHERE doc_id % 8 < 4), s AS (SELECT doc_id AS url FROM documents WHERE doc_id % 8 = 0 OR doc_id % 8 = 5),
-    c AS (SELECT url, url AS at FROM s UNION ALL SELECT c.url, e.t FROM c JOIN e ON e.f = c.at) SELECT url, max(at) AS final FROM c GROUP BY url""")
+    c AS (SELECT url, url AS here FROM s UNION ALL SELECT c.url, e.t FROM c JOIN e ON e.f = c.here) SELECT url, max(here) AS final FROM c GROUP BY url""")
 def redirect_closure(spark: SparkSession, d: str) -> DataFrame:
     i = table(spark, d, "documents").select(F.col("doc_id").alias("i"))
     edges = i.where("i % 8 < 4").select(F.col("i").alias("from_url"), (F.col("i") + 1).alias("to_url"))
