@@ -47,3 +47,27 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             held.append(b.slice(s, e - s))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(key, the other columns) of each run of the first column, from batches sorted by it.
+
+    Columns are sliced, not copied; only a run that spans batches is joined.
+    """
+    held: list[np.ndarray] | None = None
+
+    def cut(columns: list[np.ndarray]) -> np.ndarray:
+        return np.append(0, np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        starts = cut(columns).tolist()
+        for s, e in zip(starts, starts[1:]):
+            yield int(columns[0][s]), [c[s:e] for c in columns[1:]]
+        held = [c[starts[-1] :] for c in columns]
+    if held is not None:
+        yield int(held[0][0]), held[1:]
