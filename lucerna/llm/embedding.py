@@ -62,12 +62,15 @@ def bucket_keys(c: np.ndarray, dim: int) -> np.ndarray:
     return ((((dim & 0xFFFF) << 6) + np.arange(TABLES)) << BITS) + c
 
 
-def compare(key: int, ids: np.ndarray, mult: np.ndarray, code: np.ndarray, v: np.ndarray, left: np.ndarray, least: float):
-    """Links of a tile that no earlier table has: (ids, their numbers of linked vectors), spanning edges."""
+def compare(key: int, ids: np.ndarray, mult: np.ndarray, code: np.ndarray, v: np.ndarray, left: np.ndarray | None, least: float):
+    """Links of a tile that no earlier table has: (ids, their numbers of linked vectors), spanning edges.
+
+    Between ``left`` and the other rows; within all rows if it is None.
+    """
     table_no = (key >> (28 + BITS)) & 63
     u = unit(v)
-    a = np.flatnonzero(left)
-    within = len(a) == len(ids)
+    within = left is None
+    a = np.arange(len(ids)) if within else np.flatnonzero(left)
     b = a if within else np.flatnonzero(~left)
     forest, found = Forest(len(ids)), np.zeros(len(ids), np.int64)
     step = max(1, (1 << 19) // max(1, len(b)))
@@ -147,7 +150,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec
             code = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int16).reshape(-1, TABLES)
             ((_, v),) = matrix(t.column("v"))
             low, high = (key >> 14) & 0x3FFF, key & 0x3FFF
-            left = spread(ids) % parts.value.get(key >> 28, 1) == low if low != high else np.ones(len(ids), bool)
+            left = spread(ids) % parts.value.get(key >> 28, 1) == low if low != high else None
             (some, n), (a, b) = compare(key, ids, mult, code, v, left, least)
             held[0] += [some, a]
             held[1] += [np.full(len(some), -1), b]

@@ -94,12 +94,11 @@ def tile_keys(fps: np.ndarray, parts: np.ndarray, radius: int) -> tuple[np.ndarr
     return np.concatenate(index), np.concatenate(keys)
 
 
-def links(ids: np.ndarray, fps: np.ndarray, left: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges (ids) of the pairs within the radius; between ``left`` and the rest, or within if all are left."""
+def links(ids: np.ndarray, fps: np.ndarray, left: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges (ids) of the pairs within the radius; between ``left`` and the rest, or within all if it is None."""
     u = fps.view(np.uint64)
-    a = np.flatnonzero(left)
-    within = len(a) == len(u)
-    b = a if within else np.flatnonzero(~left)
+    a = np.arange(len(u)) if left is None else np.flatnonzero(left)
+    b = a if left is None else np.flatnonzero(~left)
     forest, step = Forest(len(u)), max(1, (1 << 20) // max(1, len(b)))
     for at in range(0, len(a), step):
         i, j = np.nonzero(np.bitwise_count(u[a[at : at + step], None] ^ u[None, b]) <= radius)
@@ -119,7 +118,7 @@ def link_tiles(rows: DataFrame, radius: int, held) -> DataFrame:
         elif s != t:
             left = spread(fps) % held.value[lo] == s
         else:
-            left = np.ones(len(fps), bool)
+            left = None
         return links(ids, fps, left, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
