@@ -21,7 +21,7 @@ GENERAL_HOSTS = (
     "quora.com", "blogspot.com", "wordpress.com", "substack.com", "dev.to", "hashnode.dev",
 )
 # Hosts that serve the same pages under two names, the one that stands for both first.
-MIRRORS = {"bun.sh": "bun.com"}
+MIRRORS = {"bun.com": "bun.sh"}
 # Hosts of engines and of their own surfaces.
 ENGINE_HOSTS = {"google": r"(?i)(^|\.)google\.[a-z.]+$", "duckduckgo": r"(?i)(^|\.)duckduckgo\.com$", "bing": r"(?i)(^|\.)bing\.com$"}
 ENGINE_CHROME = (

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SERPS = T.StructType.fromDDL("serp_id string, engine string, query string, text string, links array<struct<url:string,text:string>>")
-FIXTURES = T.StructType.fromDDL(
+SERPS = "serp_id string, engine string, query string, text string, links array<struct<url:string,text:string>>"
+FIXTURES = (
     "case_id string, claims array<struct<id:string,text:string,required_concepts:array<string>,acceptable_patterns:array<string>,"
     "sources:array<struct<url:string,equivalent_urls:array<string>>>,evidence_passages:array<struct<url:string,text:string>>,weight:double>>"
 )
-RESULTS = T.StructType.fromDDL("case_id string, results array<struct<url:string,text:string,token_count:bigint>>")
-SCIFACT = T.StructType.fromDDL(
+RESULTS = "case_id string, results array<struct<url:string,text:string,token_count:bigint>>"
+SCIFACT = (
     "qrels array<struct<queryId:string,corpusId:string,relevance:int>>, queries map<string,string>, documents map<string,struct<title:string,text:string>>"
 )
 
@@ -21,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def strict_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One document per file; a malformed one fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
