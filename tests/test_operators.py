@@ -129,3 +129,23 @@ def test_emission_happens_once(spark, tmp_path):
     q = controller.emit_into(stream, str(tmp_path / "done"), ["inv", "url"], lambda b, n: out.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(out) == [(1, "u"), (1, "v"), (2, "u")]
+
+
+def test_spans_and_sanitising(spark):
+    from lucerna.operators import contracts
+
+    assert contracts.smallest_span(["a b", "x", "b c", "c"], ["b", "c"]) == (2, 2)
+    assert contracts.smallest_span(["one", "two x", "three"], ["one", "three"]) == (0, 2)
+    assert contracts.smallest_span(["a"], ["z"]) is None and contracts.smallest_span([], []) is None
+    df = spark.createDataFrame([(1, '{"a": [{"api_key": 5, "note": "Bearer abc"}]}'), (2, "not json Bearer x"), (3, None)], "id long, v string")
+    got = {r["id"]: (r["clean"], r["valid"]) for r in contracts.sanitised_json(df, "id", "v").collect()}
+    assert got == {1: ('{"a": [{"api_key": "[redacted]", "note": "[redacted]"}]}', True), 2: ("not json [redacted]", False), 3: (None, False)}
+
+
+def test_tokens_within_reach(spark):
+    from lucerna.operators import contracts
+
+    docs = spark.createDataFrame([(1, "Alpha then beta."), (2, "alpha " + "x " * 100 + "beta"), (3, "alphabet beta")], "id long, text string")
+    wanted = spark.createDataFrame([("alpha", 2), ("beta", 2)], "token string, n_tokens int")
+    got = grading.spans_within(contracts.token_positions(docs, "id", "text", wanted), ["id", "n_tokens"], "n_tokens", 160).collect()
+    assert [r["id"] for r in got] == [1]
