@@ -127,3 +127,14 @@ def token_positions(df: DataFrame, key: str, text: str, wanted: DataFrame) -> Da
 
 
 __all__ = ["conditional", "directives", "header", "result_rules", "retried", "robots_decision", "sanitised_json", "smallest_span", "texts", "token_positions", "urls_in", "violations"]
+
+
+def safe_entry(name: Column) -> Column:
+    """Whether an archive entry stays inside the folder that it is unpacked to."""
+    return ~name.rlike(r"^[/\\]") & ~name.rlike(r"(^|[\\/])\.\.([\\/]|$)")
+
+
+def iso_date(value: Column) -> Column:
+    """The calendar date that a text writes as yyyy-MM-dd, exactly; null otherwise."""
+    parsed = F.try_to_date(value, "yyyy-MM-dd")
+    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.date_format(parsed, "yyyy-MM-dd") == value), parsed)

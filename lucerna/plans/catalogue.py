@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lucerna.plans import contracts, evidence, relational, state
+from lucerna.plans import contracts, evidence, relational, search, state
 
-QUERIES: dict = {**evidence.QUERIES, **contracts.QUERIES, **state.QUERIES, **relational.QUERIES}
-ORACLE_SQL: dict = {**evidence.ORACLE_SQL, **contracts.ORACLE_SQL, **state.ORACLE_SQL, **relational.ORACLE_SQL}
+QUERIES: dict = {**evidence.QUERIES, **contracts.QUERIES, **search.QUERIES, **state.QUERIES, **relational.QUERIES}
+ORACLE_SQL: dict = {**evidence.ORACLE_SQL, **contracts.ORACLE_SQL, **search.ORACLE_SQL, **state.ORACLE_SQL, **relational.ORACLE_SQL}

@@ -149,3 +149,12 @@ def test_tokens_within_reach(spark):
     wanted = spark.createDataFrame([("alpha", 2), ("beta", 2)], "token string, n_tokens int")
     got = grading.spans_within(contracts.token_positions(docs, "id", "text", wanted), ["id", "n_tokens"], "n_tokens", 160).collect()
     assert [r["id"] for r in got] == [1]
+
+
+def test_archive_entries_and_dates(spark):
+    from lucerna.operators import contracts
+
+    df = spark.createDataFrame([("a/b.txt", "2024-02-29"), ("/etc/x", "2023-02-29"), ("a/../b", "2024-2-9"), ("a/..b", None)], "n string, d string")
+    got = df.select(contracts.safe_entry(F.col("n")).alias("s"), contracts.iso_date(F.col("d")).alias("d")).collect()
+    assert [r["s"] for r in got] == [True, False, False, True]
+    assert [str(r["d"]) for r in got] == ["2024-02-29", "None", "None", "None"]
