@@ -216,3 +216,23 @@ def test_edit_similarity():
         assert lines.within(a, b, 0.8) == near
         if near:
             assert lines.possible(lines.letters(a)[None], lines.letters(b)[None], 0.8)[0]
+
+
+def test_whole_search_finds_like_lines_of_any_length(spark, small_tiles):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
+    rows, pairs = [], 0
+    for n in (5, 7, 12, 25, 60, 120):
+        for kind in range(4):
+            ws = [word() for _ in range(n)]
+            own = list(ws)
+            at = rng.randrange(n)
+            own[at : at + 1] = [[word()[: len(ws[at])]], [], ["#".join(ws[at]).replace("#", "")[:-1] + "q"], [ws[at], "so"]][kind]
+            a, b = " ".join(ws), " ".join(own)
+            if lines.within(a, b, 0.8) and a != b:
+                rows += [(2 * pairs, a), (2 * pairs + 1, b)]
+                pairs += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(df, Scratch(spark, "t"), whole=True).collect()}
+    assert pairs > 18 and got == {2 * k + 1: [0] for k in range(pairs)}
+    assert set(lines.deletions("abcdefghij", 0.8)) & set(lines.deletions("xbcdefghik", 0.8))
