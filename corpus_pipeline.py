@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one occurrence of each group of like lines; documents stay, if only as an empty text."""
-    return _counted(lines.drop_lines(docs, lines.repeated_lines(docs, Scratch(spark, "stage2"))))
+    return _counted(lines.drop_lines(docs, lines.repeated_lines(docs, Scratch(spark, "stage2"), every=True)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lucerna.llm.lines import drop_lines, repeated_lines
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = drop_lines(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1))), repeated_lines(docs, Scratch(spark, "op2"), whole=True))
+    out = drop_lines(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1))), repeated_lines(docs, Scratch(spark, "op2"), whole=True, every=True))
     kept = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1)))
     return out.select("doc_id", "n_lines", kept.alias("n_kept"), F.octet_length("text").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
 

@@ -236,3 +236,12 @@ def test_whole_search_finds_like_lines_of_any_length(spark, small_tiles):
     got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(df, Scratch(spark, "t"), whole=True).collect()}
     assert pairs > 18 and got == {2 * k + 1: [0] for k in range(pairs)}
     assert set(lines.deletions("abcdefghij", 0.8)) & set(lines.deletions("xbcdefghik", 0.8))
+
+
+def test_short_and_unspaced_lines_repeat(spark):
+    own = "这是一个没有空格的句子而且它会重复出现"
+    texts = ["Les.", "LES!", "...", "...", own, own, own[:-1] + "了", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for whole in (False, True):
+        got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(df, Scratch(spark, "t"), whole=whole, every=True).collect()}
+        assert got == {1: [0], 5: [0]} | ({6: [0]} if whole or 6 in got else {})
