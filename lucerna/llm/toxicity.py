@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-A text's windows are its words and the space around them.  Each window is
+A text's windows are its words and the space around them; a run of more than
+WINDOW bytes, as text without spaces is, is read in overlapping windows.  Each window is
 compressed under either dictionary; the bytes that the toxic dictionary saves
 over the ordinary one are its gain.  A document's gains (how many windows reach
 each step, and the greatest) are calibrated into a probability on labelled rows
@@ -35,6 +36,8 @@ SAMPLE = 3000
 SIZES = {"toxic": 1024, "ordinary": 4096}
 STEPS = (3, 4, 5, 6, 7, 8, 9, 10, 12)
 REMEMBERED = 600_000
+#: Bytes of a window, and how many windows of a longer run share: more than the beginning of a word in a dictionary has.
+WINDOW, OVERLAP = 64, 36
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _HEAD, _TAIL = b"0123456789abcdefghijklmnopqrstuvwxyz", b"ZYXWVUTSRQPONMLKJIHGFEDCBA@"
 _SPELLED = [bytes((q * m + c) & 255 for m, c in ((167, 13), (91, 71), (203, 5), (45, 177))) for q in range(256)]
@@ -55,6 +58,23 @@ def words(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
+def windows(found: list[bytes]) -> list[bytes]:
+    """The words in their spaces; longer runs as windows of at most about WINDOW bytes that overlap and cut no character."""
+    out = []
+    for w in found:
+        at, before = 0, b" "
+        while len(w) - at > WINDOW:
+            to, back = at + WINDOW, at + WINDOW - OVERLAP
+            while w[to] & 0xC0 == 0x80 and to > back + 4:
+                to -= 1
+            while w[back] & 0xC0 == 0x80 and back > at + 1:
+                back -= 1
+            out.append(before + w[at:to])
+            at, before = back, b""
+        out.append(before + w[at:] + b" ")
+    return out
+
+
 def segments(found: set[bytes]) -> set[bytes]:
     """What a dictionary may hold of a text: its words, and the beginnings of the longer ones."""
     out = {b" " + w + b" " for w in found}
@@ -106,12 +126,12 @@ class Model:
             known.clear()
         for w in set(found):
             if w not in known:
-                x = _HEAD + spell(b" " + w[:64] + b" ") + _TAIL
+                x = _HEAD + spell(w) + _TAIL
                 known[w] = (len(o.compress(x)) - bo) - (len(t.compress(x)) - bt)
         return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
     def features(self, text: bytes) -> np.ndarray:
-        found = words(text)
+        found = windows(words(text))
         g = np.clip(self.gains(found), -1, 12) if found else np.zeros(1, np.int64)
         n = np.bincount(g + 1, minlength=14)[::-1].cumsum()[::-1]
         hits = np.array([n[s + 1] for s in STEPS], float)

@@ -87,6 +87,25 @@ def test_toxicity_finds_planted_words_and_leaves_clean_ones(spark):
     assert len(out) == 4 and all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_toxicity_reads_whole_runs_without_spaces():
+    rng = random.Random(4)
+    syllables = "ba co di fu ge ha jo ki lu me no pa ri so tu ve".split()
+    rows = []
+    for i in range(600):
+        ws = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+        if i % 4 == 0:
+            ws[rng.randrange(40)] = "numbskull"
+        rows.append((i, " ".join(ws).encode(), int(i % 4 == 0)))
+    m = toxicity.fit(rows)
+    clean = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200)).encode()
+    for at in (0, 60, 99, 156, 390, 600):
+        assert m.score(m.features(clean[:at] + b"numbskull" + clean[at:])[None])[0] > m.score(m.features(clean)[None])[0]
+    run = ("汉字，" * 100).encode()
+    cut = toxicity.windows([run])
+    assert all(len(w) <= 66 and w.decode() for w in cut) and len(cut) > 20
+    assert all(any(run[k : k + 33] in w for w in cut) for k in range(len(run) - 33))
+
+
 def test_toxicity_without_both_classes():
     m = toxicity.fit([(1, b"a b", 0), (2, b"c", 0)])
     assert 0 < m.score(m.features(b"x")[None])[0] < 0.5
