@@ -68,9 +68,9 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("answer_text")
 def answer_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("n_chars < 2000")
-    r = docs.select(
-        F.col("source").alias("answer"), F.col("doc_id").alias("place"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("https://h.example/"), "doc_id").alias("url"),
+    """One answer per document, of any length: groups stay small."""
+    r = table(spark, d, "documents").select(
+        F.col("doc_id").alias("answer"), F.col("doc_id").alias("place"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("https://h.example/"), "doc_id").alias("url"),
         F.array(F.struct(F.col("text"))).alias("passages"), F.array(F.struct(F.lit("txt").alias("language"), F.lit("a ``` b").alias("text"))).alias("code"),
     )
     return sinks.render(r, "answer").select("answer", F.length("body").alias("n_chars"), F.sha2("body", 256).alias("body_sha256"))

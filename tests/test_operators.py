@@ -158,3 +158,16 @@ def test_archive_entries_and_dates(spark):
     got = df.select(contracts.safe_entry(F.col("n")).alias("s"), contracts.iso_date(F.col("d")).alias("d")).collect()
     assert [r["s"] for r in got] == [True, False, False, True]
     assert [str(r["d"]) for r in got] == ["2024-02-29", "None", "None", "None"]
+
+
+def _documents(spark, path, texts):
+    rows = [(i, t, "en", "s", None if i == 1 else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+
+
+def test_answers_of_documents_of_any_length(spark, tmp_path):
+    from lucerna.plans import contracts as plan
+
+    _documents(spark, tmp_path, ["short", "unmeasured", "long " * 2000])
+    got = {r["answer"]: r["n_chars"] for r in plan.answer_text(spark, str(tmp_path)).collect()}
+    assert got.keys() == {0, 1, 2} and got[2] - got[0] == 10_000 - 5
