@@ -171,3 +171,10 @@ def test_answers_of_documents_of_any_length(spark, tmp_path):
     _documents(spark, tmp_path, ["short", "unmeasured", "long " * 2000])
     got = {r["answer"]: r["n_chars"] for r in plan.answer_text(spark, str(tmp_path)).collect()}
     assert got.keys() == {0, 1, 2} and got[2] - got[0] == 10_000 - 5
+
+
+def test_spans_in_documents_of_any_length(spark, tmp_path):
+    from lucerna.plans import contracts as plan
+
+    _documents(spark, tmp_path, ["the dog and the cat", "the dog", "word " * 1000 + "the dog and cat", "the " + "word " * 1000 + "and"])
+    assert {r["doc_id"] for r in plan.concept_windows(spark, str(tmp_path)).collect()} == {0, 2}
