@@ -72,6 +72,17 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % m
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, altered where the table has a column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -28,8 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lucerna.llm import repeats
 from lucerna.llm.bpe import slices
-from lucerna.llm.common import Scratch, bytes_of
+from lucerna.llm.common import Scratch, bytes_of, fresh
 
 DEPTH, GRAM = 400, 32
 #: Bytes of text in a chunk, and ranks in a bucket, about.
@@ -136,7 +137,7 @@ def _decoded(row: dict) -> tuple[list[bytes], list[np.ndarray]]:
 
 
 def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(id, n_bytes, begins, ends, kept_sha256) per row: the removed byte runs of the whole text.
+    """(id, n_bytes, begins, ends, kept_sha256, digest) per row: the removed byte runs of the whole text, and its SHA-256.
 
     A null or empty text, or one shorter than ``depth`` bytes, loses nothing.
     Matches never cross texts; the same text may hold both.  Repeated rows are
@@ -154,22 +155,22 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
                 ends = np.append(0, np.cumsum([len(a) for a in found])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(found))
                 digests = [hashlib.sha256(t).digest() for t in texts]
-                yield pa.record_batch([b.column("id"), pa.array(digests, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), lists], names=["id", "digest", "n_bytes", "anchors"])
+                part = np.frombuffer(b"".join(digests), np.int64)[::4]
+                yield pa.record_batch([b.column("id"), pa.array(digests, pa.binary()), pa.array(part), pa.array([len(t) for t in texts], pa.int64()), lists], names=["id", "digest", "part", "n_bytes", "anchors"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    of = scratch.save(source.mapInArrow(scan, f"id {kind}, digest binary, n_bytes long, anchors array<long>"), "texts")
-    classes = of.groupBy("digest").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
-    listed = of.where(F.size("anchors") > 0).select("digest", F.posexplode("anchors").alias("at", "anchor")).distinct()
-    listed = scratch.save(listed, "anchors")
+    of = scratch.save(source.mapInArrow(scan, f"id {kind}, digest binary, part long, n_bytes long, anchors array<long>"), "texts")
+    first = [F.first(c).alias(c) for c in ("part", "n_bytes", "anchors")]
+    classes = scratch.save(of.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("_id"), *first), "classes")
+    # classes that share 64 bits of their digests share what is wanted of them: too much, never too little
+    listed = classes.select("part", F.explode("anchors").alias("anchor"))
     often = listed.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("_a"), F.xxhash64("anchor").alias("_g"))
     hit = listed.withColumn("_h", F.xxhash64("anchor")).join(often, (F.col("_h") == F.col("_g")) & (F.col("anchor") == F.col("_a")))
-    wanted = scratch.save(hit.groupBy("digest").agg(F.collect_set("anchor").alias("anchors")), "wanted")
-    scratch.drop(listed)
+    wanted = hit.groupBy(F.col("part").alias("_p")).agg(F.collect_set("anchor").alias("anchors"))
 
     # one text of each wanted class: the least row of those that hold it
     digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    firsts = of.groupBy("digest").agg(F.min("id").alias("_id"))
-    wanted = wanted.join(firsts, "digest").select(F.col("digest").alias("_d"), "_id", "anchors")
+    wanted = classes.drop("anchors").join(wanted, F.col("part") == F.col("_p")).select(F.col("digest").alias("_d"), "_id", "anchors")
     texts = source.where(F.octet_length("text") >= depth).withColumn("digest", digest)
     texts = texts.join(wanted, (F.col("digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("_id"))).select("digest", "text", "anchors")
 
@@ -196,44 +197,16 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
         for whole in batches:
             for row in whole.to_pylist():
                 _, ranks, _, counts = chunk_ranks(*_decoded(row), depth)
-                bucket = (ranks % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                here = [p for p in range(buckets) if cuts[p] < cuts[p + 1]]
-                own = [order[cuts[p] : cuts[p + 1]] for p in here]
-                columns = [pa.array(here, pa.int64()), pa.array([row["chunk"]] * len(here), pa.int64()), pa.array([ranks[o].tobytes() for o in own], pa.binary()), pa.array([np.packbits(counts[o] > 1).tobytes() for o in own], pa.binary())]
-                yield pa.record_batch(columns, names=["bucket", "chunk", "ranks", "twice"])
-
-    def answer(group: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x, np.uint64) for x in group.column("ranks").to_pylist()]
-        ends = np.cumsum([len(x) for x in lists])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(r)] for x, r in zip(group.column("twice").to_pylist(), lists)])
-        ranks = np.concatenate(lists)
-        # one suffix bucket, sorted: a rank repeats if its neighbour is the same, or if a chunk holds it twice
-        order = np.argsort(ranks, kind="stable")
-        sorted_ranks = ranks[order]
-        first = np.append(True, sorted_ranks[1:] != sorted_ranks[:-1])
-        run = first.cumsum() - 1
-        again = (np.bincount(run) > 1) | (np.bincount(run, twice[order]) > 0)
-        out = np.zeros(len(ranks), bool)
-        out[order] = again[run]
-        bits = [np.packbits(out[s:e]).tobytes() for s, e in zip(np.append(0, ends[:-1]), ends)]
-        return pa.table([group.column("chunk"), group.column("bucket"), pa.array(bits, pa.binary())], names=["chunk", "bucket", "bits"])
-
-    asked = chunks.mapInArrow(ask, "bucket long, chunk long, ranks binary, twice binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, bits binary")
-    told = answers.groupBy(F.col("chunk").alias("_c")).agg(F.collect_list(F.struct("bucket", "bits")).alias("told"))
+                yield repeats.question(row["chunk"], ranks, counts, buckets)
+
+    told = repeats.told(chunks.mapInArrow(ask, "part long, chunk long, sent binary, twice binary"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for row in whole.to_pylist():
                 texts, lists = _decoded(row)
                 starts, ranks, place, _ = chunk_ranks(texts, lists, depth)
-                bucket = (ranks % np.uint64(buckets)).astype(np.int64)
-                again = np.zeros(len(ranks), bool)
-                for t in row["told"] or []:
-                    own = np.flatnonzero(bucket == t["bucket"])
-                    again[own] = np.unpackbits(np.frombuffer(t["bits"], np.uint8))[: len(own)] > 0
+                again = repeats.heard(ranks, buckets, row["told"])
                 again, at, out = again[place.ravel()], 0, [[], [], [], []]
                 for d, text, s in zip(row["digests"], texts, starts):
                     b, e = spans(s[again[at : at + len(s)]], depth)
@@ -259,27 +232,33 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     )
     rows = of.select("id", "digest", "n_bytes").withColumn("_h", F.xxhash64("digest"))
     out = rows.join(by_class, (F.col("_h") == F.col("_g")) & (F.col("digest") == F.col("_d")))
-    return out.select(F.col("id").alias(id_col), "n_bytes", "begins", "ends", "kept_sha256")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "begins", "ends", "kept_sha256", "digest")
 
 
-def cut(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(df: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with their texts less the removed runs.
 
-    A character of which a run takes some bytes goes whole.  Rows keep their
-    columns; ids must be unique.
+    A row's runs are found by its text, so ids may be null, repeat, or stand for
+    several texts, and every row is answered once.  A character of which a run
+    takes some bytes goes whole.  Rows keep their columns, whatever their names.
     """
-    some = found.where(F.size("begins") > 0).select(F.col(id_col).alias("_i"), "begins", "ends")
-    joined = df.join(some, F.col(id_col) == F.col("_i"), "left").drop("_i")
-    names, names_out = joined.columns, df.columns
+    digest, part, there, part_there, begins, ends = fresh(df, "digest", "part", "there", "part_there", "begins", "ends")
+    some = found.where(F.size("begins") > 0).dropDuplicates(["digest"])
+    some = some.select(F.col("digest").alias(there), F.xxhash64("digest").alias(part_there), F.col("begins").alias(begins), F.col("ends").alias(ends))
+    rows = df.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)))
+    rows = rows.withColumn(part, F.xxhash64(digest))
+    joined = rows.join(some, (F.col(part) == F.col(part_there)) & (F.col(digest) == F.col(there)), "left").drop(digest, part, there, part_there)
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = names.index(text_col)
-            texts = b.column(at).to_pylist()
-            for i, (s, e) in enumerate(zip(b.column(names.index("begins")).to_pylist(), b.column(names.index("ends")).to_pylist())):
-                if s:
-                    texts[i] = kept(texts[i].encode(), s, e).decode("utf-8", "ignore")
-            columns = [pa.array(texts, b.column(at).type) if n == text_col else b.column(names.index(n)) for n in names_out]
-            yield pa.record_batch(columns, names=names_out)
+        at = names.index(text_col)
+        for whole in batches:
+            for b in slices(whole, text_col):
+                texts, spans = b.column(at).to_pylist(), zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist())
+                for i, (s, e) in enumerate(spans):
+                    if s:
+                        texts[i] = kept(texts[i].encode(), s, e).decode("utf-8", "ignore")
+                columns = [pa.array(texts, b.column(at).type) if i == at else b.column(i) for i in range(len(names))]
+                yield pa.record_batch(columns, names=names)
 
     return joined.mapInArrow(run, df.schema)

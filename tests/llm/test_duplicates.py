@@ -46,6 +46,8 @@ def test_forest_spans_what_is_linked():
 def small_tiles(monkeypatch):
     for m in (tiles, simhash, embedding, lines):
         monkeypatch.setattr(m, "TILE", 3)
+    monkeypatch.setattr(lines, "CHUNK", 7)
+    monkeypatch.setattr(lines, "PART", 200)
 
 
 def _near_texts(rng, n):
@@ -178,11 +180,11 @@ def test_lines_equal_brute_force(spark, small_tiles):
     for i, t in enumerate(texts):
         for k, x in enumerate((t or "").split("\n")):
             n = lines.normal(x)
-            if len(n.split()) >= lines.WORDS:
+            if n:
                 occ.append((i, k, seen.setdefault(n, len(seen))))
     names = list(seen)
-    s = lines.simhashes([n.split() for n in names]).view(np.uint64)
-    pairs = [(a, b) for a in range(len(names)) for b in range(a) if bin(int(s[a] ^ s[b])).count("1") <= 3 and lines.within(names[a], names[b], 0.8)]
+    long = [len(n.split()) >= lines.WORDS for n in names]
+    pairs = [(a, b) for a in range(len(names)) for b in range(a) if long[a] and long[b] and lines.within(names[a], names[b], 0.8)]
     group, first, want = _classes(len(names), pairs), set(), {}
     for i, k, n in occ:
         if group[n] in first:
@@ -191,7 +193,7 @@ def test_lines_equal_brute_force(spark, small_tiles):
     got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(df, Scratch(spark, "t")).collect()}
     assert got == want and pairs
     out = {r["doc_id"]: r["text"] for r in lines.drop_lines(df, lines.repeated_lines(df, Scratch(spark, "t"))).collect()}
-    assert out[0] is None and out[1] == "" and out[2] == "\n\n" and out[4] == "ab cd"
+    assert out[0] is None and out[1] == "" and out[2] == "\n\n" and out[4] == ""
     for i, drop in want.items():
         assert out[i] == "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in drop)
     assert lines.repeated_lines(df.limit(0), Scratch(spark, "t")).count() == 0
@@ -233,7 +235,7 @@ def test_whole_search_finds_like_lines_of_any_length(spark, small_tiles):
                 rows += [(2 * pairs, a), (2 * pairs + 1, b)]
                 pairs += 1
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(df, Scratch(spark, "t"), whole=True).collect()}
+    got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(df, Scratch(spark, "t")).collect()}
     assert pairs > 18 and got == {2 * k + 1: [0] for k in range(pairs)}
     assert set(lines.deletions("abcdefghij", 0.8)) & set(lines.deletions("xbcdefghik", 0.8))
 
@@ -242,6 +244,25 @@ def test_short_and_unspaced_lines_repeat(spark):
     own = "这是一个没有空格的句子而且它会重复出现"
     texts = ["Les.", "LES!", "...", "...", own, own, own[:-1] + "了", "a b"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for whole in (False, True):
-        got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(df, Scratch(spark, "t"), whole=whole, every=True).collect()}
-        assert got == {1: [0], 5: [0]} | ({6: [0]} if whole or 6 in got else {})
+    got = {r["doc_id"]: r["dropped"] for r in lines.repeated_lines(df, Scratch(spark, "t")).collect()}
+    assert got == {1: [0], 5: [0], 6: [0]}
+
+
+def test_normal_lines_and_their_hashes():
+    assert lines.normal("Foo_BAR 12,345 é!") == "foo bar 0 0 é" and lines.normal(" \t") == "" == lines.normal("")
+    found = lines.Lines(["a b\n\nTHE 99 cats", "", "the 7 CATS", "\n这是一个句子"])
+    assert found.number.tolist() == [0, 2, 4, 6] and found.line[1] == found.line[2] != found.line[0]
+    assert found.units.tolist() == [2, 3, 3, 5] and found.size.tolist() == [3, 10, 10, 6]
+    assert found.texts(np.array([1, 3])) == ["the 0 cats", "这是一个句子"]
+    empty = lines.Lines([""])
+    assert len(empty.line) == 0 and empty.search(0.8)[0] == []
+
+
+def test_values_that_repeat():
+    from lucerna.llm import repeats
+
+    rng = np.random.default_rng(3)
+    values = np.unique(rng.integers(0, 1 << 63, 50, dtype=np.uint64))
+    by = repeats.places(values, 7)
+    assert sorted(np.concatenate(list(by.values())).tolist()) == list(range(len(values)))
+    assert all((values[o] % np.uint64(7) == p).all() for p, o in by.items()) and repeats.places(values[:0], 7) == {}
