@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.llm import language, lines, packing, simhash, suffix
-from lucerna.llm.common import Scratch, crc_mod
+from lucerna.llm.common import Scratch, crc_mod, fresh
 
 #: Texts whose best language has a lower posterior are rejected, like those without a letter.
 LEAST_SCORE = 0.4
+#: Bytes of a passage that may not repeat: those of 50 words of three letters and a space, so that a repeated passage
+#: of more than 50 words is found unless its words are shorter still (op9's contract asks for 400 bytes instead).
+PASSAGE = 200
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -31,19 +34,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one occurrence of each group of like lines; documents stay, if only as an empty text."""
-    return _counted(lines.drop_lines(docs, lines.repeated_lines(docs, Scratch(spark, "stage2"), every=True)))
+    return _counted(lines.drop_lines(docs, lines.repeated_lines(docs, Scratch(spark, "stage2"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near-duplicates."""
-    found = simhash.near_duplicates(docs, Scratch(spark, "stage3")).select(F.col("doc_id").alias("_i"), "component_id")
-    goes = found.where("_i <> component_id")
-    return docs.join(goes, F.col("doc_id") == F.col("_i"), "left_anti")
+    """Keeps the least id of each group of documents whose 5-word shingles are alike to 0.8 or more.
+
+    Rows that repeat the kept id all stay, and so do rows without an id.
+    """
+    found, (there,) = simhash.similar_texts(docs, Scratch(spark, "stage3")), fresh(docs, "there")
+    goes = found.where("doc_id <> component_id").select(F.col("doc_id").alias(there))
+    return docs.join(goes, F.col("doc_id") == F.col(there), "left_anti")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts what lies in strings of 400 bytes that also start elsewhere; documents stay, if only as an empty text."""
-    return _counted(suffix.cut(docs, suffix.repeated_spans(docs, Scratch(spark, "stage9"))))
+    """Cuts what lies in strings of PASSAGE bytes that also start elsewhere; documents stay, if only as an empty text."""
+    return _counted(suffix.cut(docs, suffix.repeated_spans(docs, Scratch(spark, "stage9"), depth=PASSAGE)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express none of these stages' learned and hashed decisions; the tests compare run() with a brute-force version.
+#: SQL can't express these stages' learned and hashed decisions; tests/llm/test_pipeline.py compares run() with brute force.
 ORACLE_SQL = None
 
 
