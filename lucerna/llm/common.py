@@ -61,6 +61,8 @@ class Scratch:
         if at:
             path = self._path(at)
             path.getFileSystem(self._hadoop()).delete(path, True)
+            # the cleaner deletes shuffle files of queries that the driver's JVM has collected: let it notice now
+            self.spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
