@@ -220,6 +220,21 @@ def test_edit_similarity():
             assert lines.possible(lines.letters(a)[None], lines.letters(b)[None], 0.8)[0]
 
 
+def test_edit_similarity_of_many_pairs(monkeypatch):
+    rng = random.Random(2)
+    x, y = [""], ["abc"]
+    for n in (0, 1, 5, 63, 64, 65, 130, 300, 700):
+        for _ in range(12):
+            a = "".join(rng.choice("abcdé ") for _ in range(n))
+            b = "".join(rng.choice("abcdé ") if rng.random() < 0.3 * rng.random() else c for c in a if rng.random() > 0.1 * rng.random()) + rng.choice(["", "zz"])
+            x.append(a)
+            y.append(b)
+    want = [lines.within(a, b, 0.8) for a, b in zip(x, y)]
+    assert lines.all_within(x, y, 0.8).tolist() == want and 20 < sum(want) < len(want) - 20
+    monkeypatch.setattr(lines, "TABLES", 1)
+    assert lines.all_within(x, y, 0.8).tolist() == want and lines.all_within([], [], 0.8).tolist() == []
+
+
 def test_whole_search_finds_like_lines_of_any_length(spark, small_tiles):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
