@@ -190,6 +190,9 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
 WORDS, SIMILARITY, WIDE = 5, 0.8, 28
 #: Differing bits that the first 64 may have: 3.5 standard deviations above the mean at similarity 0.8.
 FIRST = 20
+#: Rows that one side of a tile of the wide search holds on average at most: what is compared is the same, but larger
+#: tiles send a row to fewer of them.
+WIDE_TILE = 1 << 15
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -270,7 +273,7 @@ def similar_texts(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
             yield pa.record_batch([pa.array(own), pa.array(n)], names=["band", "n"])
 
     # a row for each band: some 60 up to a million words, whatever the number of texts
-    sizes = {r[0]: -(-r[1] // TILE) for r in classes.select("n").mapInArrow(bands, "band long, n long").groupBy("band").agg(F.sum("n")).collect()}
+    sizes = {r[0]: -(-r[1] // WIDE_TILE) for r in classes.select("n").mapInArrow(bands, "band long, n long").groupBy("band").agg(F.sum("n")).collect()}
     held = spark.sparkContext.broadcast(sizes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

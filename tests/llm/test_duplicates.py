@@ -46,6 +46,7 @@ def test_forest_spans_what_is_linked():
 def small_tiles(monkeypatch):
     for m in (tiles, simhash, embedding, lines):
         monkeypatch.setattr(m, "TILE", 3)
+    monkeypatch.setattr(simhash, "WIDE_TILE", 3)
     monkeypatch.setattr(lines, "CHUNK", 7)
     monkeypatch.setattr(lines, "PART", 200)
 
@@ -75,6 +76,27 @@ def test_simhash_equals_brute_force(spark, small_tiles):
     assert simhash.near_duplicates(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_similar_texts_equal_brute_force(spark, small_tiles):
+    rng = random.Random(17)
+    texts = [None, "", " ", "one two", "ONE two", "one two three", *_near_texts(rng, 40), "long " * 20000, "long " * 20001]
+    for n in (30, 90, 400):
+        own = [f"v{rng.randrange(900)}" for _ in range(n)]
+        texts += [" ".join(own), " ".join(own[: n - n // 12]), " ".join(own[: n // 2]), " ".join(own) + "\n" + " ".join(f"u{i}" for i in range(n // 3))]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(4, "one two", 2), (None, "", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, name int")
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = _classes(len(sets), alike)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df, Scratch(spark, "t")).collect()}
+    assert got == dict(enumerate(want)) and len(alike) > 60
+    assert simhash.similar_texts(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
 def test_fingerprint_bits():
     import xxhash
 
@@ -220,21 +242,6 @@ def test_edit_similarity():
             assert lines.possible(lines.letters(a)[None], lines.letters(b)[None], 0.8)[0]
 
 
-def test_edit_similarity_of_many_pairs(monkeypatch):
-    rng = random.Random(2)
-    x, y = [""], ["abc"]
-    for n in (0, 1, 5, 63, 64, 65, 130, 300, 700):
-        for _ in range(12):
-            a = "".join(rng.choice("abcdé ") for _ in range(n))
-            b = "".join(rng.choice("abcdé ") if rng.random() < 0.3 * rng.random() else c for c in a if rng.random() > 0.1 * rng.random()) + rng.choice(["", "zz"])
-            x.append(a)
-            y.append(b)
-    want = [lines.within(a, b, 0.8) for a, b in zip(x, y)]
-    assert lines.all_within(x, y, 0.8).tolist() == want and 20 < sum(want) < len(want) - 20
-    monkeypatch.setattr(lines, "TABLES", 1)
-    assert lines.all_within(x, y, 0.8).tolist() == want and lines.all_within([], [], 0.8).tolist() == []
-
-
 def test_whole_search_finds_like_lines_of_any_length(spark, small_tiles):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
