@@ -46,9 +46,14 @@ _EDGE, _NOT_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 @pandas_udf(StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    """Unicode NFKC; no built-in function does it."""
-    return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+def _nfkc(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def nfkc(value: Column) -> Column:
+    """Unicode NFKC; no built-in function does it.  Only texts beyond ASCII travel to Python: the others go as nulls."""
+    wide = value.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, _nfkc(F.when(wide, value))).otherwise(value)
 
 
 @pandas_udf(StringType())
@@ -72,8 +77,9 @@ def _entities(values: pd.Series) -> pd.Series:
 
 
 def decode_entities(value: Column) -> Column:
-    """The entities that can disguise markup: four named ones and all numeric ones."""
-    return F.when(value.rlike(r"(?i)&(#x?[0-9a-f]+|colon|semi|lpar|rpar);"), _entities(value)).otherwise(value)
+    """The entities that can disguise markup: four named ones and all numeric ones.  Texts without one don't leave the JVM."""
+    some = value.rlike(r"(?i)&(#x?[0-9a-f]+|colon|semi|lpar|rpar);")
+    return F.when(some, _entities(F.when(some, value))).otherwise(value)
 
 
 def html_to_text(value: Column, entities: bool = True) -> Column:
@@ -103,17 +109,23 @@ def anchors_of(html: Column) -> Column:
 
 
 def phrases(question: Column) -> Column:
-    return F.transform(F.regexp_extract_all(question, F.lit('"([^"\\n]+)"'), F.lit(1)), F.lower)
+    return F.transform(F.regexp_extract_all(nfkc(question), F.lit('"([^"\\n]+)"'), F.lit(1)), F.lower)
 
 
 def tokens(question: Column) -> Column:
     """Distinct lower-case terms of a question without its phrases and operators: words, then whole identifiers."""
     bare = F.regexp_replace(F.regexp_replace(question, r"(^|\s)-?\w+:[^\s]+", " "), '"[^"\\n]+"', " ")
+    bare = nfkc(bare)
     words = F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     identifiers = F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_./:+#\-]{2,}"), F.lit(0))
     return F.filter(F.array_distinct(F.transform(F.concat(words, identifiers), F.lower)), lambda t: F.length(t) > 1)
 
 
+def units(question: Column) -> Column:
+    """What coverage counts: the terms of a question, then its phrases."""
+    return F.concat(tokens(question), phrases(question))
+
+
 def profile(question: Column, terms: Column | None = None) -> Column:
     said = F.lower(question) if terms is None else F.concat(F.array_join(terms, " "), F.lit(" "), F.lower(question))
     out = None
@@ -235,7 +247,7 @@ def slug(heading: Column) -> Column:
 
 def pdf_text(body: Column) -> Column:
     """The literal strings that a plain PDF shows."""
-    found = F.regexp_extract_all(F.decode(body, "ISO-8859-1"), F.lit(r"\(((?:\\.|[^\\)])*)\)\s*Tj"), F.lit(1))
+    found = F.regexp_extract_all(F.decode(body, "ISO-8859-1"), F.lit(r"\(([^\\)]*+(?:\\.[^\\)]*+)*+)\)\s*Tj"), F.lit(1))
     return F.array_join(F.transform(found, lambda x: F.regexp_replace(x, r"\\([()\\])", "$1")), "\n")
 
 

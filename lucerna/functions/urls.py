@@ -223,3 +223,10 @@ def safe_link(url: Column) -> Column:
 
 def log_safe(url: Column) -> Column:
     return F.regexp_replace(url, r"[?#][\s\S]*$", "")
+
+
+def canonical_link(header: Column) -> Column:
+    """The address that a Link header gives the relation canonical; null without one."""
+    links = F.split(F.coalesce(header, F.lit("")), r",\s*(?=<)")
+    own = F.filter(links, lambda x: x.rlike(r"(?i);\s*rel\s*=\s*\"?([^\"]*\s)?canonical(\s[^\"]*)?\"?\s*(;|$)"))
+    return F.nullif(F.regexp_extract(F.try_element_at(own, F.lit(1)), r"^\s*<([^>]*)>", 1), F.lit(""))

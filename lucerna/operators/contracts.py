@@ -138,3 +138,11 @@ def iso_date(value: Column) -> Column:
     """The calendar date that a text writes as yyyy-MM-dd, exactly; null otherwise."""
     parsed = F.try_to_date(value, "yyyy-MM-dd")
     return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.date_format(parsed, "yyyy-MM-dd") == value), parsed)
+
+
+def cited(answers: DataFrame, sources: DataFrame, run: list[str], answer: str, text: str) -> DataFrame:
+    """(run, answer, cited, resolved): each distinct mark [n] of an answer, and whether its run has a source of that number."""
+    marks = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\[([0-9]+)\]"), F.lit(1)))
+    said = answers.select(*run, answer, F.explode(marks).alias("m")).select(*run, answer, F.col("m").try_cast("int").alias("cited"))
+    have = sources.select(*run, F.col("number").alias("cited")).distinct().withColumn("_have", F.lit(True))
+    return said.join(have, [*run, "cited"], "left").select(*run, answer, "cited", F.col("_have").isNotNull().alias("resolved"))

@@ -129,7 +129,7 @@ def near_pairs(signatures: DataFrame, origin: str, key: str, least: float = 0.9)
     return pairs.where(F.col("similarity") >= least).distinct()
 
 
-def representatives(nodes: DataFrame, pairs: DataFrame, key: str, rounds: int = 20) -> DataFrame:
+def representatives(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """(key, representative): the least key that pairs reach, by repeated hooking of labels (order-free)."""
     spark = nodes.sparkSession
     edges = pairs.select(F.col("left_id").alias("x"), F.col("right_id").alias("y"))
@@ -140,7 +140,7 @@ def representatives(nodes: DataFrame, pairs: DataFrame, key: str, rounds: int =
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lucerna-"))
     last = None
-    for _ in range(rounds):
+    while True:
         heard = edges.join(labels.withColumnRenamed("id", "y"), "y").groupBy("x").agg(F.min("label").alias("heard"))
         labels = labels.join(heard, labels.id == heard.x).select("id", F.least("label", "heard").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("to"))

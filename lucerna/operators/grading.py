@@ -112,3 +112,23 @@ def nearest_rank(values: Column, share: float) -> Column:
 def violations(checks: dict[str, Column]) -> Column:
     """The names of the rules that a row breaks."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
+
+
+def unread_sources(claimed: DataFrame, read: DataFrame, run: str, url: str) -> DataFrame:
+    """(run, n_claimed, n_missing): the distinct addresses that a run's claims name, and those it never read."""
+    both = claimed.select(run, url).distinct().join(read.select(run, url).distinct().withColumn("_read", F.lit(True)), [run, url], "left")
+    return both.groupBy(run).agg(F.count("*").alias("n_claimed"), F.count_if(F.col("_read").isNull()).alias("n_missing"))
+
+
+def spread(samples: DataFrame, keys: list[str], value: str, bound: float) -> DataFrame:
+    """Least, middle (by nearest rank) and greatest value of each group, its size, and how many exceed the bound."""
+    v = F.col(value)
+    return samples.groupBy(*keys).agg(
+        F.min(v).alias("low"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}`)").alias("middle"), F.max(v).alias("high"), F.count("*").alias("n"), F.count_if(v > bound).alias("n_over")
+    )
+
+
+def category_counts(scored: DataFrame) -> DataFrame:
+    """(category, n, one column for each class): how the totals of each category fall."""
+    label = scoring.classification(F.col("total"))
+    return scored.groupBy("category").agg(F.count("*").alias("n"), *[F.count_if(label == c).alias(c) for c in ("excellent", "relevant", "degraded", "not_relevant", "unmeasurable")])

@@ -1,32 +1,151 @@
 """Which questions' units a text contains, without pairing every question with every text.
 
-The distinct units of all questions are few (``LIMIT`` at most, checked); they
-travel to the texts as one constant array.  A text keeps the units that it
-contains, and only those rows meet the questions, by an equi-join on the unit.
+The units of all questions form one automaton (Aho-Corasick), which reads a text
+once however many units there are.  What a text holds is added up per question
+on the spot, so nothing but the wanted pairs leaves the scan: no shuffle.
+Questions travel to the texts in passes of at most ``LIMIT`` units, whatever
+their number; a question lies in one pass.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: Units of questions that one pass searches for, about: the automaton and the counts of a pass stay below some 200 MB.
+LIMIT = 500_000
+
+
+def folded(text: str | None) -> str:
+    """Compatibility forms made plain, lower case: how units and texts are compared."""
+    if not text:
+        return ""
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
+
+
+class Units:
+    """An automaton over the units of some questions, built where it is used."""
+
+    def __init__(self, asked: list[tuple[object, list[str]]]):
+        self.asked, self._ready = asked, None
+
+    def __getstate__(self):
+        return self.asked
+
+    def __setstate__(self, asked):
+        self.__init__(asked)
 
-#: Distinct units over all questions that are searched for in one pass.
-LIMIT = 20_000
+    def ready(self):
+        if self._ready is None:
+            import ahocorasick
 
+            places: dict[str, list[int]] = {}
+            for q, (_, units) in enumerate(self.asked):
+                for u in set(units):
+                    places.setdefault(u, []).append(q)
+            automaton = ahocorasick.Automaton()
+            for i, u in enumerate(places):
+                automaton.add_word(u, i)
+            if places:
+                automaton.make_automaton()
+            self._ready = automaton if places else None, [np.array(x) for x in places.values()], np.array([max(1, len(set(u))) for _, u in self.asked])
+        return self._ready
 
-def matched_units(questions: DataFrame, texts: DataFrame, corpus: str, keep: list[str]) -> DataFrame:
-    """(question columns, ``keep`` columns of texts, n_hits) of every pair that shares a unit.
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """For each question, how many units the text holds, and how many its best line holds."""
+        automaton, places, sizes = self.ready()
+        if automaton is None or not text:
+            return np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        lines, at = {}, -1
+        ends = [i for i, c in enumerate(text) if c == "\n"] if "\n" in text else []
+        line, n, found = 0, len(ends), set()
+        for at, unit in automaton.iter(text):
+            if line < n and at > ends[line]:
+                lines[line] = found
+                found = set()
+                while line < n and at > ends[line]:
+                    line += 1
+            found.add(unit)
+        lines[line] = found
+        add = lambda units: np.bincount(np.concatenate([places[u] for u in units]), minlength=len(sizes)) if units else np.zeros(len(sizes), np.int64)
+        whole, best = add(set().union(*lines.values())), np.zeros(len(sizes), np.int64)
+        for units in lines.values():
+            np.maximum(best, add(units), out=best)
+        return whole, best
 
-    ``questions`` has ``units`` (distinct within a question).  Beyond ``LIMIT``
-    units the texts are searched in several passes.
+
+def matched_units(questions: DataFrame, key: str, texts: DataFrame, corpus: str, keep: list[str], least: float = 0.0) -> DataFrame:
+    """(key, n_units, ``keep`` columns, n_hits, n_best) of every pair that shares a unit, and at least that share of them.
+
+    ``questions`` has ``key`` and ``units`` (folded, without line ends); n_best is
+    the hits of the text's best line.  A question without units and an empty text
+    match nothing.
     """
-    units = [r[0] for r in questions.select(F.explode("units").alias("u")).distinct().orderBy("u").collect()]
-    found = None
-    for at in range(0, max(1, len(units)), LIMIT):
-        part = F.array(*[F.lit(u) for u in units[at : at + LIMIT]]) if units else F.array().cast("array<string>")
-        has = F.filter(part, lambda u: F.contains(F.col(corpus), u))
-        one = texts.select(*keep, F.explode(has).alias("unit"))
+    spark = texts.sparkSession
+    asked = questions.where(F.size("units") > 0).select(key, "units")
+    total = asked.agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
+    passes = max(1, -(-total // LIMIT))
+    kind = {f.name: f.dataType.simpleString() for f in [*texts.schema, *questions.schema]}
+    schema = f"`{key}` {kind[key]}, n_units int, " + "".join(f"`{c}` {kind[c]}, " for c in keep) + "n_hits long, n_best long"
+    found, arrow = None, to_arrow_type(questions.schema[key].dataType)
+    for p in range(passes):
+        own = asked.where(F.pmod(F.xxhash64(key), F.lit(passes)) == p) if passes > 1 else asked
+        held = spark.sparkContext.broadcast(Units([(r[0], r[1]) for r in own.collect()]))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            units = held.value
+            sizes = units.ready()[2]
+            keys = pa.array([k for k, _ in units.asked]).cast(arrow)
+            for b in batches:
+                out = []
+                for text in b.column(b.num_columns - 1).to_pylist():
+                    whole, best = units.count(folded(text))
+                    hit = np.flatnonzero((whole > 0) & (whole >= least * sizes - 1e-9))
+                    out.append((hit, whole[hit], best[hit]))
+                row = pa.array(np.repeat(np.arange(b.num_rows), [len(x[0]) for x in out]))
+                hit, whole, best = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out) if out else ([], [], [])))
+                columns = [keys.take(pa.array(hit)), pa.array(sizes[hit].astype(np.int32)), *(b.column(i).take(row) for i in range(len(keep))), pa.array(whole), pa.array(best)]
+                yield pa.record_batch(columns, names=[key, "n_units", *keep, "n_hits", "n_best"])
+
+        one = texts.select(*keep, F.col(corpus).alias("_corpus")).mapInArrow(run, schema)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def containing(passages: DataFrame, key: str, column: str, texts: DataFrame, corpus: str, keep: list[str]) -> DataFrame:
+    """(key, ``keep`` columns of texts) of every text that holds a passage as it is written; an empty passage is in none."""
+    spark = texts.sparkSession
+    some = passages.where(F.col(column) != "").select(F.col(key).alias("key"), F.col(column).alias("passage"))
+    total = some.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
+    passes = max(1, int(-(-total // (16 * LIMIT))))
+    kind = {f.name: f.dataType.simpleString() for f in [*texts.schema, *passages.schema]}
+    found, arrow = None, to_arrow_type(passages.schema[key].dataType)
+    for p in range(passes):
+        own = some.where(F.pmod(F.xxhash64("passage"), F.lit(passes)) == p) if passes > 1 else some
+        by: dict[str, list] = {}
+        for k, passage in own.collect():
+            by.setdefault(passage, []).append(k)
+        held = spark.sparkContext.broadcast(by)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            by, automaton = held.value, ahocorasick.Automaton()
+            for passage in by:
+                automaton.add_word(passage, passage)
+            if by:
+                automaton.make_automaton()
+            for b in batches:
+                hits = [{x for _, x in automaton.iter(t)} if t and by else set() for t in b.column(b.num_columns - 1).to_pylist()]
+                pairs = [(k, i) for i, some in enumerate(hits) for x in some for k in by[x]]
+                row = pa.array([i for _, i in pairs], pa.int64())
+                yield pa.record_batch([pa.array([k for k, _ in pairs]).cast(arrow), *(b.column(i).take(row) for i in range(len(keep)))], names=[key, *keep])
+        one = texts.select(*keep, F.col(corpus).alias("_corpus")).mapInArrow(run, f"`{key}` {kind[key]}" + "".join(f", `{c}` {kind[c]}" for c in keep))
         found = one if found is None else found.unionByName(one)
-    asked = questions.withColumn("unit", F.explode("units")).withColumn("n_units", F.size("units")).drop("units")
-    others = [c for c in asked.columns if c != "unit"]
-    return found.join(asked, "unit").groupBy(*others, *keep).agg(F.count("*").alias("n_hits"))
+    return found

@@ -92,10 +92,10 @@ def status(n: Column, wanted: Column, any_fair: Column) -> tuple[Column, Column]
     return s, F.when(s == "success", "high").when(any_fair, "medium").otherwise("low")
 
 
-def interleave(first: DataFrame, second: DataFrame, group: str, order: list, key: str) -> DataFrame:
-    """Two ranked lists in turns, the first leading; a key keeps its first place."""
-    w = Window.partitionBy(group).orderBy(*order)
-    both = first.withColumn("turn", F.row_number().over(w)).withColumn("side", F.lit(0)).unionByName(second.withColumn("turn", F.row_number().over(w)).withColumn("side", F.lit(1)))
+def interleave(first: DataFrame, second: DataFrame, group: str, order: list, key: str, second_order: list | None = None) -> DataFrame:
+    """Two ranked lists in turns, the first leading; a key keeps its first place.  A group is one search's lists, so it stays small."""
+    turn = lambda o: F.row_number().over(Window.partitionBy(group).orderBy(*o))
+    both = first.withColumn("turn", turn(order)).withColumn("side", F.lit(0)).unionByName(second.withColumn("turn", turn(second_order or order)).withColumn("side", F.lit(1)))
     w = Window.partitionBy(group, key).orderBy("turn", "side")
     both = both.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     w = Window.partitionBy(group).orderBy("turn", "side")
@@ -125,3 +125,8 @@ def settled(reads: DataFrame) -> DataFrame:
     w = Window.partitionBy("page").orderBy("ts")
     seen = reads.withColumn("same", (F.lag("text").over(w) == F.col("text")) & (F.col("text") != ""))
     return seen.groupBy("page").agg(F.coalesce(F.min_by("text", F.when(F.col("same"), F.col("ts"))), F.max_by("text", "ts")).alias("text"))
+
+
+def overrides(openings: DataFrame) -> DataFrame:
+    """(investigation_id, n_overridden, last): how often an investigation went on against a robots rule, and when last."""
+    return openings.where("decision = 'ignored'").groupBy("investigation_id").agg(F.count("*").alias("n_overridden"), F.max("seq").alias("last"))

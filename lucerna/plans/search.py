@@ -14,12 +14,13 @@ from lucerna.sources.readers import table
 QUERIES, ORACLE_SQL, query = registry()
 
 
-def answers(questions: DataFrame, pages: DataFrame, ranked: DataFrame, wanted: int = 5) -> DataFrame:
+def answers(questions: DataFrame, pages: DataFrame, ranked: DataFrame, consumed: DataFrame, wanted: int = 5) -> DataFrame:
     """(item_id, place, page_id, score, confidence, n_passages, content_hash): what each question is answered with.
 
     ``questions`` is (item_id, units), ``pages`` (page_id, url, html), ``ranked``
-    the candidates (item_id, rank, page_id) that rendering is spent on.  Equal
-    contents of one site fold to the best-placed page; a page is emitted once.
+    the candidates (item_id, rank, page_id) that rendering is spent on, ``consumed``
+    (item_id, url) what earlier answers of a question gave away.  Equal contents of
+    one site fold to the best-placed page; a page is emitted once.
     """
     body = texts.html_to_text(F.col("html"))
     read = pages.select("page_id", "url", urls.site(urls.host(F.col("url"))).alias("site"), body.alias("body"), (1 + F.col("page_id") % 10).alias("pos"))
@@ -35,7 +36,6 @@ def answers(questions: DataFrame, pages: DataFrame, ranked: DataFrame, wanted: i
     both = both.withColumn("score", F.round(score, 9)).where(concept > 0)
     w = Window.partitionBy("item_id", "site", F.sha2("body", 256)).orderBy(F.desc("score"), "url", "page_id")
     both = both.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    consumed = both.limit(0).select("item_id", "url")
     both = store.reserve(both.drop("_n"), consumed, ["item_id", "url"], ["page_id"])
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "url", "page_id")
     both = both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= wanted)
@@ -45,7 +45,10 @@ def answers(questions: DataFrame, pages: DataFrame, ranked: DataFrame, wanted: i
 @query("search_full")
 def search_full(spark: SparkSession, d: str) -> DataFrame:
     ranked = evidence.prerank_topk(spark, d, 30)
-    return answers(evidence._questions(spark, d), table(spark, d, "pages").select("page_id", "url", "html"), ranked)
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    # a user's turn of a conversation asked a question before; what it was given isn't given again
+    before = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("page_id")).distinct()
+    return answers(evidence._questions(spark, d).select("item_id", "units"), pages, ranked, before.join(pages, "page_id").select("item_id", "url"))
 
 
 @query("search_summary")

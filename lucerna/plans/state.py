@@ -103,21 +103,14 @@ def search_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("interleave_lists", """
-    WITH t AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS turn, 0 AS side FROM documents
-        UNION ALL SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS turn, 1 AS side FROM documents),
-    k AS (SELECT * FROM t WHERE turn <= 50 QUALIFY row_number() OVER (PARTITION BY lang, doc_id ORDER BY turn, side) = 1)
-    SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY turn, side) AS INTEGER) AS place, doc_id FROM k""")
+    WITH t AS (SELECT doc_id // 20 AS search, doc_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY n_chars DESC, doc_id) AS turn, 0 AS side FROM documents
+        UNION ALL SELECT doc_id // 20, doc_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY n_chars, doc_id) AS turn, 1 AS side FROM documents),
+    k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY search, doc_id ORDER BY turn, side) = 1)
+    SELECT search, CAST(row_number() OVER (PARTITION BY search ORDER BY turn, side) AS INTEGER) AS place, doc_id FROM k""")
 def interleave_lists(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("lang", "doc_id", "n_chars")
-
-    def top(order: list) -> DataFrame:
-        w = Window.partitionBy("lang").orderBy(*order)
-        return docs.withColumn("turn", F.row_number().over(w)).where("turn <= 50")
-
-    w = Window.partitionBy("lang", "doc_id").orderBy("turn", "side")
-    both = top([F.desc("n_chars"), "doc_id"]).withColumn("side", F.lit(0)).unionByName(top(["n_chars", "doc_id"]).withColumn("side", F.lit(1)))
-    both = both.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return both.select("lang", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "side")).alias("place"), "doc_id")
+    """Two engines' orders of each search's results, in turns."""
+    found = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 20).alias("search"), "doc_id", "n_chars")
+    return store.interleave(found, found, "search", [F.desc("n_chars"), "doc_id"], "doc_id", ["n_chars", "doc_id"]).select("search", "place", "doc_id")
 
 
 @query("quota_fill", """
@@ -142,33 +135,45 @@ def chain_first_answer(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("mrr_recall", """
-    WITH q AS (SELECT DISTINCT source FROM documents), r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
-    f AS (SELECT r.source, min(rank) AS first FROM r JOIN labels USING (doc_id) WHERE quality = 1 AND rank <= 100 GROUP BY r.source)
-    SELECT round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 6) AS recall, CAST(count(*) AS BIGINT) AS n_queries FROM q LEFT JOIN f USING (source)""")
+    WITH q AS (SELECT DISTINCT doc_id // 25 AS asked FROM documents), r AS (SELECT doc_id // 25 AS asked, doc_id, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+    f AS (SELECT r.asked, min(rank) AS first FROM r JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY r.asked)
+    SELECT round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 6) AS recall, CAST(count(*) AS BIGINT) AS n_queries FROM q LEFT JOIN f USING (asked)""")
 def mrr_recall(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    ranked = docs.withColumn("rank", F.row_number().over(w)).where("rank <= 100")
-    good = table(spark, d, "labels").where("quality = 1").select("doc_id").join(docs.select("source", "doc_id"), "doc_id")
-    out = grading.mrr_recall(ranked.drop("n_chars"), good, docs.select("source").distinct(), "source", "doc_id")
+    """Whole rankings, without a cut-off."""
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 25).alias("asked"), "doc_id", "n_chars")
+    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("n_chars"), "doc_id")))
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id", F.floor(F.col("doc_id") / 25).alias("asked"))
+    out = grading.mrr_recall(ranked.drop("n_chars"), good, docs.select("asked").distinct(), "asked", "doc_id")
     return out.select(F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"), "n_queries")
 
 
-@query("grade_components", """
-    WITH c AS (SELECT l.doc_id AS claim_id, source, CASE WHEN quality = 1 THEN 2.0 ELSE 1.0 END AS w FROM labels l JOIN documents USING (doc_id)),
-    r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
-    m AS (SELECT c.source, c.w, r.rank FROM c LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r ON r.doc_id = c.claim_id)
-    SELECT source AS case_id, floor(sum(CASE WHEN rank IS NOT NULL THEN w ELSE 0 END) / sum(w) * 25 * 1000 + 0.5) / 1000 AS source_recall,
-        floor(sum(coalesce(w / rank, 0)) / sum(w) * 15 * 1000 + 0.5) / 1000 AS rank FROM m GROUP BY source""")
+@query("grade_components", r"""
+    WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), d AS (SELECT doc_id, text, doc_id // 40 AS case_id, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) AS rank FROM documents),
+    f AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ([.,;:!?)\]])', '\1', 'g'), '([(\[]) ', '\1', 'g')) AS said, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM d),
+    c AS (SELECT f.case_id, f.doc_id, CASE WHEN l.quality = 1 THEN 2.0 ELSE 1.0 END AS w, f.rank, f.doc_id % 3 <> 0 AS found, f.doc_id % 5 <> 0 AS has, lower(regexp_extract(text, '[A-Za-z]{4,}')) AS word FROM l JOIN f USING (doc_id)),
+    p AS (SELECT case_id, string_agg(said, ' ' ORDER BY rank) AS every, sum(tokens) AS tokens FROM f WHERE doc_id % 3 <> 0 GROUP BY case_id),
+    m AS (SELECT c.*, p.tokens, c.word <> '' AND coalesce(contains(p.every, c.word), false) AS evident FROM c LEFT JOIN p USING (case_id))
+    SELECT case_id, floor(sum(CASE WHEN evident THEN w ELSE 0 END) / sum(w) * 40 * 1000 + 0.5) / 1000 AS evidence_coverage,
+        floor(sum(CASE WHEN found THEN w ELSE 0 END) / sum(w) * 25 * 1000 + 0.5) / 1000 AS source_recall,
+        floor(sum(CASE WHEN found THEN w / rank ELSE 0 END) / sum(w) * 15 * 1000 + 0.5) / 1000 AS rank,
+        floor(sum(CASE WHEN found AND has THEN w ELSE 0 END) / nullif(sum(CASE WHEN has THEN w ELSE 0 END), 0) * 10 * 1000 + 0.5) / 1000 AS extraction,
+        floor(sum(CASE WHEN found THEN w ELSE 0 END) / sum(w) * 5 * 1000 + 0.5) / 1000 AS diversity,
+        floor(greatest(0.0, 1 - greatest(0, coalesce(max(tokens), 0) - 6000) / 6000) * 5 * 1000 + 0.5) / 1000 AS token_budget FROM m GROUP BY case_id""")
 def grade_components(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("https://h"), F.col("doc_id").cast("string"), F.lit(".example/p")).alias("url"))
-    claims = table(spark, d, "labels").join(docs, "doc_id").select(
-        F.col("source").alias("case_id"), F.col("doc_id").alias("claim_id"), F.when(F.col("quality") == 1, 2.0).otherwise(1.0).alias("weight"), F.array("url").alias("source_urls"),
-        F.array(F.lit("x")).alias("patterns"), F.array().cast("array<string>").alias("concepts"), F.array().cast("array<struct<url:string,text:string>>").alias("passages"),
+    """All six components: claims of labelled documents against the two thirds of them that a search returned."""
+    i = F.col("doc_id")
+    w = Window.partitionBy("case_id").orderBy("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text", F.floor(i / 40).alias("case_id"), F.concat(F.lit("https://h"), i.cast("string"), F.lit(".example/p")).alias("url"))
+    docs = docs.withColumn("pos", F.row_number().over(w))
+    word = F.regexp_extract("text", "[A-Za-z]{4,}", 0)
+    passage = F.struct("url", F.substring("text", 1, 40).alias("text"))
+    claims = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).join(docs, "doc_id").select(
+        "case_id", F.col("doc_id").alias("claim_id"), F.when(F.col("quality") == 1, 2.0).otherwise(1.0).alias("weight"), F.array("url").alias("source_urls"),
+        F.when(word != "", F.array(word)).otherwise(F.array().cast("array<string>")).alias("patterns"), F.array().cast("array<string>").alias("concepts"),
+        F.when(i % 5 != 0, F.array(passage)).otherwise(F.array().cast("array<struct<url:string,text:string>>")).alias("passages"),
     )
-    w = Window.partitionBy("source").orderBy("doc_id")
-    results = docs.withColumn("pos", F.row_number().over(w)).where("pos <= 10").select(F.col("source").alias("case_id"), "pos", "url", F.lit("").alias("text"), F.lit(0).alias("token_count"))
-    return grading.grade(claims, results).select("case_id", "source_recall", "rank")
+    results = docs.where(i % 3 != 0).select("case_id", "pos", "url", "text", F.lit(None).cast("int").alias("token_count"))
+    return grading.grade(claims, results).drop("total", "classification")
 
 
 _SCORED = """SELECT l.doc_id AS case_id, lang AS category, l.doc_id % 11 = 0 AS critical, CASE WHEN quality = 1 THEN 60.0 + l.doc_id % 40 ELSE 30.0 + l.doc_id % 20 END AS total FROM labels l JOIN documents USING (doc_id)"""

@@ -41,10 +41,10 @@ def fold(rows: pd.DataFrame, state: tuple, control: Control) -> tuple[list[tuple
     row raise it.  State: (window's start, durations, failures, time-outs, healthy windows, capacity).
     """
     began, durations, failed, late, healthy, capacity = state
-    out = []
+    durations, out = list(durations), []
     for ts, duration, bad, slow in zip(rows["ms"], rows["duration"], rows["failed"], rows["timed_out"]):
         began = ts if began is None else began
-        durations = [*durations, float(duration)]
+        durations.append(float(duration))
         failed, late, n = failed + bool(bad), late + bool(slow), len(durations)
         if n < control.completions or ts - began < control.window_ms:
             continue
@@ -105,19 +105,24 @@ def emit_once(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def emit_into(events: DataFrame, consumed_path: str, keys: list[str], sink) -> object:
-    """At most once against a stored table: each micro-batch loses what was consumed, emits, then records."""
+    """At most once against a stored table: a micro-batch reserves what nobody has consumed, then emits it.
+
+    The keys are recorded before the sink sees a row, so a batch that fails in
+    between, and is tried again, finds them taken and emits nothing twice.
+    """
 
     def once(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(consumed_path)
         fresh = batch.dropDuplicates(keys)
-        try:
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             fresh = fresh.join(spark.read.parquet(consumed_path).select(*keys), keys, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        # what is reserved and what is emitted are the same rows, whatever is read again
         fresh = fresh.persist()
-        sink(fresh, number)
-        fresh.select(*keys).write.mode("append").parquet(consumed_path)
-        fresh.unpersist()
+        try:
+            fresh.select(*keys).write.mode("append").parquet(consumed_path)
+            sink(fresh, number)
+        finally:
+            fresh.unpersist()
 
     return events.writeStream.foreachBatch(once)

@@ -79,12 +79,44 @@ def test_follow_ups(spark):
     assert scoped[0]["scoped"] == f"site:m.github.io {q}"
 
 
-def test_units_match_without_pairs(spark):
-    asked = spark.createDataFrame([(1, ["alp", "zz"]), (2, ["none"])], "q long, units array<string>")
-    docs = spark.createDataFrame([(10, "the alpha zz"), (11, "beta")], "d long, text string")
-    got = matching.matched_units(asked, docs, "text", ["d"]).collect()
-    assert [(r["q"], r["d"], r["n_hits"], r["n_units"]) for r in got] == [(1, 10, 2, 2)]
-    assert "CartesianProduct" not in matching.matched_units(asked, docs, "text", ["d"])._jdf.queryExecution().toString()
+def test_units_match_without_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    parts = ["alp", "zz", "beta x", "ta", "①", "a", "ha z"]
+    asked = [(q, rng.sample(parts, rng.randint(1, 5))) for q in range(12)] + [(99, [])]
+    docs = [(0, None), (1, ""), (2, "the ALPHA zz"), (3, "beta x\nalpha zz\n\nta"), (4, "1 Ⓐ"), (5, "\n" + "zz " * 3000 + "\nBETA X")]
+    docs += [(10 + i, "".join(rng.choice(["alp", "ha ", "zz", "be", "ta x", "\n", " "]) for _ in range(12))) for i in range(30)]
+    q, d = spark.createDataFrame(asked, "q long, units array<string>"), spark.createDataFrame(docs, "d long, text string")
+    want = set()
+    for k, units in asked:
+        units = [matching.folded(u) for u in units]
+        for i, t in docs:
+            t = matching.folded(t)
+            hits = sum(u in t for u in units)
+            if hits:
+                want.add((k, i, len(units), hits, max(sum(u in x for u in units) for x in t.split("\n"))))
+    folded = q.select("q", F.transform("units", lambda u: F.lower(matching_nfkc(u))).alias("units"))
+    for limit in (500_000, 9):
+        monkeypatch.setattr(matching, "LIMIT", limit)
+        got = matching.matched_units(folded, "q", d, "text", ["d"])
+        assert {(r["q"], r["d"], r["n_units"], r["n_hits"], r["n_best"]) for r in got.collect()} == want and len(want) > 60
+        half = matching.matched_units(folded, "q", d, "text", ["d"], 0.5).collect()
+        assert {(r["q"], r["d"]) for r in half} == {(k, i) for k, i, n, h, _ in want if h / n >= 0.5}
+    plan = matching.matched_units(folded, "q", d, "text", ["d"])._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "Exchange" not in plan
+    assert matching.matched_units(folded, "q", d.limit(0), "text", ["d"]).count() == 0
+
+
+def matching_nfkc(column):
+    return F.when(column == "①", "1").otherwise(column)
+
+
+def test_passages_that_texts_contain(spark, monkeypatch):
+    passages = spark.createDataFrame([("a", "One\ntwo"), ("b", "x"), ("c", ""), ("d", "x")], "k string, p string")
+    docs = spark.createDataFrame([(1, "zero One\ntwo x"), (2, "one\ntwo"), (3, None)], "d int, text string")
+    for limit in (500_000, 0.1):
+        monkeypatch.setattr(matching, "LIMIT", limit)
+        got = matching.containing(passages, "k", "p", docs, "text", ["d"]).collect()
+        assert sorted((r["k"], r["d"]) for r in got) == [("a", 1), ("b", 1), ("d", 1)]
 
 
 def test_evictions_follow_the_order(spark):
@@ -131,6 +163,25 @@ def test_emission_happens_once(spark, tmp_path):
     assert sorted(out) == [(1, "u"), (1, "v"), (2, "u")]
 
 
+def test_a_failing_sink_never_emits_twice(spark, tmp_path):
+    spark.createDataFrame([(1, "u"), (1, "v")], "inv long, url string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = []
+
+    def sink(batch, number):
+        out.extend(tuple(r) for r in batch.collect())
+        raise RuntimeError("lost")
+
+    def start(into):
+        stream = spark.readStream.schema("inv long, url string").parquet(str(tmp_path / "in"))
+        return controller.emit_into(stream, str(tmp_path / "done"), ["inv", "url"], into).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+
+    with pytest.raises(Exception, match="lost"):
+        start(sink).awaitTermination(120)
+    again = []
+    start(lambda b, n: again.extend(b.collect())).awaitTermination(120)
+    assert sorted(out) == [(1, "u"), (1, "v")] and again == []
+
+
 def test_spans_and_sanitising(spark):
     from lucerna.operators import contracts
 
