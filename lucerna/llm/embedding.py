@@ -10,6 +10,7 @@ links and a spanning forest.  Equal vectors are one class, compared once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,23 @@ from lucerna.llm.components import Forest, components
 from lucerna.llm.tiles import TILE, fan_out, runs, spread
 
 COSINE = 0.95
-#: A pair at cosine 0.95 shares a bucket with probability 1 - (1 - 0.899^12)^20 = 0.9985.
-TABLES, BITS = 20, 12
+#: Hyperplanes of a table: at least, and at most.
+BITS = (12, 20)
+#: The share of pairs at the least cosine that no table may bring together.
+MISSED = 0.0015
+
+
+def layout(n: int, least: float = COSINE, missed: float = MISSED) -> tuple[int, int]:
+    """(tables, hyperplanes of each) for n vectors.
+
+    There are so many hyperplanes that 2^bits buckets hold about 16 unlike vectors
+    each, within BITS, and then as many tables as the recall asks for: at cosine
+    0.95, 20 tables of 12 up to 65,536 vectors, 52 of 20 from some 17 million on;
+    a pair at that cosine is found with probability 0.9985 in either case.
+    """
+    bits = min(BITS[1], max(BITS[0], math.ceil(math.log2(max(1, n) / 16))))
+    same = 1 - math.acos(min(1.0, least)) / math.pi
+    return max(1, math.ceil(math.log(missed) / math.log1p(-(same**bits)))) if same < 1 else 1, bits
 
 
 def finite(v: Column) -> Column:
@@ -50,16 +66,21 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def codes(v: np.ndarray) -> np.ndarray:
-    """The bucket of each vector in each table, (n, TABLES)."""
-    planes = np.random.default_rng(97 + v.shape[1]).standard_normal((v.shape[1], TABLES * BITS))
-    side = (v @ planes > 0).reshape(len(v), TABLES, BITS)
-    return (side @ (1 << np.arange(BITS))).astype(np.int16)
+def codes(v: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """The bucket of each vector in each table, (n, tables)."""
+    planes = np.random.default_rng(97 + v.shape[1]).standard_normal((v.shape[1], tables * bits))
+    side = (v @ planes > 0).reshape(len(v), tables, bits)
+    return (side @ (1 << np.arange(bits))).astype(np.int32)
 
 
 def bucket_keys(c: np.ndarray, dim: int) -> np.ndarray:
-    """Length (16 bits), table (6) and bucket (12) in one number, (n, TABLES)."""
-    return ((((dim & 0xFFFF) << 6) + np.arange(TABLES)) << BITS) + c
+    """Length (12 bits), table (7) and bucket (20) in one number, (n, tables)."""
+    return (((dim & 0xFFF) << 7) + np.arange(c.shape[1]) << 20) + c
+
+
+#: Bits of a key that number the tiles of a bucket, on either side.
+_SIDE = 12
+_MOST = (1 << _SIDE) - 1
 
 
 def compare(key: int, ids: np.ndarray, mult: np.ndarray, code: np.ndarray, v: np.ndarray, left: np.ndarray | None, least: float):
@@ -67,7 +88,7 @@ def compare(key: int, ids: np.ndarray, mult: np.ndarray, code: np.ndarray, v: np
 
     Between ``left`` and the other rows; within all rows if it is None.
     """
-    table_no = (key >> (28 + BITS)) & 63
+    table_no = (key >> (2 * _SIDE + 20)) & 127
     u = unit(v)
     within = left is None
     a = np.arange(len(ids)) if within else np.flatnonzero(left)
@@ -106,15 +127,16 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec
     rows = rows.select("id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("h1"), F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v")).alias("h2"))
     classes = rows.where("v IS NOT NULL AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("v").alias("v"))
     classes = scratch.save(classes, "classes")
+    tables, bits = layout(classes.count(), least)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, x in matrix(b.column("v")):
-                yield pa.record_batch([pa.array(bucket_keys(codes(x), x.shape[1]).ravel())], names=["bucket"])
+                yield pa.record_batch([pa.array(bucket_keys(codes(x, tables, bits), x.shape[1]).ravel())], names=["bucket"])
 
-    # at most TABLES x 2^BITS rows for each length of vector
+    # at most tables x 2^bits rows for each length of vector, and no more than the vectors make up
     wide = classes.select("v").mapInArrow(buckets, "bucket long").groupBy("bucket").count().where(F.col("count") > TILE).collect()
-    parts = spark.sparkContext.broadcast({r[0]: min(1 << 14, -(-r[1] // TILE)) for r in wide})
+    parts = spark.sparkContext.broadcast({r[0]: min(_MOST + 1, -(-r[1] // TILE)) for r in wide})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = parts.value.get
@@ -123,14 +145,14 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec
                 b = whole.slice(start, 1000)
                 ids = np.asarray(b.column("rep"))
                 for at, x in matrix(b.column("v")):
-                    c = codes(x)
+                    c = codes(x, tables, bits)
                     keys = bucket_keys(c, x.shape[1]).ravel()
                     k = np.array([get(q, 1) for q in keys.tolist()]) if parts.value else np.ones(len(keys), np.int64)
-                    s = np.repeat(spread(ids[at]), TABLES) % k
+                    s = np.repeat(spread(ids[at]), tables) % k
                     row, t = fan_out(k)
-                    key = (keys[row] << 28) | (np.minimum(s[row], t) << 14) | np.maximum(s[row], t)
-                    take = pa.array(at[row // TABLES])
-                    raw = pa.array([c[i].tobytes() for i in range(len(c))], pa.binary()).take(pa.array(row // TABLES))
+                    key = (keys[row] << 2 * _SIDE) | (np.minimum(s[row], t) << _SIDE) | np.maximum(s[row], t)
+                    take = pa.array(at[row // tables])
+                    raw = pa.array([c[i].tobytes() for i in range(len(c))], pa.binary()).take(pa.array(row // tables))
                     yield pa.record_batch([pa.array(key), b.column("rep").take(take), b.column("mult").take(take), raw, b.column("v").take(take)], names=["key", "id", "mult", "codes", "v"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +168,16 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec
             if t.num_rows < 2:
                 continue
             key = t.column("key")[0].as_py()
-            ids, mult = t.column("id").to_numpy(), t.column("mult").to_numpy()
-            code = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int16).reshape(-1, TABLES)
-            ((_, v),) = matrix(t.column("v"))
-            low, high = (key >> 14) & 0x3FFF, key & 0x3FFF
-            left = spread(ids) % parts.value.get(key >> 28, 1) == low if low != high else None
-            (some, n), (a, b) = compare(key, ids, mult, code, v, left, least)
-            held[0] += [some, a]
-            held[1] += [np.full(len(some), -1), b]
-            held[2] += [n, np.zeros(len(a), np.int64)]
+            every, codes_of = t.column("id").to_numpy(), np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int32).reshape(-1, tables)
+            low, high = (key >> _SIDE) & _MOST, key & _MOST
+            # lengths that agree in their last 12 bits share keys, no links
+            for at, v in matrix(t.column("v")):
+                ids, mult = every[at], t.column("mult").to_numpy()[at]
+                left = spread(ids) % parts.value.get(key >> 2 * _SIDE, 1) == low if low != high else None
+                (some, n), (a, b) = compare(key, ids, mult, codes_of[at], v, left, least)
+                held[0] += [some, a]
+                held[1] += [np.full(len(some), -1), b]
+                held[2] += [n, np.zeros(len(a), np.int64)]
             if sum(map(len, held[0])) > 100_000:
                 yield ready()
         if held[0]:
@@ -162,7 +185,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec
 
     kind = df.schema[vec_col].dataType.simpleString()
     dealt = classes.select("rep", "mult", "v").mapInArrow(deal, f"key long, id long, mult long, codes binary, v {kind}")
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
     found = scratch.save(dealt.mapInArrow(link, "a long, b long, n long"), "links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("_c")).agg(F.sum("n").alias("links"))
     roots = components(found.where("n = 0").select("a", "b"), scratch)

@@ -26,6 +26,7 @@ SAMPLE = 800
 #: Words, and n-grams of each length, that the model keeps of each language at most.
 KEPT = 8000
 LONGEST = 5
+#: Languages that a model may have; more are an error (a column of something else), none is left out silently.
 LANGUAGES = 1000
 REMEMBERED = 300_000
 #: Words beyond which more text doesn't sharpen the posterior.
@@ -153,7 +154,9 @@ def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     are kept, which bounds what the driver gathers.
     """
     rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     share = F.lit(0.0)
     for lang, n in sizes:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, bound / n))).otherwise(share)

@@ -177,7 +177,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
                 yield pa.record_batch([pa.array(keys), pa.array(fps[i]), pa.array(ids[i])], names=["key", "fp", "id"])
 
     dealt = distinct.where("rep IS NOT NULL").select("fp", F.col("rep").cast("long").alias("id")).mapInArrow(deal, "key long, fp long, id long")
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
     roots = components(link_tiles(dealt, radius, held), scratch)
     of_fp = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     of_fp = of_fp.select(F.xxhash64("fp").alias("_g"), F.col("fp").alias("_fp"), "component_id")
@@ -251,7 +251,6 @@ def similar_texts(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     are ignored.
     """
     spark = df.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

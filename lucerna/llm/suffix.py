@@ -221,6 +221,8 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
     settled = chunks.select("chunk", "digests", "texts", "anchors").join(told, F.col("chunk") == F.col("_c"), "left").drop("_c")
     settled = settled.mapInArrow(settle, "digest binary, begins array<long>, ends array<long>, kept_sha256 string")
+    # rows that repeat their id and text may lie in several chunks: one answer for each text
+    settled = settled.dropDuplicates(["digest"])
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= depth)
     none = F.array().cast("array<long>")
     by_class = classes.join(settled, "digest", "left").select(

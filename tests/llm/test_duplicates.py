@@ -129,6 +129,19 @@ def test_embedding_equals_brute_force(spark, small_tiles):
     assert embedding.near_duplicates(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_tables_follow_the_number_of_vectors(spark, monkeypatch):
+    assert embedding.layout(0) == embedding.layout(60_000) == (20, 12) and embedding.layout(10**9) == (52, 20)
+    for n in (10, 10**5, 10**6, 10**7, 10**10):
+        tables, bits = embedding.layout(n)
+        assert tables < 128 and 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables >= 0.998
+    rng = np.random.default_rng(3)
+    v = np.repeat(rng.standard_normal((30, 12)), 3, 0) + 0.02 * rng.standard_normal((90, 12))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(100, rng.standard_normal(12 + 4096).tolist())], "vec_id long, embedding array<double>")
+    few = sorted(embedding.near_duplicates(df, Scratch(spark, "t")).collect())
+    monkeypatch.setattr(embedding, "BITS", (18, 20))
+    assert sorted(embedding.near_duplicates(df, Scratch(spark, "t")).collect()) == few and sum(r["n_links"] for r in few) >= 180
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", (40, 40))
     monkeypatch.setattr(topk, "QUERIES", 2)
@@ -181,6 +194,13 @@ def test_suffix_equals_brute_force(spark, monkeypatch):
     cut = {r["doc_id"]: r["text"] for r in suffix.cut(df, suffix.repeated_spans(df, Scratch(spark, "t"))).collect()}
     assert cut[5] == "" and cut[9] == texts[9] and cut[0] is None
     assert suffix.repeated_spans(df.limit(0), Scratch(spark, "t")).count() == 0
+    # rows that repeat, and rows without an id, are answered once each
+    some = [(1, p, 0), (1, p, 0), (1, q, 0), (None, q, 0), (2, "a" + q, 0), (3, "short", 0), (3, "short", 0)]
+    again = spark.createDataFrame(some, "doc_id long, text string, begins int").repartition(5)
+    found = suffix.repeated_spans(again, Scratch(spark, "t"))
+    assert found.count() == len(some)
+    out = suffix.cut(again, found)
+    assert out.columns == again.columns and sorted(r["text"] for r in out.collect()) == ["", "", "", "", "a", "short", "short"]
 
 
 def test_lines_equal_brute_force(spark, small_tiles):
