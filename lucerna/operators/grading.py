@@ -35,7 +35,9 @@ def grade(claims: DataFrame, results: DataFrame) -> DataFrame:
         F.sum(F.coalesce("token_count", texts.lexical_tokens(F.col("text")))).alias("tokens"),
     )
     pattern = lambda p: F.replace(F.replace(p, F.lit("\\`"), F.lit("`")), F.lit("`"), F.lit("`?"))
-    said = texts.flattened(F.coalesce("all_text", F.lit("")))
+    # flattened once for each case, not for each of its claims
+    page = page.select("case_id", "tokens", texts.flattened(F.col("all_text")).alias("_said"))
+    said = F.coalesce("_said", F.lit(""))
     concept = lambda c: F.regexp_like(said, F.concat(F.lit("(?<![a-z0-9])"), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "[^\\\\p{L}\\\\p{N}]+"), F.lit("(?![a-z0-9])")))
     c = claims.join(page, "case_id", "left").join(ranks, ["case_id", "claim_id"], "left")
     c = c.withColumn("evident", F.forall("concepts", concept) & F.exists("patterns", lambda p: F.regexp_like(said, F.concat(F.lit("(?iu)"), pattern(p)))))

@@ -38,5 +38,5 @@ def bm25(queries: DataFrame, index: DataFrame, totals: DataFrame, key: str, quer
     needed = queries.groupBy(query_key).agg(F.count("*").alias("n_terms"))
     found = queries.join(scored, "term").groupBy(query_key, key).agg(F.sum("w").alias("score"), F.count("*").alias("n"))
     found = found.join(needed, query_key).where("n = n_terms")
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_key, "rank", key, "score")

@@ -399,7 +399,7 @@ def near_dup_representatives(spark: SparkSession, d: str) -> DataFrame:
     SELECT item_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    totals = docs.agg(F.count("*"), F.avg(F.size(texts.words(F.col("text")))))
+    totals = docs.agg(F.count("*"), F.avg(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))))
     terms = table(spark, d, "benchmark").select("item_id", F.explode(retrieval.query_terms(F.col("text"))).alias("term"))
     return retrieval.bm25(terms, retrieval.postings(docs, "doc_id", "text"), totals, "doc_id", "item_id", 10).withColumn("score", F.round("score", 6))
 
