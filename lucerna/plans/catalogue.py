@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lucerna.plans import contracts, evidence, relational, search, state, transforms
+from lucerna.plans import contracts, evidence, relational, runs, search, state, transforms
 
-QUERIES: dict = {**evidence.QUERIES, **contracts.QUERIES, **search.QUERIES, **state.QUERIES, **relational.QUERIES, **transforms.QUERIES}
-ORACLE_SQL: dict = {**evidence.ORACLE_SQL, **contracts.ORACLE_SQL, **search.ORACLE_SQL, **state.ORACLE_SQL, **relational.ORACLE_SQL, **transforms.ORACLE_SQL}
+QUERIES: dict = {**evidence.QUERIES, **contracts.QUERIES, **search.QUERIES, **state.QUERIES, **relational.QUERIES, **runs.QUERIES, **transforms.QUERIES}
+ORACLE_SQL: dict = {**evidence.ORACLE_SQL, **contracts.ORACLE_SQL, **search.ORACLE_SQL, **state.ORACLE_SQL, **relational.ORACLE_SQL, **runs.ORACLE_SQL, **transforms.ORACLE_SQL}

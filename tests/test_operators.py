@@ -229,3 +229,19 @@ def test_spans_in_documents_of_any_length(spark, tmp_path):
 
     _documents(spark, tmp_path, ["the dog and the cat", "the dog", "word " * 1000 + "the dog and cat", "the " + "word " * 1000 + "and"])
     assert {r["doc_id"] for r in plan.concept_windows(spark, str(tmp_path)).collect()} == {0, 2}
+
+
+def test_concepts_are_grounded_nearby():
+    import itertools
+
+    from lucerna.operators import runs
+
+    rng = random.Random(5)
+    for _ in range(200):
+        text = " ".join(rng.choice(["aa", "bb", "cc", "x" * rng.randint(1, 60), "aab"]) for _ in range(rng.randint(1, 12)))
+        words = rng.choice([["aa", "bb"], ["aa", "bb", "cc"], ["cc"], ["aa", "aa", "bb"]])
+        places = [[m for m in range(len(text)) if text.startswith(w, m) and (m == 0 or text[m - 1] == " ") and text[m + len(w) : m + len(w) + 1] in ("", " ")] for w in sorted(set(words))]
+        want = any(max(p) - min(p) <= 60 for p in itertools.product(*places))
+        assert runs.near(text, words, 60) == want
+    assert runs.concept_grounded("Generic_Build", "the generic -- build") and not runs.concept_grounded("!", "x")
+    assert runs.concept_grounded("doc tf", "tf " + "y" * 150 + " doc") and not runs.concept_grounded("doc tf", "tf " + "y" * 170 + " doc")
