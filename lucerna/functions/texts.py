@@ -42,6 +42,8 @@ SOURCE_TYPES = (
     ("news", "news|top stories|headline"), ("discussion", "discussion|forum|reddit|stack overflow|stackoverflow"), ("video", "video|youtube|vimeo"),
     ("academic", r"academic|scholar|journal|doi\.org|arxiv"), ("document", r"document|pdf|filetype:|\.pdf"), ("other", "other results|shopping|images|maps"),
 )
+# Where raw code is served.
+RAW_HOST = r"(?i)^[a-z]+://raw\.githubusercontent\.com/"
 _EDGE, _NOT_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
@@ -261,3 +263,39 @@ def mime_of(header: Column, body: Column, url: Column, has_markdown: Column) ->
         .when(url.rlike(r"^[a-z]+://raw\.githubusercontent\.com/|/raw/"), "text/x-source-code").when(has_markdown, "text/markdown").otherwise("text/plain")
     )
     return F.when((named != "") & (named != "application/octet-stream"), named).otherwise(sniffed)
+
+
+@pandas_udf(StringType())
+def _pretty(values: pd.Series) -> pd.Series:
+    import json
+
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else json.dumps(json.loads(x), ensure_ascii=False, indent=2)
+        except ValueError:
+            return None
+
+    return values.map(one)
+
+
+def sniffed_text(value: Column) -> Column:
+    """Cleaned as markup only if it carries some, whatever its declared type."""
+    return F.when(value.rlike(r"(?i)</?[a-z][^>]*>"), safe_text(value, True)).otherwise(safe_text(value, False))
+
+
+def document_text(mime: Column, url: Column, body: Column, markdown: Column, rendered: Column) -> Column:
+    """What a document says, by its type.
+
+    Markup is cleaned, raw code is fenced under its extension, JSON is laid out
+    (or cleaned as a text if it is none), anything else is what its rendering
+    says.  Only JSON travels to Python.
+    """
+    some = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs], F.lit(""))
+    last = F.regexp_replace(F.element_at(F.split(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1), r"\."), -1), "(?i)[^a-z0-9]", "")
+    code = F.concat(F.lit("```"), last, F.lit("\n"), some(body, rendered), F.lit("\n```"))
+    json = (mime == "application/json") & ~url.rlike(RAW_HOST)
+    return (
+        F.when(mime == "text/html", sniffed_text(some(markdown, rendered, body))).when(url.rlike(RAW_HOST), code)
+        .when(json, F.coalesce(_pretty(F.when(json, some(body, rendered))), sniffed_text(some(body, rendered))))
+        .when(mime.isin("application/xml", "text/xml"), safe_text(some(body, rendered), True)).otherwise(sniffed_text(some(markdown, body, rendered)))
+    )

@@ -35,8 +35,9 @@ def refuses_storage(cache_control: Column) -> Column:
 def upsert(entries: DataFrame, puts: DataFrame, key: str, at: str, cache_control: str) -> DataFrame:
     """Entries after the puts: the latest of each key; what must not be stored isn't."""
     every = entries.unionByName(puts.where(~refuses_storage(F.col(cache_control))))
-    w = Window.partitionBy(key).orderBy(F.desc(at))
-    return every.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    # an aggregate, not a window: versions of a hot key are reduced before they are shuffled
+    latest = every.groupBy(key).agg(F.max_by(F.struct(*every.columns), at).alias("_e"))
+    return latest.select(*[F.col(f"_e.{c}").alias(c) for c in every.columns])
 
 
 def lookup(entries: DataFrame, aliases: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -47,6 +48,15 @@ def lookup(entries: DataFrame, aliases: DataFrame, wanted: DataFrame) -> DataFra
     return direct.unionByName(through).distinct()
 
 
+def lookup_fresh(entries: DataFrame, aliases: DataFrame, wanted: DataFrame, now: Column, ttl: Ttl = Ttl()) -> DataFrame:
+    """The entries that are found, each with ``fresh`` and its last access moved to now.
+
+    Entries have fetched, cache_control, content_class and last_accessed.
+    """
+    found = lookup(entries, aliases, wanted)
+    return found.withColumn("fresh", is_fresh(F.col("fetched"), F.col("cache_control"), F.col("content_class"), now, ttl)).withColumn("last_accessed", F.greatest("last_accessed", now))
+
+
 def evictions(entries: DataFrame, size: str, order: list, pinned: str, limit: int, shard: Column | None = None) -> DataFrame:
     """Entries to remove, first by order, until the total fits: prefix sums over ranges, no single task.
 

@@ -53,6 +53,23 @@ def cache_freshness(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", store.is_fresh(F.col("ts"), control, kind, F.to_timestamp(F.lit("2024-01-20"))).alias("fresh"))
 
 
+@query("cache_lookup_fresh", """
+    WITH e AS (SELECT event_id, 'https://e.example/' || event_id AS url, ts, CASE event_id % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'general' WHEN 2 THEN 'docs' ELSE 'versioned' END AS k, CASE WHEN event_id % 5 = 0 THEN 'no-cache' WHEN event_id % 3 = 0 THEN 'public, max-age=' || (event_id * 31 % 900000) END AS cc FROM events),
+    x AS (SELECT *, CASE WHEN cc = 'no-cache' THEN ts WHEN cc IS NOT NULL THEN ts + to_seconds(event_id * 31 % 900000) ELSE ts + to_seconds(CASE k WHEN 'news' THEN 900 WHEN 'docs' THEN 604800 WHEN 'versioned' THEN 2592000 ELSE 86400 END) END AS expires FROM e),
+    w AS (SELECT url AS asked, event_id FROM e WHERE event_id % 6 = 0 UNION ALL SELECT url || '?alias', event_id FROM e WHERE event_id % 6 = 3)
+    SELECT asked, event_id, expires > TIMESTAMP '2024-01-20' AS fresh, CAST(epoch(greatest(ts, TIMESTAMP '2024-01-20')) AS BIGINT) AS last_accessed FROM w JOIN x USING (event_id)""")
+def cache_lookup_fresh(spark: SparkSession, d: str) -> DataFrame:
+    i, now = F.col("event_id"), F.to_timestamp(F.lit("2024-01-20"))
+    kind = F.when(i % 4 == 0, "news").when(i % 4 == 1, "general").when(i % 4 == 2, "docs").otherwise("versioned")
+    control = F.when(i % 5 == 0, F.lit("no-cache")).when(i % 3 == 0, F.concat(F.lit("public, max-age="), (i * 31 % 900000).cast("string")))
+    url = F.concat(F.lit("https://e.example/"), i.cast("string"))
+    ts = F.col("ts").cast("timestamp")
+    e = table(spark, d, "events").select("event_id", url.alias("canonical_url"), ts.alias("fetched"), ts.alias("last_accessed"), kind.alias("content_class"), control.alias("cache_control"))
+    alias = e.where("event_id % 6 = 3").select(F.concat("canonical_url", F.lit("?alias")).alias("alias"), "canonical_url")
+    wanted = e.where("event_id % 6 = 0").select(F.col("canonical_url").alias("asked")).unionByName(alias.select(F.col("alias").alias("asked")))
+    return store.lookup_fresh(e, alias, wanted, now).select("asked", "event_id", "fresh", F.unix_seconds("last_accessed").alias("last_accessed"))
+
+
 _ORDER = "CASE body_kind WHEN 'binary' THEN 0 WHEN 'rendered' THEN 1 ELSE 2 END, last_accessed, doc_id"
 
 
@@ -212,11 +229,11 @@ def robots_permits(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("error_rate_windows", """
-    WITH w AS (SELECT time_bucket(INTERVAL '10 minutes', ts) AS b, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS e, quantile_disc(value, 0.95) AS p FROM events GROUP BY 1)
-    SELECT CAST(epoch(b) AS BIGINT) AS window_start, CAST(n AS BIGINT) AS n, CAST(e AS BIGINT) AS errors, round(e / n, 6) AS error_rate, p AS p95 FROM w""")
+    WITH w AS (SELECT time_bucket(INTERVAL '10 minutes', ts) AS b, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS e, quantile_disc(value, 0.95) AS p, count(*) FILTER (WHERE value > 80) AS t FROM events GROUP BY 1)
+    SELECT CAST(epoch(b) AS BIGINT) AS window_start, CAST(n AS BIGINT) AS n, CAST(e AS BIGINT) AS errors, round(e / n, 6) AS error_rate, round(t / n, 6) AS timeout_rate, p AS p95 FROM w""")
 def error_rate_windows(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"), F.col("value").alias("duration"))
-    return controller.health(e).select(F.unix_seconds("window_start").alias("window_start"), "n", "errors", F.round("error_rate", 6).alias("error_rate"), "p95")
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"), F.col("value").alias("duration"), (F.col("value") > 80).alias("timed_out"))
+    return controller.health(e).select(F.unix_seconds("window_start").alias("window_start"), "n", "errors", F.round("error_rate", 6).alias("error_rate"), F.round("timeout_rate", 6).alias("timeout_rate"), "p95")
 
 
 @query("capacity_controller")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions import scoring, texts, urls
 from lucerna.operators import contracts, discovery, extraction, grading, store
+from lucerna.plans.evidence import _removed
 from lucerna.plans.registry import registry
 from lucerna.sources import readers
 from lucerna.sources.readers import table
@@ -263,3 +264,23 @@ def retention(spark: SparkSession, d: str) -> DataFrame:
     """Openings that went on against a robots rule, per investigation: what the override log keeps."""
     e = table(spark, d, "events").select(F.col("user_id").alias("investigation_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "ignored").otherwise("allowed").alias("decision"))
     return store.overrides(e).select(F.col("investigation_id").alias("user_id"), "n_overridden", F.col("last").alias("last_override"))
+
+
+_CLEAN = r"trim(regexp_replace(regexp_replace({0}, '</?(?:script|style|form|iframe|object|embed|svg|template)\b[^>]*>', '', 'gi'), '\]\s*\(\s*(?:javascript|data|vbscript):[^)]*\)', ']', 'gi'))"
+_MARKUP = "'<p>' || text || ' and <b>more</b></p><script>x()</script>'"
+
+
+@query("document_texts", f"""
+    WITH d AS (SELECT doc_id, regexp_replace(text, '[<>]', '', 'g') AS text FROM documents)
+    SELECT doc_id, sha256(CASE doc_id % 6 WHEN 0 THEN {_CLEAN.format(_removed(_MARKUP))} WHEN 1 THEN '```py' || chr(10) || text || chr(10) || '```'
+        WHEN 2 THEN '{{' || chr(10) || '  "a": ' || doc_id || ',' || chr(10) || '  "b": [' || chr(10) || '    "x",' || chr(10) || '    []' || chr(10) || '  ]' || chr(10) || '}}'
+        WHEN 4 THEN {_CLEAN.format(_removed(_MARKUP))} ELSE {_CLEAN.format("text")} END) AS said FROM d""")
+def document_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, raw code, JSON, what only claims to be JSON, XML, and plain texts with a rendering."""
+    i, m = F.col("doc_id"), F.col("doc_id") % 6
+    t = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[<>]", "").alias("t"))
+    mark = F.concat(F.lit("<p>"), "t", F.lit(" and <b>more</b></p><script>x()</script>"))
+    body = F.when(m.isin(0, 4), mark).when(m == 2, F.concat(F.lit('{"a":'), i.cast("string"), F.lit(', "b": ["x", []]}'))).when(m == 5, "ignored").otherwise(F.col("t"))
+    mime, url = chosen(i, ("text/html", "text/plain", "application/json", "application/json", "text/xml", "text/plain")), F.when(m == 1, "https://raw.githubusercontent.com/a/b/x.py").otherwise("https://a.example/x.json")
+    said = texts.document_text(mime, url, body, F.when(m == 5, F.col("t")), F.lit(None).cast("string"))
+    return t.select("doc_id", F.sha2(said, 256).alias("said"))

@@ -26,11 +26,12 @@ class Control:
 
 
 def health(events: DataFrame, minutes: int = 10) -> DataFrame:
-    """Error rate and nearest-rank 95th percentile of each tumbling window; works on streams and tables alike."""
+    """Error and time-out rates and nearest-rank 95th percentile of each tumbling window of (ts, duration, failed, timed_out); works on streams and tables alike."""
     n = F.count("*")
+    late = F.coalesce(F.sum(F.col("timed_out").cast("int")), F.lit(0)) if "timed_out" in events.columns else F.lit(0)
     return events.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(
-        n.alias("n"), F.sum(F.col("failed").cast("int")).alias("errors"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration)").alias("p95")
-    ).select(F.col("w.start").alias("window_start"), "n", "errors", (F.col("errors") / F.col("n")).alias("error_rate"), "p95")
+        n.alias("n"), F.sum(F.col("failed").cast("int")).alias("errors"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration)").alias("p95"), late.alias("late")
+    ).select(F.col("w.start").alias("window_start"), "n", "errors", (F.col("errors") / F.col("n")).alias("error_rate"), (F.col("late") / F.col("n")).alias("timeout_rate"), "p95")
 
 
 def fold(rows: pd.DataFrame, state: tuple, control: Control) -> tuple[list[tuple], tuple]:
