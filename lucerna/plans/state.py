@@ -57,7 +57,7 @@ def cache_freshness(spark: SparkSession, d: str) -> DataFrame:
     WITH e AS (SELECT event_id, 'https://e.example/' || event_id AS url, ts, CASE event_id % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'general' WHEN 2 THEN 'docs' ELSE 'versioned' END AS k, CASE WHEN event_id % 5 = 0 THEN 'no-cache' WHEN event_id % 3 = 0 THEN 'public, max-age=' || (event_id * 31 % 900000) END AS cc FROM events),
     x AS (SELECT *, CASE WHEN cc = 'no-cache' THEN ts WHEN cc IS NOT NULL THEN ts + to_seconds(event_id * 31 % 900000) ELSE ts + to_seconds(CASE k WHEN 'news' THEN 900 WHEN 'docs' THEN 604800 WHEN 'versioned' THEN 2592000 ELSE 86400 END) END AS expires FROM e),
     w AS (SELECT url AS asked, event_id FROM e WHERE event_id % 6 = 0 UNION ALL SELECT url || '?alias', event_id FROM e WHERE event_id % 6 = 3)
-    SELECT asked, event_id, expires > TIMESTAMP '2024-01-20' AS fresh, CAST(epoch(greatest(ts, TIMESTAMP '2024-01-20')) AS BIGINT) AS last_accessed FROM w JOIN x USING (event_id)""")
+    SELECT asked, event_id, expires > TIMESTAMP '2024-01-20' AS fresh, CAST(floor(epoch(greatest(ts, TIMESTAMP '2024-01-20'))) AS BIGINT) AS last_accessed FROM w JOIN x USING (event_id)""")
 def cache_lookup_fresh(spark: SparkSession, d: str) -> DataFrame:
     i, now = F.col("event_id"), F.to_timestamp(F.lit("2024-01-20"))
     kind = F.when(i % 4 == 0, "news").when(i % 4 == 1, "general").when(i % 4 == 2, "docs").otherwise("versioned")
