@@ -147,7 +147,7 @@ def asks_for_current(question: Column) -> Column:
 
 
 def is_navigation(text: Column) -> Column:
-    """Whether a passage is a menu: glued labels, or a list of short lines."""
+    """Whether a passage is a menu: glued labels, or a list of short lines.  The thresholds are fixed values."""
     joins = F.regexp_count(text, F.lit(r"\p{Ll}\p{Lu}"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     short = F.size(F.filter(lines, lambda x: F.length(F.trim(x)) <= 70))
@@ -167,6 +167,7 @@ def blocked_reason(engine: str, text: Column) -> Column:
 
 
 def empty_results(text: Column) -> Column:
+    """Whether a result page says that it has none; the wording is a fixed value."""
     return text.rlike("(?i)did not match any documents|no results found")
 
 
@@ -179,6 +180,7 @@ def source_type(text: Column, host: Column, path: Column) -> Column:
     return out.otherwise("organic")
 
 
+# What a secret looks like, the names that it is given under, and the header lines that carry one.
 _SECRET = r"[^\s,;'\"]*(?:[A-Za-z][0-9]|[0-9][A-Za-z]|[\-_./+])[^\s,;'\"]*"
 _SECRET_NAMES = "password|passwd|token|secret|api[_-]?key|access[_-]?key|auth[_-]?token"
 COOKIE = r"(?i)(cookie|set-cookie)[^\n]*"
@@ -254,7 +256,7 @@ def pdf_text(body: Column) -> Column:
 
 
 def mime_of(header: Column, body: Column, url: Column, has_markdown: Column) -> Column:
-    """The MIME type by its header, or by the first 512 characters."""
+    """The MIME type by its header, or by the first 512 characters; the marks looked for are fixed values."""
     named = F.lower(F.trim(F.substring_index(header, ";", 1)))
     head = F.regexp_replace(F.substring(body, 1, 512), r"^\s+", "")
     sniffed = (

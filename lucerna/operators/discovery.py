@@ -16,6 +16,7 @@ GENERIC_WORDS = tuple(
 )
 FRAGMENTS = tuple("って して され れる する ある など よう どの ため こと もの くだ さい 日本語 한국어 中文".split())
 STRUCTURAL = tuple("api blog doc docs documentation en guide guides html index latest learn main manual page pages reference site web www".split())
+# Parts of an address that ask for a login; how many terms a follow-up keeps, and which questions are short.
 AUTH = r"(?i)(?:^|[./_-])(login|signin|sign-in|auth|account)(?:[./_-]|$)"
 TERMS, SHORT = 4, 60
 

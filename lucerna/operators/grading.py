@@ -106,16 +106,6 @@ def spans_within(positions: DataFrame, keys: list[str], n_tokens: str, reach: in
     return positions.withColumn("_k", F.size(F.collect_set("token").over(w))).where(F.col("_k") >= F.col(n_tokens)).select(*keys).distinct()
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The smallest value with at least that share of the values at or below it: exact, without interpolation."""
-    return F.percentile_disc(values, share) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {values._jc.toString()})")
-
-
-def violations(checks: dict[str, Column]) -> Column:
-    """The names of the rules that a row breaks."""
-    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
-
-
 def unread_sources(claimed: DataFrame, read: DataFrame, run: str, url: str) -> DataFrame:
     """(run, n_claimed, n_missing): the distinct addresses that a run's claims name, and those it never read."""
     both = claimed.select(run, url).distinct().join(read.select(run, url).distinct().withColumn("_read", F.lit(True)), [run, url], "left")
