@@ -103,6 +103,27 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
 
 
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lucerna.llm.audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op11"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lucerna.llm.alignment import cross_align
+
+    at = public_tokenizers.path
+    return cross_align(table(spark, sf_dir, "documents"), at("byte_bpe_50k.json"), at("piece_bpe_32k.model"), Scratch(spark, "op12"))[0]
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lucerna.llm.sharding import place
+
+    return place(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_lines": op2_lines,
@@ -114,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_suffix": op9_suffix,
     "op10_embedding": op10_embedding,
+    "op11_filters": op11_filters,
+    "op12_alignment": op12_alignment,
+    "op13_shards": op13_shards,
 }
 
 OP8_SQL = """
@@ -133,4 +157,44 @@ WITH sound AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_topk": OP8_SQL}
+OP11_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents
+), words AS (
+    SELECT doc_id, part, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+           length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, min(doc_id) OVER (PARTITION BY text) AS first
+    FROM texts
+), good AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+           CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+           || CASE WHEN 100 * capitals > 3 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+           || CASE WHEN words.doc_id > first THEN 'E' ELSE '' END AS fails
+    FROM words LEFT JOIN good USING (doc_id)
+), counts AS (
+    SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, fails
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x) JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), steps AS (
+    SELECT filter_order, k AS step, filter_order[k:k] AS letter, filter_order[1:k] AS upto, CASE WHEN k = 1 THEN '' ELSE filter_order[1:k - 1] END AS before
+    FROM orders, unnest([1, 2, 3, 4, 5]) AS u(k)
+), told AS (
+    SELECT *, contains(fails, letter) AS hit, len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AND fails <> '' AND before <> '' AS gone,
+           fails <> '' AND len(list_intersect(string_split(fails, ''), string_split(upto, ''))) > 0 AS out
+    FROM counts, steps
+), summed AS (
+    SELECT part, filter_order, step, letter, sum(CASE WHEN out THEN 0 ELSE n END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+    FROM told GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM summed
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_topk": OP8_SQL, "op11_filters": OP11_SQL}
