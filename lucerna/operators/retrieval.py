@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions import texts
+from lucerna.session import saved
 
 K1, B = 1.2, 0.75
 
@@ -40,3 +43,83 @@ def bm25(queries: DataFrame, index: DataFrame, totals: DataFrame, key: str, quer
     found = found.join(needed, query_key).where("n = n_terms")
     w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
+
+
+class Postings:
+    """Postings that follow upserts and deletions without being rebuilt: two Parquet tables under one folder.
+
+    ``postings`` holds (bucket, term, key, tf, length) by version and by bucket of
+    the term's hash, ``documents`` (key, length) by version; a null length says
+    that the document is gone.  An upsert writes a version with its own documents
+    only; a posting counts if its version is its document's last.  ``merge`` writes
+    what counts as one new version and drops the older ones.  One writer at a time:
+    the version of a write that died midway is not among the documents, and the
+    next write replaces it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _folder(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        path, files = self._folder("documents")
+        return sorted(int(x.getPath().getName().split("=")[1]) for x in files.listStatus(path) if files.exists(self._folder(f"documents/{x.getPath().getName()}/_SUCCESS")[0])) if files.exists(path) else []
+
+    def _write(self, rows: DataFrame, documents: DataFrame) -> int:
+        version = max(self._versions(), default=0) + 1
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        rows = rows.select("term", "key", "tf", "length", bucket.alias("bucket"))
+        rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/version={version}")
+        documents.select("key", "length").write.mode("overwrite").parquet(f"{self.path}/documents/version={version}")
+        return version
+
+    def upsert(self, docs: DataFrame, key: str, text: Column) -> int:
+        """Replaces the postings of these documents; a null text leaves none.  ``key`` is unique; returns the version."""
+        own = saved(docs.select(F.col(key).cast("string").alias("key"), text.alias("text")), "upsert")
+        rows = postings(own.where("text IS NOT NULL"), "key", "text")
+        length = F.when(F.col("text").isNotNull(), F.size(texts.words(F.col("text"))))
+        return self._write(rows, own.select("key", length.alias("length")))
+
+    def delete(self, keys: DataFrame, key: str) -> int:
+        gone = keys.select(F.col(key).cast("string").alias("key"), F.lit(None).cast("int").alias("length"))
+        return self._write(self.spark.createDataFrame([], "term string, key string, tf long, length int"), gone)
+
+    def documents(self) -> DataFrame:
+        """(key, version, length): the last version of each document that is there."""
+        parts = [self.spark.read.schema("key string, length int").parquet(f"{self.path}/documents/version={v}").withColumn("version", F.lit(v)) for v in self._versions()]
+        every = reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], "key string, length int, version int"))
+        return every.groupBy("key").agg(F.max_by(F.struct("version", "length"), "version").alias("d")).select("key", "d.version", "d.length").where("length IS NOT NULL")
+
+    def rows(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, key, tf, length) of the documents that are there; with ``terms`` (term), those terms' only, read from their buckets."""
+        found = []
+        only = None
+        if terms is not None:
+            only = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).distinct().collect()]
+        for v in self._versions():
+            path, files = self._folder(f"postings/version={v}")
+            if any(x.getPath().getName().startswith("bucket=") for x in files.listStatus(path)):
+                own = self.spark.read.schema("term string, key string, tf long, length int, bucket int").parquet(f"{self.path}/postings/version={v}")
+                found.append((own.where(F.col("bucket").isin(only)) if only is not None else own).drop("bucket").withColumn("version", F.lit(v)))
+        every = reduce(DataFrame.unionByName, found, self.spark.createDataFrame([], "term string, key string, tf long, length int, version int"))
+        if terms is not None:
+            every = every.join(terms.select("term").distinct(), "term", "left_semi")
+        return every.join(self.documents().select("key", "version"), ["key", "version"]).select("term", "key", "tf", "length")
+
+    def merge(self) -> int:
+        """One version with all that counts."""
+        older, documents = self._versions(), saved(self.documents(), "documents")
+        version = self._write(self.rows(), documents)
+        for name in ("documents", "postings"):
+            for v in older:
+                path, files = self._folder(f"{name}/version={v}")
+                files.delete(path, True)
+        return version
+
+    def search(self, queries: DataFrame, query_key: str, k: int) -> DataFrame:
+        """The k best documents of each question that hold all its terms: (query_key, rank, key, score); ``queries`` is (query_key, term)."""
+        totals = self.documents().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+        return bm25(queries, self.rows(queries), totals, "key", query_key, k)

@@ -3,12 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN_DIR: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
+
+    Where it is unset, a session on one machine takes a temporary folder; on a
+    cluster that would be a folder of the driver's own, so there it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    if not _OWN_DIR:
+        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return _OWN_DIR[0]
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """The table written to the shared folder and read back: its lineage ends there.  It goes when the driver ends."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/lucerna-{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def ship(spark: SparkSession) -> None:
