@@ -115,7 +115,7 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lucerna.llm.alignment import cross_align
 
     at = public_tokenizers.path
-    return cross_align(table(spark, sf_dir, "documents"), at("byte_bpe_50k.json"), at("piece_bpe_32k.model"), Scratch(spark, "op12"))[0]
+    return cross_align(table(spark, sf_dir, "documents"), at("byte_bpe_50k.json"), public_tokenizers.PATTERN, at("piece_bpe_32k.model"), Scratch(spark, "op12"))[0]
 
 
 def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -15,6 +16,7 @@ ODD = [
     None, "", " ", "   ", "\n", "\n\nx", " lead", "trail  ", "a  b   c\td", "line one\nline two\n\n  indented\r\n\tx\r y", "don't we'll I'M", "日本語のテキスト は 空白", "🙂🙂 emoji 🙂",
     "x<|endoftext|>y <s> </s> <unk> <0x41>", "under▁score ▁ x", "nb sp  em 　wide　", "\x1c x\x1fy \x85 z", "a᠎ b​ c﻿ d ᠎", "combining é ́x ﬁ Ⅷ ½", "a\x00b \x00", "don 't", "A" * 3000, "ab" * 700 + " " + "0123456789" * 90,
 ]
+PATTERN = public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, n_a string, id string"
 
 
@@ -26,10 +28,13 @@ def _texts():
 
 def _brute(rows):
     """Whole texts by the libraries, without segments."""
-    t = alignment.loaded(A, B)
+    from tokenizers import Tokenizer
+
+    t, whole = alignment.loaded(A, PATTERN, B), Tokenizer.from_file(A)
+    whole.encode_special_tokens = True
     held, links, out = Counter(), [], []
     for i, text, *_ in rows:
-        a = t.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        a = whole.encode(" " + text, add_special_tokens=False).ids if text else []
         b = t.b.encode(text) if text else []
         raw = (" " + text).encode() if text else b""
         if not text or b"".join(t.bytes_a[x] for x in a) != raw or b"".join(t.bytes_b[x] for x in b) != raw:
@@ -59,38 +64,49 @@ def _brute(rows):
     return sorted((*o[:5], sum(n for p, n in pairs.items() if held[p] == best[p[0]]), sum(n * held[p] for p, n in pairs.items()), o[5]) for o, pairs in zip(out, links)), held
 
 
-@pytest.mark.parametrize("chunk_bytes", [400, 8 << 20])
-def test_documents_and_pairs_equal_whole_texts_by_the_libraries(spark, chunk_bytes):
+@pytest.mark.parametrize("chunk_chars", [400, 8 << 20])
+def test_documents_and_pairs_equal_whole_texts_by_the_libraries(spark, chunk_chars):
     rows = [(i, t, "x", "y") for i, t in enumerate(_texts())]
     rows += [(7, rows[9][1], "copy", ""), (9, rows[9][1], "x", "y"), (9, rows[9][1], "x", "y")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    out, pairs = alignment.cross_align(docs, A, B, Scratch(spark, "test"), chunk_bytes=chunk_bytes)
-    assert out.columns == ["doc_id", *alignment.SUMMED, "groups_sha256"]
+    out, pairs = alignment.cross_align(docs, A, PATTERN, B, Scratch(spark, "test"), chunk_chars=chunk_chars, block=500)
     want, held = _brute(rows)
     order = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert out.columns == order
     assert sorted(tuple(r[c] for c in order) for r in out.collect()) == want
     assert {(r["a"], r["b"]): r["count"] for r in pairs.collect()} == dict(held)
 
 
 def test_edge_tables(spark):
-    assert alignment.cross_align(spark.createDataFrame([], SCHEMA), A, B, Scratch(spark, "test"))[0].count() == 0
+    assert alignment.cross_align(spark.createDataFrame([], SCHEMA), A, PATTERN, B, Scratch(spark, "test"))[0].count() == 0
     rows = [(None, "no id here", None, None), (1, None, None, None), (2, "", None, None)]
-    out = alignment.cross_align(spark.createDataFrame(rows, SCHEMA), A, B, Scratch(spark, "test"))[0].collect()
+    out = alignment.cross_align(spark.createDataFrame(rows, SCHEMA), A, PATTERN, B, Scratch(spark, "test"))[0].collect()
     assert sorted((r["doc_id"] or 0, r["n_groups"] > 0, r["groups_sha256"] != "") for r in out) == [(0, True, True), (1, False, False), (2, False, False)]
 
 
 def test_segments_join_to_the_text_and_cuts_are_proved():
-    t = alignment.loaded(A, B)
+    t = alignment.loaded(A, PATTERN, B)
     assert " " in t.breaks and "\n" in t.breaks and "\r" not in t.breaks
-    at = alignment.cutter(t.breaks)
-    for text in _texts():
-        found = at.findall(" " + (text or ""))
-        assert "".join(found) == " " + (text or "")
-        assert all(s[0] in t.breaks for s in found) and all(not s[-1].isspace() for s in found[:-1])
+    held = alignment.Segments(t.breaks)
+    numbers = [held.numbers(text).tolist() if text else [] for text in _texts()]
+    own = held.texts()
+    for text, found in zip(_texts(), numbers):
+        cut = [own[i] for i in found]
+        assert not text or "".join(cut) == " " + text
+        assert all(s[0] in t.breaks for s in cut) and all(not s[-1].isspace() for s in cut[:-1])
+        assert not text or cut == held.cut.findall(" " + text)
     # an entry that spans the cut, or one that binds the space put in front, rules a character out
     assert alignment.breaks([b"a b"], [b"x"], [False]) == "\n\t\v\f\r" and alignment.breaks([b"a"], [b" \n", b"\n"], [False, True]) == " \t\v\f\r"
 
 
-def test_groups_end_where_both_end():
-    assert alignment.groups_of([1, 2, 3], [3, 1, 2]) == [(0, 2, 0, 1), (2, 3, 1, 3)]
-    assert alignment.groups_of([2, 2], [1, 2, 1]) == [(0, 2, 0, 3)] and alignment.groups_of([], []) == []
+def test_groups_are_read_back(monkeypatch):
+    t = alignment.loaded(A, PATTERN, B)
+    groups = alignment.aligned([" aaaaabaaab", " 日本語のテキスト", " plain", "\nx", " ", " wor​d"], t)
+    want = alignment.read_groups(groups, 60_000)
+    assert want["n_links"].tolist() == [sum((g.split("|")[0].count(",") + 1) * (g.split("|")[1].count(",") + 1) for g in x.split(";")) for x in groups]
+    monkeypatch.setattr(alignment, "WIDE", 0)
+    found = alignment.read_groups(groups, 60_000)
+    assert all(found[k].tolist() == want[k].tolist() for k in want)
+    assert alignment.read_groups(["", "1|2", ""], 10)["n_a"].tolist() == [0, 1, 0] and alignment.read_groups(["", ""], 10)["n_pairs"].tolist() == [0, 0]
+    numbers = np.array([0, 5, 70_000, 2**31 - 1], "<i4")
+    assert alignment.unlaid(alignment.laid(numbers)).tolist() == numbers.tolist() and alignment.unlaid(b"").tolist() == []
