@@ -159,13 +159,16 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     return rows.mapInArrow(run, f"id {kinds['id']}, part string, {', '.join(f'{c} long' for c in names)}, digest binary, fails int")
 
 
-def with_copies(measured: DataFrame) -> DataFrame:
+def with_copies(measured: DataFrame, scratch: Scratch) -> DataFrame:
     """``fails`` with bit 4 for E: the text is that of a row of smaller id.
 
     Texts are told by SHA-256.  Rows that repeat the least id don't fail; rows
-    without an id neither fail nor make others fail.
+    without an id neither fail nor make others fail.  Texts that repeat are saved
+    with their least id, so that both sides of the join are dealt for it alone and
+    a large group of copies can be split.
     """
-    firsts = measured.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    repeated = measured.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = scratch.save(repeated.select("digest", "first"), "firsts")
     later = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     return measured.join(firsts, "digest", "left").withColumn("fails", F.col("fails") + F.when(later, 1 << 4).otherwise(0)).drop("first")
 
@@ -210,7 +213,7 @@ def audit(df: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
     """
     measured = scratch.save(measure(df, id_col, text_col, part_col).select("id", "part", "digest", "fails"), "measured")
     good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    known = with_copies(measured).join(good, "id", "left")
+    known = with_copies(measured, scratch).join(good, "id", "left")
     counts = known.groupBy("part", "fails").agg(*(F.sum(F.coalesce(x, F.lit(0)).cast("long")).alias(name) for x, name in ((F.lit(1), "n"), (F.col("good"), "good"), (F.col("toxic"), "toxic"))))
     parts = counts.groupBy("part").agg(F.collect_list(F.struct("fails", "n", "good", "toxic")).alias("counts"))
 
