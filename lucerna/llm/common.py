@@ -7,7 +7,6 @@ read it, so a lost executor costs at most the re-run of its own tasks.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 
@@ -15,17 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="lucerna-"))
-    return _OWN_DIR[0]
+from lucerna.session import shared_dir
 
 
 class Scratch:
@@ -74,6 +63,11 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % m
 
 
+def text_hash(text: Column) -> Column:
+    """64 bits that, beside an id, tell a row by its text; null and empty texts are told apart too."""
+    return F.xxhash64(text.cast("string"), text.isNull())
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, altered where the table has a column of that name (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.llm.bpe import slices
-from lucerna.llm.common import Scratch, bytes_of
+from lucerna.llm.common import Scratch, bytes_of, text_hash
 from lucerna.llm.components import Forest, components, hang
 from lucerna.llm.tiles import TILE, fan_out, runs, spread
 
@@ -239,19 +239,21 @@ def _close(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, radius: i
 
 
 def similar_texts(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, least: float = SIMILARITY, radius: int = WIDE) -> DataFrame:
-    """(id, component_id) per id: texts whose sets of k-word shingles have a Jaccard similarity of at least ``least``.
+    """(id, text_hash, component_id, kept) per id and text: texts whose sets of k-word shingles have a Jaccard similarity of at least ``least``.
 
     Fingerprints of 128 bits are compared exactly in tiles; tiles whose sizes rule
     the similarity out are never paired (the population counts of such wide
     radii rule out next to nothing).  Links within the radius make candidate
     groups, and inside a group each link is proved by the sets themselves.
     component_id is the least id that links reach.  Texts without words are alike.
-    Rows that repeat an id with another text answer for the least of its groups;
-    rows without an id are left out; an empty table gives no rows; other columns
-    are ignored.
+    A document is an id with a text, told by the text's 64-bit hash, so ids may be
+    null or stand for several texts; rows that repeat both are one.  ``kept`` is
+    true of one document of each group: that of the least id (none comes last),
+    then of the least hash.  An empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
-    source = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = df.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    row = F.struct(F.isnull("id").alias("none"), "id", "hash")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -260,11 +262,13 @@ def similar_texts(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
                 fps = np.stack([wide_fingerprint(s) for s in sets])
                 names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 n = np.array([len(s) for s in sets])
-                yield pa.record_batch([b.column("id"), pa.array(names, pa.binary()), pa.array(n), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names=["id", "name", "n", "x", "y"])
+                yield pa.record_batch([b.column("id"), b.column("hash"), pa.array(names, pa.binary()), pa.array(n), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names=["id", "hash", "name", "n", "x", "y"])
 
-    of = scratch.save(source.mapInArrow(sign, "id long, name binary, n long, x long, y long"), "sets")
-    classes = of.groupBy("name").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y"))
-    classes = scratch.save(classes.where("n > 0"), "classes")
+    of = scratch.save(source.mapInArrow(sign, "id long, hash long, name binary, n long, x long, y long"), "sets")
+    classes = of.groupBy("name").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y"))
+    # a class has a number of its own: several may stand under one id
+    every = scratch.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    classes = every.where("n > 0")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,8 +320,8 @@ def similar_texts(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     maybe = scratch.save(maybe, "maybe")
     sized = hang(maybe, maybe.groupBy(F.col("root").alias("node")).agg(F.count("*").alias("m")), "root")
     sized = sized.select(F.col("node").alias("_r"), F.col("root").alias("group"), F.col("m").alias("members"))
-    wanted = classes.join(sized, F.col("rep") == F.col("_r")).select("_r", "name", "group", "members")
-    texts = source.join(wanted, F.col("id") == F.col("_r")).select("id", "name", "group", "members", "text")
+    wanted = classes.join(sized, F.col("rep") == F.col("_r")).select("rep", "name", "group", "members", F.col("least.id").alias("_i"), F.col("least.hash").alias("_t"))
+    texts = source.join(wanted, F.col("id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_t"))).select(F.col("rep").alias("id"), "name", "group", "members", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text's set under the key of every tile of its group that it takes part in."""
@@ -367,7 +371,8 @@ def similar_texts(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     proved = rows.repartition("group", "tile").sortWithinPartitions("group", "tile").mapInArrow(prove, "a long, b long")
     roots = components(proved, scratch)
     # rows of equal sets are one class, texts without words among them
-    reps = of.groupBy("name").agg(F.min("id").alias("rep"))
-    answer = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("name").alias("_n"), F.xxhash64("name").alias("_g"), F.coalesce("root", "rep").alias("root"))
-    out = of.withColumn("_h", F.xxhash64("name")).join(answer, (F.col("_h") == F.col("_g")) & (F.col("name") == F.col("_n")))
-    return out.groupBy(F.col("id").alias(id_col)).agg(F.min("root").alias("component_id"))
+    rooted = scratch.save(every.join(roots, F.col("rep") == F.col("node"), "left").select("name", "least", F.coalesce("root", "rep").alias("root")), "rooted")
+    stays = rooted.groupBy(F.col("root").alias("node")).agg(F.min("least").alias("m"))
+    answer = hang(rooted, stays, "root").select(F.col("name").alias("_n"), F.xxhash64("name").alias("_g2"), F.col("m").alias("stays"))
+    out = of.withColumn("_h", F.xxhash64("name")).join(answer, (F.col("_h") == F.col("_g2")) & (F.col("name") == F.col("_n")))
+    return out.select(F.col("id").alias(id_col), F.col("hash").alias("text_hash"), F.col("stays.id").alias("component_id"), (row == F.col("stays")).alias("kept")).distinct()

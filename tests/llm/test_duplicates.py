@@ -82,7 +82,7 @@ def test_similar_texts_equal_brute_force(spark, small_tiles):
     for n in (30, 90, 400):
         own = [f"v{rng.randrange(900)}" for _ in range(n)]
         texts += [" ".join(own), " ".join(own[: n - n // 12]), " ".join(own[: n // 2]), " ".join(own) + "\n" + " ".join(f"u{i}" for i in range(n // 3))]
-    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(4, "one two", 2), (None, "", 3)]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(4, texts[4], 2), (None, "", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, name int")
 
     def shingles(t):
@@ -92,8 +92,9 @@ def test_similar_texts_equal_brute_force(spark, small_tiles):
     sets = [shingles(t) for t in texts]
     alike = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     want = _classes(len(sets), alike)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df, Scratch(spark, "t")).collect()}
-    assert got == dict(enumerate(want)) and len(alike) > 60
+    out = simhash.similar_texts(df, Scratch(spark, "t")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {**dict(enumerate(want)), None: 0} and len(alike) > 60 and len(out) == len(texts) + 1
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
     assert simhash.similar_texts(df.limit(0), Scratch(spark, "t")).count() == 0
 
 

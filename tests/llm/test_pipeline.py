@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+import struct
 import zlib
 
 import corpus_pipeline
 import public_tokenizers
 import tokenizers
+import xxhash
 from lucerna.llm import language, lines, queries, suffix
 from lucerna.llm.common import Scratch, crc_mod
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _i
 
 
 def test_every_operator_has_a_query():
-    assert [next(k for k in queries.QUERIES if k.startswith(f"op{n}_")) for n in range(1, 11)]
+    assert [next(k for k in queries.QUERIES if k.startswith(f"op{n}_")) for n in range(1, 14)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "suffix_dedup", "packing"]
 
 
@@ -52,17 +54,29 @@ def _groups(n, alike):
     return [find(i) for i in range(n)]
 
 
+def _hash(text):
+    """What tells a row's text beside its id: XXH64 of the text, seed 42, and of whether it is null, seeded with that."""
+    own = xxhash.xxh64_intdigest(text.encode(), 42) if text is not None else 42
+    out = xxhash.xxh64_intdigest(struct.pack("<i", text is None), own)
+    return out - (1 << 64) if out >> 63 else out
+
+
+def _place(row):
+    """A row's document, in the order that ties go by."""
+    return row[0] is None, row[0] or 0, _hash(row[1])
+
+
 def _lines_by_force(rows):
-    named = sorted({(r[0], k, lines.normal(x)) for r in rows if r[0] is not None for k, x in enumerate((r[1] or "").split("\n"))})
-    named = [x for x in named if x[2]]
-    texts = list(dict.fromkeys(n for _, _, n in named))
+    named = sorted((*_place(r), k, lines.normal(x)) for r in {(r[0], r[1], r[2]) for r in rows} for k, x in enumerate((r[1] or "").split("\n")))
+    named = [x for x in named if x[-1]]
+    texts = list(dict.fromkeys(x[-1] for x in named))
     enough = [len(t.split()) >= lines.WORDS for t in texts]
     group = _groups(len(texts), lambda i, j: enough[i] and enough[j] and lines.within(texts[i], texts[j], 0.8))
     at, first, gone = {t: g for t, g in zip(texts, group)}, {}, set()
-    for i, k, n in named:
-        if first.setdefault(at[n], (i, k)) != (i, k):
-            gone.add((i, k))
-    return [(r[0], None if r[1] is None else "\n".join(x for k, x in enumerate(r[1].split("\n")) if (r[0], k) not in gone)) for r in rows]
+    for *own, n in named:
+        if first.setdefault(at[n], own) != own:
+            gone.add(tuple(own))
+    return [(r[0], None if r[1] is None else "\n".join(x for k, x in enumerate(r[1].split("\n")) if (*_place(r), k) not in gone), None) for r in rows]
 
 
 def _near_by_force(rows):
@@ -70,13 +84,11 @@ def _near_by_force(rows):
         w = (t or "").lower().split()
         return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
-    named = sorted((r[0], r[1] or "") for r in rows if r[0] is not None)
-    sets = [shingles(t) for _, t in named]
+    named = sorted({(*_place(r), r[1]) for r in rows}, key=lambda x: x[:3])
+    sets = [shingles(t) for *_, t in named]
     group = _groups(len(named), lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
-    least: dict[int, int] = {}
-    for (i, _), g in zip(named, group):
-        least[i] = min(least.get(i, i), named[g][0])
-    return [r for r in rows if r[0] is None or least[r[0]] == r[0]]
+    stays = {x[:3] for k, (x, g) in enumerate(zip(named, group)) if g == k}
+    return [r[:2] for r in rows if _place(r) in stays]
 
 
 def _passages_by_force(rows):
@@ -104,7 +116,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     model = language.train(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
     scored = [(r, *(x[0] for x in model.scores([r[1] or ""]))) for r in rows]
-    want = [[(r[0], r[1]) for r, g, s in scored if g != language.UNKNOWN and s >= corpus_pipeline.LEAST_SCORE]]
+    want = [[(r[0], r[1], None) for r, g, s in scored if g != language.UNKNOWN and s >= corpus_pipeline.LEAST_SCORE]]
     for force in (_lines_by_force, _near_by_force, _passages_by_force):
         want.append(force(want[-1]))
     for (name, stage), rows_wanted in zip(corpus_pipeline.STAGES, want):
@@ -113,9 +125,10 @@ def test_run_equals_brute_force(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         got = docs.collect()
-        assert _key((r["doc_id"], r["text"]) for r in got) == _key(rows_wanted), name
+        assert _key((r["doc_id"], r["text"]) for r in got) == _key(r[:2] for r in rows_wanted), name
         assert all((r["_i"], r["begins"], r["there"], r["source"]) == ("x", 1, 2, "s") for r in got)
         assert name == "language_id" or name == "near_dedup" or all(r["n_chars"] == len(r["text"] or "") for r in got)
+    want = [[r[:2] for r in x] for x in want]
     lang, line, near, passage = ({i for i, _ in x} for x in want)
     assert not {100, 101, 108} & lang and 111 in line - near and {103, 104} <= passage
     texts = dict(want[3])
@@ -150,6 +163,20 @@ def test_stages_of_an_empty_table(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() == 0, name
 
 
+def test_unique_texts_of_repeated_ids_stay(spark):
+    """An id that stands for several texts loses those that repeat elsewhere, and no other."""
+    rng = random.Random(12)
+    texts = {k: " ".join(f"{k}{rng.randrange(500)}" for _ in range(80)) for k in "auwop"}
+    rows = [(1, "a"), (2, "a"), (2, "u"), (3, "w"), (4, "w"), (4, "o"), (None, "w"), (None, "p"), (None, "p")]
+    docs = spark.createDataFrame([(i, texts[t], "en", "s", 0, "x", 1, 2) for i, t in rows], SCHEMA)
+    back = {t: k for k, t in texts.items()} | {"": ""}
+    stages = dict(corpus_pipeline.STAGES)
+    lined = [(r["doc_id"], back[r["text"]]) for r in stages["line_dedup"](spark, docs, "").collect()]
+    assert sorted(lined, key=str) == sorted([(1, "a"), (2, ""), (2, "u"), (3, "w"), (4, ""), (4, "o"), (None, ""), (None, "p"), (None, "p")], key=str)
+    near = [(r["doc_id"], back[r["text"]]) for r in stages["near_dedup"](spark, docs, "").collect()]
+    assert sorted(near, key=str) == sorted([(1, "a"), (2, "u"), (3, "w"), (4, "o"), (None, "p"), (None, "p")], key=str)
+
+
 def test_a_character_goes_whole(spark):
     own = "é" * 150
     df = spark.createDataFrame([(1, "ab" + own + "ê c", 1), (1, "xy" + own + "è d", 2), (None, own, 3)], "doc_id long, text string, digest int")
