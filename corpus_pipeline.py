@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.llm import language, lines, packing, simhash, suffix
-from lucerna.llm.common import Scratch, crc_mod, fresh
+from lucerna.llm.common import Scratch, crc_mod, fresh, text_hash
 
 #: Texts whose best language has a lower posterior are rejected, like those without a letter.
 LEAST_SCORE = 0.4
@@ -38,13 +38,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of documents whose 5-word shingles are alike to 0.8 or more.
+    """Keeps one document of each group whose 5-word shingles are alike to 0.8 or more: that of the least id.
 
-    Rows that repeat the kept id all stay, and so do rows without an id.
+    A document is an id with a text: what else stands under the same id is judged
+    by its own text, and texts without an id are too.  Rows that repeat the kept
+    document all stay.
     """
-    found, (there,) = simhash.similar_texts(docs, Scratch(spark, "stage3")), fresh(docs, "there")
-    goes = found.where("doc_id <> component_id").select(F.col("doc_id").alias(there))
-    return docs.join(goes, F.col("doc_id") == F.col(there), "left_anti")
+    found, (there, told) = simhash.similar_texts(docs, Scratch(spark, "stage3")), fresh(docs, "there", "told")
+    goes = found.where(~F.col("kept")).select(F.col("doc_id").alias(there), F.col("text_hash").alias(told))
+    return docs.join(goes, F.col("doc_id").eqNullSafe(F.col(there)) & (text_hash(F.col("text")) == F.col(told)), "left_anti")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
