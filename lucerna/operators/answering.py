@@ -10,7 +10,6 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from lucerna.functions import texts, urls
 from lucerna.operators import extraction, store
-from lucerna.sources.readers import robots_status
 
 # Candidates that a search spends itself on, those in preparation at once, and failures that close a host.
 BUDGET, IN_FLIGHT, FAILURES = 30, 8, 2
@@ -19,14 +18,6 @@ READABLE = ("text/html", "application/xhtml+xml", "text/plain", "text/markdown",
 PASSAGES = "array<struct<text:string,score:double,heading:string,hash:string>>"
 
 
-def permitted(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """(host, path, allowed) of the distinct pages (host, path); ``robots`` is (host, status, body), and a host without a row gave no answer: closed."""
-    rules = robots.select("host", robots_status(F.col("status"), F.coalesce("body", F.lit(""))).alias("body"))
-    open_ = extraction.robots_permits(rules, pages, agent)
-    asked = robots.select("host").distinct().withColumn("_asked", F.lit(True))
-    return open_.join(asked, "host", "left").select("host", "path", (F.col("allowed") & F.coalesce("_asked", F.lit(False))).alias("allowed"))
-
-
 def _passage(whole: Column) -> Column:
     return F.array(F.struct(whole.alias("text"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("heading"), F.sha2(whole, 256).alias("hash"))).cast(PASSAGES)
 
@@ -46,7 +37,7 @@ def prepared(candidates: DataFrame, robots: DataFrame, cached: DataFrame, render
     text, unsupported_or_ocr_required.
     """
     c = candidates.withColumn("_host", urls.host(F.col("url"))).withColumn("_path", urls.path(F.col("url")))
-    allowed = permitted(c.select(F.col("_host").alias("host"), F.col("_path").alias("path")).distinct(), robots, agent)
+    allowed = extraction.permitted(c.select(F.col("_host").alias("host"), F.col("_path").alias("path")).distinct(), robots, agent)
     entry = cached.select(F.col("canonical_url").alias("_key"), F.struct("content", "fetched", "cache_control", "content_class").alias("_entry"))
     seen = renders.select(F.col("url").alias("_url"), F.struct("content_type", "body", "not_modified", "error").alias("_render"))
     x = c.join(allowed.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "allowed"), ["_host", "_path"], "left")

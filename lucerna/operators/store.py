@@ -7,6 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lucerna.functions import urls
+from lucerna.operators import extraction
+from lucerna.session import saved
+
 
 @dataclass(frozen=True)
 class Ttl:
@@ -57,7 +61,7 @@ def lookup_fresh(entries: DataFrame, aliases: DataFrame, wanted: DataFrame, now:
     return found.withColumn("fresh", is_fresh(F.col("fetched"), F.col("cache_control"), F.col("content_class"), now, ttl)).withColumn("last_accessed", F.greatest("last_accessed", now))
 
 
-def evictions(entries: DataFrame, size: str, order: list, pinned: str, limit: int, shard: Column | None = None) -> DataFrame:
+def evictions(entries: DataFrame, size: str, order: list, pinned: str, limit: int) -> DataFrame:
     """Entries to remove, first by order, until the total fits: prefix sums over ranges, no single task.
 
     The total before an entry is the sum of the earlier ranges plus the sum
@@ -65,11 +69,11 @@ def evictions(entries: DataFrame, size: str, order: list, pinned: str, limit: in
     """
     total = entries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     free = entries.where(~F.col(pinned))
-    ranged = free.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
+    ranged = saved(free.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("_p").agg(F.sum(size).alias("_s"))
     before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    run = ranged.withColumn("_r", F.coalesce(F.sum(size).over(w), F.lit(0))).join(F.broadcast(before), "_p")
+    run = ranged.withColumn("_r", F.coalesce(F.sum(size).over(w), F.lit(0))).join(before, "_p")
     return run.withColumn("freed_before", F.col("_r") + F.col("_b")).where(F.lit(total) - F.col("freed_before") > limit).drop("_p", "_r", "_b")
 
 
@@ -122,6 +126,52 @@ def redirects(start: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
     return at.join(more, "final", "left").select("url", F.when(F.col("more").isNull(), F.col("final")).alias("final"))
 
 
+def followed(start: DataFrame, answers: DataFrame, robots: DataFrame, resolved: DataFrame, agent: str = "lucerna", hops: int = 5) -> DataFrame:
+    """(id, url, n_redirects, reason, robots_ignored): where each request ends, every hop checked before it is made.
+
+    ``start``: id, url, access (``explicit`` goes on against robots rules and says
+    so); ``answers``: url, status, location; ``robots``: host, status, body;
+    ``resolved``: host, first, second (the addresses that two look-ups gave).  At
+    each hop a row stops with a reason where its URL isn't public, robots rules or
+    the host's addresses refuse it, or it would be redirected once more than
+    ``hops`` times; a row that answers stops with none.  Rows that have stopped
+    take no part in later hops.
+    """
+    going = start.select("id", "url", "access", F.lit(0).alias("n_redirects"), F.lit(False).alias("robots_ignored"))
+    next_ = answers.select(F.col("url").alias("_u"), F.when(F.col("status").isin(301, 302, 303, 307, 308), F.col("location")).alias("_to"))
+    names = resolved.select(F.col("host").alias("_h"), urls.answers_reason(F.col("first"), F.col("second")).alias("_dns"), F.lit(True).alias("_known"))
+    # each hop reads these again
+    next_, names, robots, out = saved(next_, "answers"), saved(names, "resolved"), saved(robots.select("host", "status", "body"), "robots"), None
+    for hop in range(hops + 1):
+        x = going.withColumn("url", urls.strip_trackers(F.col("url"))).withColumn("_host", urls.host(F.col("url"))).withColumn("_path", urls.path(F.col("url")))
+        public = urls.policy_reason(F.col("url"))
+        asked = x.where(public.isNull()).select(F.col("_host").alias("host"), F.col("_path").alias("path")).distinct()
+        allowed = extraction.permitted(asked, robots, agent).select(F.col("host").alias("_rh"), F.col("path").alias("_rp"), "allowed")
+        x = x.join(allowed, (F.col("_host") == F.col("_rh")) & (F.col("_path") == F.col("_rp")), "left").join(names, F.col("_host") == F.col("_h"), "left").join(next_, F.col("url") == F.col("_u"), "left")
+        closed = ~F.coalesce("allowed", F.lit(False))
+        dns = F.when(F.col("_known").isNull(), "non_public_dns_answer").otherwise(F.col("_dns"))
+        reason = F.coalesce(public, F.when(closed & (F.col("access") != "explicit"), F.lit("robots_disallowed")), dns, F.when(F.col("_to").isNotNull() & F.lit(hop == hops), F.lit("redirect_limit")))
+        x = x.withColumn("reason", reason).withColumn("robots_ignored", F.col("robots_ignored") | (public.isNull() & closed & (F.col("access") == "explicit")))
+        x = saved(x.select("id", "url", "access", "n_redirects", "reason", "robots_ignored", "_to"), "hop")
+        ended = x.where(F.col("reason").isNotNull() | F.col("_to").isNull()).select("id", "url", "n_redirects", "reason", "robots_ignored")
+        out = ended if out is None else out.unionByName(ended)
+        whole = F.when(F.col("_to").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.col("_to")).when(F.col("_to").startswith("//"), F.concat(urls.scheme(F.col("url")), F.lit(":"), F.col("_to"))).when(F.col("_to").startswith("/"), F.concat(F.regexp_extract("url", "^[^:]+://[^/?#]*", 0), F.col("_to")))
+        whole = F.coalesce(whole, F.concat(F.regexp_extract("url", "^[^:]+://[^/?#]*", 0), F.regexp_replace(urls.path(F.col("url")), "[^/]*$", ""), F.col("_to")))
+        going = x.where(F.col("reason").isNull() & F.col("_to").isNotNull())
+        if not going.head(1):
+            break
+        going = going.select("id", whole.alias("url"), "access", (F.col("n_redirects") + 1).alias("n_redirects"), "robots_ignored")
+    return out
+
+
+def circuit(attempts: DataFrame, search: str, host: str, rank: str, status: str, budget: int = 30, most: int = 30) -> DataFrame:
+    """Attempts that a search makes: its first ``budget`` candidates, at most ``most``, without those of hosts that have blocked it twice before."""
+    place = F.row_number().over(Window.partitionBy(search).orderBy(rank))
+    first = attempts.withColumn("_n", place).where(F.col("_n") <= min(budget, most))
+    blocked = F.sum((F.col(status) == "blocked").cast("int")).over(Window.partitionBy(search, host).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1))
+    return first.withColumn("_b", F.coalesce(blocked, F.lit(0))).where("_b < 2").drop("_n", "_b")
+
+
 def transfers(chunks: DataFrame, limit: int) -> DataFrame:
     """(nav, bytes, over, content_type, not_modified) of a navigation's chunks."""
     return chunks.groupBy("nav").agg(
@@ -140,3 +190,9 @@ def settled(reads: DataFrame) -> DataFrame:
 def overrides(openings: DataFrame) -> DataFrame:
     """(investigation_id, n_overridden, last): how often an investigation went on against a robots rule, and when last."""
     return openings.where("decision = 'ignored'").groupBy("investigation_id").agg(F.count("*").alias("n_overridden"), F.max("seq").alias("last"))
+
+
+def override_log(log: DataFrame | None, openings: DataFrame) -> DataFrame:
+    """(investigation_id, seq, url, recorded_at) of openings against robots rules, after those of the log; one of equal seq stays."""
+    new = openings.where("decision = 'ignored'").select("investigation_id", "seq", "url", "recorded_at")
+    return new if log is None else log.unionByName(new.join(log.select("investigation_id", "seq"), ["investigation_id", "seq"], "left_anti"))
