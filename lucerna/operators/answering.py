@@ -37,7 +37,7 @@ def prepared(candidates: DataFrame, robots: DataFrame, cached: DataFrame, render
     text, unsupported_or_ocr_required.
     """
     c = candidates.withColumn("_host", urls.host(F.col("url"))).withColumn("_path", urls.path(F.col("url")))
-    allowed = extraction.permitted(c.select(F.col("_host").alias("host"), F.col("_path").alias("path")).distinct(), robots, agent)
+    allowed = extraction.permitted(c.select(F.col("_host").alias("host"), F.col("_path").alias("path")).distinct(), *extraction.answered_rules(robots, agent))
     entry = cached.select(F.col("canonical_url").alias("_key"), F.struct("content", "fetched", "cache_control", "content_class").alias("_entry"))
     seen = renders.select(F.col("url").alias("_url"), F.struct("content_type", "body", "not_modified", "error").alias("_render"))
     x = c.join(allowed.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "allowed"), ["_host", "_path"], "left")

@@ -153,27 +153,40 @@ def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return found.select(key, "kind", "rank", F.col("link").alias("url"), F.when(F.col("title") != "", F.col("title")).otherwise(urls.host(F.col("link"))).alias("title"))
 
 
-def robots_permits(rules: DataFrame, paths: DataFrame, agent: str) -> DataFrame:
-    """(host, path, allowed): the longest matching rule decides, the later of equals; allowed without one.
+def robots_rules(bodies: DataFrame, agent: str) -> DataFrame:
+    """(host, pos, allow, rule) of the lines of robots files (host, body) that hold for an agent.
 
-    ``rules`` is (host, body); a group applies from a User-agent line that names
-    everyone or the agent, up to the next User-agent line.
+    A group applies from a User-agent line that names everyone or the agent, up to
+    the next User-agent line.
     """
-    lines = rules.select("host", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+    lines = bodies.select("host", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
     clean = F.trim(F.regexp_replace("line", "#.*", ""))
     lines = lines.select("host", "pos", F.lower(F.trim(F.substring_index(clean, ":", 1))).alias("name"), F.trim(F.regexp_replace(clean, "^[^:]*:?", "")).alias("value")).where(clean.contains(":"))
     applies = F.when(F.col("name") == "user-agent", (F.col("value") == "*") | (F.lower("value") == agent.lower()))
     w = Window.partitionBy("host").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("applies", F.last(applies, ignorenulls=True).over(w))
-    own = lines.where("applies AND name IN ('allow', 'disallow') AND value <> ''").select("host", "pos", (F.col("name") == "allow").alias("allow"), F.col("value").alias("rule"))
-    hit = paths.join(own, "host").where(F.startswith(F.col("path"), F.col("rule")))
+    return lines.where("applies AND name IN ('allow', 'disallow') AND value <> ''").select("host", "pos", (F.col("name") == "allow").alias("allow"), F.col("value").alias("rule"))
+
+
+def rules_permit(rules: DataFrame, paths: DataFrame) -> DataFrame:
+    """(host, path, allowed): the longest matching rule decides, the later of equals; allowed without one."""
+    hit = paths.join(rules, "host").where(F.startswith(F.col("path"), F.col("rule")))
     best = hit.groupBy("host", "path").agg(F.max_by("allow", F.struct(F.length("rule"), F.col("pos"))).alias("allow"))
     return paths.distinct().join(best, ["host", "path"], "left").select("host", "path", F.coalesce("allow", F.lit(True)).alias("allowed"))
 
 
-def permitted(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """(host, path, allowed) of the distinct pages (host, path); ``robots`` is (host, status, body), and a host without a row gave no answer: closed."""
-    rules = robots.select("host", robots_status(F.col("status"), F.coalesce("body", F.lit(""))).alias("body"))
-    open_ = robots_permits(rules, pages, agent)
-    asked = robots.select("host").distinct().withColumn("_asked", F.lit(True))
-    return open_.join(asked, "host", "left").select("host", "path", (F.col("allowed") & F.coalesce("_asked", F.lit(False))).alias("allowed"))
+def robots_permits(rules: DataFrame, paths: DataFrame, agent: str) -> DataFrame:
+    """(host, path, allowed) under the robots files (host, body)."""
+    return rules_permit(robots_rules(rules, agent), paths)
+
+
+def answered_rules(robots: DataFrame, agent: str) -> tuple[DataFrame, DataFrame]:
+    """The rules of robots answers (host, status, body), and the hosts that gave one (host)."""
+    bodies = robots.select("host", robots_status(F.col("status"), F.coalesce("body", F.lit(""))).alias("body"))
+    return robots_rules(bodies, agent), robots.select("host").distinct()
+
+
+def permitted(pages: DataFrame, rules: DataFrame, asked: DataFrame) -> DataFrame:
+    """(host, path, allowed) of the distinct pages (host, path), by ``answered_rules``; a host that gave no answer is closed."""
+    open_ = rules_permit(rules, pages)
+    return open_.join(asked.withColumn("_asked", F.lit(True)), "host", "left").select("host", "path", (F.col("allowed") & F.coalesce("_asked", F.lit(False))).alias("allowed"))

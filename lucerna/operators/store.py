@@ -141,12 +141,15 @@ def followed(start: DataFrame, answers: DataFrame, robots: DataFrame, resolved:
     next_ = answers.select(F.col("url").alias("_u"), F.when(F.col("status").isin(301, 302, 303, 307, 308), F.col("location")).alias("_to"))
     names = resolved.select(F.col("host").alias("_h"), urls.answers_reason(F.col("first"), F.col("second")).alias("_dns"), F.lit(True).alias("_known"))
     # each hop reads these again
-    next_, names, robots, out = saved(next_, "answers"), saved(names, "resolved"), saved(robots.select("host", "status", "body"), "robots"), None
+    rules, told = extraction.answered_rules(robots, agent)
+    next_, names, rules, told, out = saved(next_, "answers"), saved(names, "resolved"), saved(rules, "rules"), saved(told, "told"), None
     for hop in range(hops + 1):
-        x = going.withColumn("url", urls.strip_trackers(F.col("url"))).withColumn("_host", urls.host(F.col("url"))).withColumn("_path", urls.path(F.col("url")))
-        public = urls.policy_reason(F.col("url"))
+        # each step is computed once: its columns occur in many places below
+        x = saved(going.withColumn("url", urls.strip_trackers(F.col("url"))), "going")
+        x = saved(x.withColumn("_public", urls.policy_reason(F.col("url"))).withColumn("_host", urls.host(F.col("url"))).withColumn("_path", urls.path(F.col("url"))), "checked")
+        public = F.col("_public")
         asked = x.where(public.isNull()).select(F.col("_host").alias("host"), F.col("_path").alias("path")).distinct()
-        allowed = extraction.permitted(asked, robots, agent).select(F.col("host").alias("_rh"), F.col("path").alias("_rp"), "allowed")
+        allowed = extraction.permitted(asked, rules, told).select(F.col("host").alias("_rh"), F.col("path").alias("_rp"), "allowed")
         x = x.join(allowed, (F.col("_host") == F.col("_rh")) & (F.col("_path") == F.col("_rp")), "left").join(names, F.col("_host") == F.col("_h"), "left").join(next_, F.col("url") == F.col("_u"), "left")
         closed = ~F.coalesce("allowed", F.lit(False))
         dns = F.when(F.col("_known").isNull(), "non_public_dns_answer").otherwise(F.col("_dns"))
