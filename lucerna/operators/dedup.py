@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions import texts
+from lucerna.session import saved, shared_dir
 
 SLOTS = 64
 _MASK = 4294967295
@@ -79,8 +80,9 @@ def signature(shingles: list[str], seeds: int = SLOTS) -> list[int]:
         for i, s in enumerate(some):
             grid[i, : len(s)] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
         for j in range(grid.shape[1]):
-            live = slice(int(np.searchsorted(lens, j, "right")), None)
-            x[live] = (x[live] ^ grid[live, j, None]) * np.uint32(16777619)
+            live = x[int(np.searchsorted(lens, j, "right")) :]
+            live ^= grid[len(x) - len(live) :, j, None]
+            live *= np.uint32(16777619)
         x ^= x >> np.uint32(16)
         x *= np.uint32(0x85EBCA6B)
         x ^= x >> np.uint32(13)
@@ -113,20 +115,24 @@ def similarity(a: Column, b: Column) -> Column:
 def near_pairs(signatures: DataFrame, origin: str, key: str, least: float = 0.9) -> DataFrame:
     """Pairs within an origin at that signature similarity, found by banding that misses none.
 
-    At most 64 - ceil(64 x least) slots differ; with more bands than that one band
-    agrees.  Equal signatures are one class, represented by the least key.
+    At most 64 - ceil(64 x least) slots differ; with more bands than that those
+    that are left agree.  Equal signatures are one class, represented by the least key.
     """
     bands = 1
     while bands <= SLOTS - -(-int(SLOTS * least * 1000) // 1000) or SLOTS % bands:
         bands += 1
     width = SLOTS // bands
-    reps = signatures.groupBy(origin, "signature").agg(F.min(key).alias("id"))
-    rows = reps.select(origin, "id", "signature", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("signature", b * width + 1, width)))).alias("band", "h"))
+    # so many bands agree at least
+    agree = max(1, bands - (SLOTS - -(-int(SLOTS * least * 1000) // 1000)))
+    reps = saved(signatures.groupBy(origin, "signature").agg(F.min(key).alias("id")), "classes")
+    rows = reps.select(origin, "id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("signature", b * width + 1, width)))).alias("band", "h"))
     a, b = rows.alias("a"), rows.alias("b")
     on = (F.col(f"a.{origin}") == F.col(f"b.{origin}")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id"))
-    alike = similarity(F.col("a.signature"), F.col("b.signature"))
-    pairs = a.join(b, on).select(F.col(f"a.{origin}").alias(origin), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), alike.alias("similarity"))
-    return pairs.where(F.col("similarity") >= least).distinct()
+    # ids alone meet; signatures come to the pairs that enough bands bring together
+    met = a.join(b, on).groupBy(F.col(f"a.{origin}").alias(origin), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).agg(F.count("*").alias("n")).where(F.col("n") >= agree).drop("n")
+    left, right = reps.select(F.col("id").alias("left_id"), F.col(origin).alias("_lo"), F.col("signature").alias("_l")), reps.select(F.col("id").alias("right_id"), F.col(origin).alias("_ro"), F.col("signature").alias("_r"))
+    pairs = met.join(left, (met.left_id == left.left_id) & (F.col(origin) == F.col("_lo"))).drop(left.left_id).join(right, (met.right_id == right.right_id) & (F.col(origin) == F.col("_ro"))).drop(right.right_id)
+    return pairs.select(origin, "left_id", "right_id", similarity(F.col("_l"), F.col("_r")).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def representatives(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -135,10 +141,8 @@ def representatives(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     edges = pairs.select(F.col("left_id").alias("x"), F.col("right_id").alias("y"))
     edges = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).persist()
     labels = edges.select(F.col("x").alias("id")).distinct().withColumn("label", F.col("id"))
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lucerna-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     last = None
     while True:
         heard = edges.join(labels.withColumnRenamed("id", "y"), "y").groupBy("x").agg(F.min("label").alias("heard"))

@@ -57,27 +57,37 @@ class Units:
             self._ready = automaton if places else None, [np.array(x) for x in places.values()], np.array([max(1, len(set(u))) for _, u in self.asked])
         return self._ready
 
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """For each question, how many units the text holds, and how many its best line holds."""
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The questions that the text holds a unit of, how many of its units each finds in the text, and how many in its best line.
+
+        Only what is found is added up: neither the number of questions nor that
+        of lines without a unit costs anything.
+        """
         automaton, places, sizes = self.ready()
+        none = np.zeros(0, np.int64)
         if automaton is None or not text:
-            return np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        lines, at = {}, -1
+            return none, none, none
         ends = [i for i, c in enumerate(text) if c == "\n"] if "\n" in text else []
-        line, n, found = 0, len(ends), set()
+        line, n, lines, found = 0, len(ends), [], set()
         for at, unit in automaton.iter(text):
             if line < n and at > ends[line]:
-                lines[line] = found
+                lines.append(found)
                 found = set()
                 while line < n and at > ends[line]:
                     line += 1
             found.add(unit)
-        lines[line] = found
-        add = lambda units: np.bincount(np.concatenate([places[u] for u in units]), minlength=len(sizes)) if units else np.zeros(len(sizes), np.int64)
-        whole, best = add(set().union(*lines.values())), np.zeros(len(sizes), np.int64)
-        for units in lines.values():
-            np.maximum(best, add(units), out=best)
-        return whole, best
+        lines = [x for x in [*lines, found] if x]
+        if not lines:
+            return none, none, none
+        asked, whole = np.unique(np.concatenate([places[u] for u in set().union(*lines)]), return_counts=True)
+        if len(lines) == 1:
+            return asked, whole, whole
+        parts = [(k, places[u]) for k, units in enumerate(lines) for u in units]
+        of_line = np.repeat([k for k, _ in parts], [len(p) for _, p in parts])
+        keys, counts = np.unique(of_line * len(sizes) + np.concatenate([p for _, p in parts]), return_counts=True)
+        best = np.zeros(len(asked), np.int64)
+        np.maximum.at(best, np.searchsorted(asked, keys % len(sizes)), counts)
+        return asked, whole, best
 
 
 def matched_units(questions: DataFrame, key: str, texts: DataFrame, corpus: str, keep: list[str], least: float = 0.0) -> DataFrame:
@@ -105,9 +115,9 @@ def matched_units(questions: DataFrame, key: str, texts: DataFrame, corpus: str,
             for b in batches:
                 out = []
                 for text in b.column(b.num_columns - 1).to_pylist():
-                    whole, best = units.count(folded(text))
-                    hit = np.flatnonzero((whole > 0) & (whole >= least * sizes - 1e-9))
-                    out.append((hit, whole[hit], best[hit]))
+                    hit, whole, best = units.count(folded(text))
+                    enough = whole >= least * sizes[hit] - 1e-9
+                    out.append((hit[enough], whole[enough], best[enough]))
                 row = pa.array(np.repeat(np.arange(b.num_rows), [len(x[0]) for x in out]))
                 hit, whole, best = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out) if out else ([], [], [])))
                 columns = [keys.take(pa.array(hit)), pa.array(sizes[hit].astype(np.int32)), *(b.column(i).take(row) for i in range(len(keep))), pa.array(whole), pa.array(best)]
