@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions import texts, urls
+from lucerna.session import saved
 
 # Words of a question that name no subject.
 QUESTION_WORDS = tuple(
@@ -113,21 +114,97 @@ def dominant_site(found: DataFrame, group: str, host: str, order: str) -> DataFr
     return counts.withColumn("_n", F.row_number().over(w)).where("_n = 1 AND n > 1").select(group, "site", "n")
 
 
+# Results below which a question is asked again in a few words; candidates up to which later engines add theirs.
+THIN, WIDENED = 6, 14
+#: A release date in a title, anywhere.
+_DATE = r"(?:19|20)\d{2}-\d{2}-\d{2}"
+
+
 def scoped_question(questions: DataFrame, found: DataFrame) -> DataFrame:
     """(question, scoped): the question asked of its dominant site, unless it is scoped, too short or already answered there.
 
-    ``found`` is (question, pos, url).  A question for what is current names the
-    newest dated version that the site's pages show.
+    ``found`` is (question, pos, url) and may have ``title``; ``questions`` may have
+    ``asked``, what is to be asked in the question's place.  A question for what is
+    current names the newest dated version that the site's pages, or any title, show.
     """
     x = found.withColumn("host", urls.host(F.col("url")))
     top = dominant_site(x, "question", "host", "pos").select("question", F.col("site").alias("top"))
+    said = F.array_max(F.regexp_extract_all("title", F.lit(f"({_DATE})"), F.lit(1))) if "title" in found.columns else F.lit(None).cast("string")
+    titled = x.groupBy("question").agg(F.max(said).alias("said"))
     reached = x.join(top, "question").where(urls.site(F.col("host")) == F.col("top"))
-    seen = reached.groupBy("question", "top").agg(F.collect_set(F.lower(urls.path(F.col("url")))).alias("paths"), F.max(urls.dated_version(F.col("url"))).alias("newest"))
-    q = F.col("question")
-    version = F.when(texts.asks_for_current(q), F.col("newest"))
+    seen = reached.groupBy("question", "top").agg(F.collect_set(F.lower(urls.path(F.col("url")))).alias("paths"), F.max(urls.dated_version(F.col("url"))).alias("newest")).join(titled, "question")
+    own = questions.select("question", F.col("asked") if "asked" in questions.columns else F.col("question").alias("asked")).join(seen, "question")
+    q = F.col("asked")
+    version = F.when(texts.asks_for_current(F.col("question")), F.greatest("newest", "said"))
     paths = F.when(version.isNotNull(), F.filter("paths", lambda p: F.contains(p, version))).otherwise(F.col("paths"))
     terms = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(q), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))), lambda t: ~t.isin(*STRUCTURAL))
     arrived = F.exists(terms, lambda t: ~F.contains(F.col("top"), t) & F.exists(paths, lambda p: F.contains(p, t)) & ~F.forall(paths, lambda p: F.contains(p, t)))
     enough = F.size(F.flatten(F.sentences(q))) >= 3
     out = F.concat_ws(" ", F.concat(F.lit("site:"), F.col("top")), version, q)
-    return questions.select("question").join(seen, "question").where(~q.rlike(r"(?i)(^|\s)-?site:") & enough & ~arrived).select("question", out.alias("scoped"))
+    return own.where(~q.rlike(r"(?i)(^|\s)-?site:") & enough & ~arrived).select("question", out.alias("scoped"))
+
+
+def walked(asked: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first engine that neither blocks nor fails, for each (asked): its answer (asked, engine, engine_order, status) and its candidates (asked, pos, url, title).
+
+    ``answers``: asked, engine, engine_order, status, candidates
+    array<struct<url,title>> in order; an engine without a row wasn't reached.
+    """
+    own = answers.join(asked.select("asked").distinct(), "asked", "left_semi")
+    usable = ~F.col("status").isin("blocked", "error")
+    row = F.struct("engine", "engine_order", "status", "candidates")
+    best = own.groupBy("asked").agg(F.coalesce(F.min_by(row, F.when(usable, F.col("engine_order"))), F.max_by(row, F.col("engine_order"))).alias("b")).select("asked", "b.*")
+    best = saved(best, "walked")
+    listed = best.where("status = 'success'").select("asked", F.posexplode("candidates").alias("pos", "c")).select("asked", "pos", F.col("c.url").alias("url"), F.col("c.title").alias("title"))
+    return best.select("asked", "engine", "engine_order", "status"), listed
+
+
+def _joined(lists: list[DataFrame]) -> DataFrame:
+    """(question, pos, url, title): lists one after the other, each address at its first place."""
+    every = None
+    for k, rows in enumerate(lists):
+        part = rows.select("question", F.lit(k).alias("part"), "pos", "url", "title")
+        every = part if every is None else every.unionByName(part)
+    first = every.groupBy("question", "url").agg(F.min(F.struct("part", "pos", "title")).alias("f")).select("question", "url", "f.*")
+    place = F.row_number().over(Window.partitionBy("question").orderBy("part", "pos"))
+    return first.select("question", place.alias("pos"), "url", "title")
+
+
+def chained(questions: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Discovery as one plan: engines in turn, later ones to widen, a few words where results are thin, the dominant site last.
+
+    ``questions``: question (the text, unique); ``answers`` as ``walked`` takes them,
+    of the questions and of what is derived from them.  Returns (question, engine,
+    status, follow_up) and the candidates (question, pos, url, title).  A question's
+    lists are a search's, so they stay small.
+    """
+    asked = saved(questions.select(F.col("question").alias("asked")).where("asked IS NOT NULL").distinct(), "asked")
+    first, own = walked(asked, answers)
+    own = own.withColumnRenamed("asked", "question")
+    # later engines add what is new, up to a ceiling that the first list may exceed
+    answering = first.where("status = 'success'").select("asked", F.col("engine_order").alias("_at"))
+    later = answers.where("status = 'success'").join(answering, "asked").where("engine_order > _at").select(F.col("asked").alias("question"), "engine_order", F.posexplode("candidates").alias("k", "c"))
+    later = later.groupBy("question", F.col("c.url").alias("url")).agg(F.min(F.struct("engine_order", "k", F.col("c.title").alias("title"))).alias("f"))
+    later = later.join(own.select("question", "url"), ["question", "url"], "left_anti").select("question", "url", "f.title", F.row_number().over(Window.partitionBy("question").orderBy("f.engine_order", "f.k")).alias("pos"))
+    held = own.groupBy("question").agg(F.countDistinct("url").alias("n"))
+    room = later.join(held, "question", "left").where(F.col("pos") <= WIDENED - F.coalesce("n", F.lit(0))).select("question", "pos", "url", "title")
+    wide = saved(_joined([own, room]), "widened")
+
+    good = first.where("status = 'success'").select(F.col("asked").alias("question"))
+    thin = good.join(wide.groupBy("question").agg(F.count("*").alias("n")), "question", "left").where(F.coalesce("n", F.lit(0)) < THIN).select("question", follow_up(F.col("question")).alias("asked")).where("asked IS NOT NULL")
+    thin = saved(thin, "thin")
+    second, more = walked(thin, answers)
+    spent = thin.join(second.where("status = 'success'").select("asked"), "asked")
+    wide = saved(_joined([wide, more.join(thin, "asked").select("question", "pos", "url", "title")]), "followed")
+
+    again = good.join(spent.withColumnRenamed("asked", "spent"), "question", "left").select("question", F.coalesce("spent", follow_up(F.col("question")), "question").alias("asked"), "spent")
+    scoped = saved(scoped_question(again, wide).select("question", F.col("scoped").alias("asked")), "scoped")
+    _, deep = walked(scoped, answers)
+    deep = deep.join(scoped, "asked").select("question", "asked", "pos", "url", "title").join(wide.select("question", "url"), ["question", "url"], "left_anti")
+    # what the site adds leads, in turns with what was there
+    turn = lambda order: F.row_number().over(Window.partitionBy("question").orderBy(order))
+    both = deep.select("question", turn("pos").alias("turn"), F.lit(0).alias("side"), "url", "title").unionByName(wide.select("question", F.col("pos").alias("turn"), F.lit(1).alias("side"), "url", "title"))
+    found = both.select("question", F.row_number().over(Window.partitionBy("question").orderBy("turn", "side")).alias("pos"), "url", "title")
+    used = deep.groupBy("question").agg(F.first("asked").alias("scoped"))
+    told = first.select(F.col("asked").alias("question"), "engine", "status").join(spent.withColumnRenamed("asked", "spent"), "question", "left").join(used, "question", "left")
+    return told.select("question", "engine", "status", F.coalesce("scoped", "spent").alias("follow_up")), found
