@@ -235,6 +235,12 @@ def flattened(text: Column) -> Column:
     return F.trim(x)
 
 
+def holds_concepts(text: Column, concepts: Column) -> Column:
+    """Whether a text holds every word of every concept, in whatever order and place."""
+    low = F.lower(text)
+    return F.forall(concepts, lambda c: F.forall(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.contains(low, w)))
+
+
 def lexical_tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != ""))
 

@@ -30,6 +30,47 @@ def result_rules() -> dict[str, Column]:
     }
 
 
+# How many cases of each category a corpus holds.
+CATEGORIES = {"technical_docs": 4, "current_news": 3, "academic_primary": 3, "community_contradictory": 3, "multilingual": 4, "ambiguous_difficult": 3}
+
+
+def _text(column: str) -> Column:
+    return F.trim(F.col(column)) != ""
+
+
+def case_rules() -> dict[str, Column]:
+    """What a case of a corpus must satisfy: id, question, locale, category; ``n_same`` counts the rows of its id."""
+    return {
+        "id_slug": F.col("id").rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), "id_unique": F.col("n_same") == 1, "question_given": _text("question"), "locale_given": F.length(F.trim("locale")) >= 2, "category_known": F.col("category").isin(*CATEGORIES),
+    }
+
+
+def claim_rules() -> dict[str, Column]:
+    """What a fixture's claim must satisfy: text, concepts, patterns, weight, sources by public addresses, passages from its own sources."""
+    own = F.flatten(F.transform("sources", lambda s: F.concat(F.array(s["url"]), F.coalesce(s["equivalent_urls"], F.array().cast("array<string>")))))
+    said = lambda c: (F.size(c) > 0) & F.forall(c, lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    return {
+        "claim_given": _text("text"), "concepts_given": said("required_concepts"), "patterns_given": said("acceptable_patterns"), "weight_positive": F.col("weight") > 0,
+        "sources_public": (F.size("sources") > 0) & F.forall(own, lambda u: urls.is_url(u)), "passages_cited": F.forall("evidence_passages", lambda p: F.array_contains(own, p["url"]) & (F.trim(p["text"]) != "")),
+    }
+
+
+def run_rules() -> dict[str, Column]:
+    """What a run must satisfy: a model, a search, an answer, opened and cited addresses on the web."""
+    web = lambda c: F.forall(c, lambda u: urls.is_url(u))
+    return {"model_given": _text("model"), "searched": F.size("queries") > 0, "answered": _text("final_answer"), "opened_web": web("opened_urls"), "cited_web": web("cited_urls")}
+
+
+def corpus_violations(cases: DataFrame) -> DataFrame:
+    """(id, violations) of the cases that break a rule, and (category, counted violation) of categories with another number of cases than they must have."""
+    same = cases.groupBy("id").agg(F.count("*").alias("n_same"))
+    rows = cases.join(same, cases.id.eqNullSafe(same.id)).drop(same.id).withColumn("violations", violations(case_rules())).where(F.size("violations") > 0).select("id", "violations")
+    want = F.map_from_arrays(F.array(*map(F.lit, CATEGORIES)), F.array(*map(F.lit, CATEGORIES.values())))
+    counts = cases.groupBy("category").agg(F.count("*").alias("n")).where("category IS NOT NULL")
+    odd = counts.where(F.coalesce(F.try_element_at(want, F.col("category")) != F.col("n"), F.lit(False)))
+    return rows.unionByName(odd.select(F.col("category").alias("id"), F.array(F.lit("category_count")).alias("violations")))
+
+
 def retried(attempts: DataFrame, keys: list[str]) -> DataFrame:
     """The outcome of each candidate: an error or a time-out gets one more attempt, anything else none."""
     again = F.col("status").isin("network_error", "target_error", "timeout")

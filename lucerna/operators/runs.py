@@ -64,6 +64,38 @@ def report(runs: DataFrame, claims: DataFrame) -> DataFrame:
     )
 
 
+# Why a claim is left out of a report, and the mode that measures no quality.
+NO_PASSAGE, PROBE = "no URL-located evidence passage", "offline-source-only-mechanics-probe"
+
+
+def left_out(claims: DataFrame) -> DataFrame:
+    """(case_id, claim_id, reason): every claim that no passage locates; ``claims`` is (case_id, claim_id, passages)."""
+    return claims.where(F.coalesce(F.size("passages"), F.lit(0)) <= 0).select("case_id", "claim_id", F.lit(NO_PASSAGE).alias("reason"))
+
+
+def report_scores(cases: DataFrame, graded: DataFrame, statuses: DataFrame, mode: str) -> DataFrame:
+    """(case_id, category, split, status, total, classification) of every case of a corpus, one that was never searched unmeasurable.
+
+    ``cases``: case_id, category, calibration; ``graded``: case_id, total,
+    classification; ``statuses``: case_id, status.
+    """
+    x = cases.join(graded, "case_id", "left").join(statuses, "case_id", "left")
+    mute = F.lit(mode == PROBE) | F.coalesce(F.col("status").isin(*DID_NOT_SEARCH), F.lit(False)) | F.col("total").isNull()
+    split = F.when(F.col("calibration"), "calibration").otherwise("validation")
+    return x.select("case_id", "category", split.alias("split"), "status", F.when(~mute, F.col("total")).alias("total"), F.when(mute, "unmeasurable").otherwise(F.col("classification")).alias("classification"))
+
+
+def verdict(scores: DataFrame, claims: DataFrame, mode: str) -> DataFrame:
+    """One row (cases, accepted, located, blocked, verdict): how much of a corpus its scores cover, in words."""
+    a = scores.agg(F.count("*").alias("cases"), F.count_if(F.col("status").isin(*DID_NOT_SEARCH)).alias("blocked"))
+    b = claims.agg(F.count("*").alias("accepted"), F.count_if(F.size("passages") > 0).alias("located"))
+    number = lambda c: F.col(c).cast("string")
+    probe = F.concat(F.lit("not_gateable: source-only mechanics probe over "), number("accepted"), F.lit(" accepted claims; it exercises URL, equivalence and rank mechanics and measures no answer quality."))
+    blocked = F.when(F.col("blocked") > 0, F.concat(F.lit(" "), number("blocked"), F.lit(" case(s) did not complete a search and are blocked rather than badly answered."))).otherwise("")
+    full = F.concat(F.lit("not_gateable: "), number("located"), F.lit(" of "), number("accepted"), F.lit(" accepted claims carry a URL-located evidence passage; the measured scores are published for observation and never gate a release."), blocked)
+    return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").select("cases", "accepted", "located", "blocked", (probe if mode == PROBE else full).alias("verdict"))
+
+
 def near(corpus: str, words: list[str], reach: int = REACH) -> bool:
     """Whether all words start within ``reach`` characters of each other somewhere: a sweep over their places in order."""
     need, last, found = set(words), {}, re.finditer(r"[a-z0-9]+", corpus)

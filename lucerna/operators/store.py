@@ -199,3 +199,9 @@ def override_log(log: DataFrame | None, openings: DataFrame) -> DataFrame:
     """(investigation_id, seq, url, recorded_at) of openings against robots rules, after those of the log; one of equal seq stays."""
     new = openings.where("decision = 'ignored'").select("investigation_id", "seq", "url", "recorded_at")
     return new if log is None else log.unionByName(new.join(log.select("investigation_id", "seq"), ["investigation_id", "seq"], "left_anti"))
+
+
+def ensured(investigations: DataFrame, calls: DataFrame) -> DataFrame:
+    """Investigations with those that calls name for the first time, as of their first call; (investigation_id, opened)."""
+    new = calls.groupBy("investigation_id").agg(F.min("at").alias("opened")).join(investigations.select("investigation_id"), "investigation_id", "left_anti")
+    return investigations.select("investigation_id", "opened").unionByName(new)

@@ -24,8 +24,8 @@ def answers(questions: DataFrame, pages: DataFrame, ranked: DataFrame, consumed:
     one site fold to the best-placed page; a page is emitted once.
     """
     body = texts.html_to_text(F.col("html"))
-    read = pages.select("page_id", "url", urls.site(urls.host(F.col("url"))).alias("site"), body.alias("body"), (1 + F.col("page_id") % 10).alias("pos"))
-    spent = ranked.select("item_id", "page_id").join(read, "page_id").join(questions, "item_id")
+    read = pages.select("page_id", "url", urls.site(urls.host(F.col("url"))).alias("site"), body.alias("body"))
+    spent = ranked.select("item_id", "page_id", F.col("rank").alias("pos")).join(read, "page_id").join(questions, "item_id")
     spent = spent.withColumn("key", F.concat_ws("/", F.col("item_id").cast("string"), F.col("page_id").cast("string")))
     cut = extraction.blocks(spent, "key", "body")
     best = extraction.best_passages(cut, "key", spent.select("key", "units"))
