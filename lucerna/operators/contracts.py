@@ -1,4 +1,4 @@
-"""Validation, retries, headers, and what may leave: URLs of a text, sanitised JSON, smallest supporting spans."""
+"""Validation, retries, headers, and what may leave: URLs of a text, sanitised JSON."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.functions import texts, urls
+from lucerna.functions import urls
 
 # The cache headers that matter, and the names that mark a secret.
 DIRECTIVES = ("cache-control", "etag", "expires", "last-modified", "content-type")
@@ -137,39 +137,6 @@ def sanitised_json(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(column).alias("v")).mapInArrow(run, f"`{key}` {kind}, clean string, valid boolean")
 
 
-def smallest_span(paragraphs: list[str], words: list[str]) -> tuple[int, int] | None:
-    """The shortest run of paragraphs (first, last) that holds all words, the earliest of equals."""
-    need, best, have, low = set(words), None, {}, 0
-    sets = [need & set(re.findall(r"[a-z0-9]+", p.lower())) for p in paragraphs]
-    size = [len(p) for p in paragraphs]
-    for high, found in enumerate(sets):
-        for w in found:
-            have[w] = have.get(w, 0) + 1
-        while len(have) == len(need) and need:
-            span = (sum(size[low : high + 1]), low, high)
-            best = min(best or span, span)
-            for w in sets[low]:
-                have[w] -= 1
-                if not have[w]:
-                    del have[w]
-            low += 1
-    return best and (best[1], best[2])
-
-
-def token_positions(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(key, token, pos, n_tokens): where the wanted tokens start in each text; ``wanted`` is (token, n_tokens)."""
-    pieces = F.split(F.lower(F.col(text)), "(?<![a-z0-9])(?=[a-z0-9])")
-    laid = df.select(key, F.posexplode(F.transform(pieces, lambda p, i: F.struct(F.regexp_extract(p, "^[a-z0-9]+", 0).alias("token"), F.length(p).alias("n")))).alias("i", "p"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    laid = laid.select(key, F.col("p.token").alias("token"), F.coalesce(F.sum("p.n").over(w), F.lit(0)).alias("pos"))
-    return laid.join(wanted, "token")
-
-
-__all__ = ["conditional", "directives", "header", "result_rules", "retried", "robots_decision", "sanitised_json", "smallest_span", "texts", "token_positions", "urls_in", "violations"]
-
-
 def safe_entry(name: Column) -> Column:
     """Whether an archive entry stays inside the folder that it is unpacked to."""
     return ~name.rlike(r"^[/\\]") & ~name.rlike(r"(^|[\\/])\.\.([\\/]|$)")

@@ -22,8 +22,9 @@ def exact_representatives(df: DataFrame, origin: str, text: str, key: str) -> Da
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key by order; an aggregate, so the copies of a hot key are reduced where they are read."""
+    first = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_e"))
+    return first.select(*[F.col(f"_e.{c}").alias(c) for c in df.columns])
 
 
 def jaccard_pairs(df: DataFrame, origin: str, text: str, key: str, least: float) -> DataFrame:

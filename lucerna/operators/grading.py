@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lucerna.functions import scoring, texts, urls
+from lucerna.session import saved
 
 # Points of each component, and the token budget.
 POINTS = {"evidence_coverage": 40, "source_recall": 25, "rank": 15, "extraction": 10, "diversity": 5, "token_budget": 5}
@@ -100,10 +106,53 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))
 
 
-def spans_within(positions: DataFrame, keys: list[str], n_tokens: str, reach: int = 160) -> DataFrame:
-    """Keys at which all tokens occur within ``reach`` characters of some position: a sliding range frame."""
-    w = Window.partitionBy(*keys).orderBy("pos").rangeBetween(0, reach)
-    return positions.withColumn("_k", F.size(F.collect_set("token").over(w))).where(F.col("_k") >= F.col(n_tokens)).select(*keys).distinct()
+def holding_words(claims: DataFrame, held: DataFrame, claim: str, doc: str) -> DataFrame:
+    """(claim, doc) of the documents that hold every word of a claim; ``claims`` is (claim, w: distinct words), ``held`` (doc, word).
+
+    A claim meets the documents of its rarest word only, and those meet its other
+    words by document and word, so a common word is nobody's join key.
+    """
+    words = claims.where(F.size("w") > 0).select(claim, F.size("w").alias("n"), F.explode("w").alias("word"))
+    own = saved(held.join(words.select("word").distinct(), "word", "left_semi"), "held")
+    told = words.join(own.groupBy("word").agg(F.count("*").alias("df")), "word", "left")
+    rare = told.groupBy(claim, "n").agg(F.count("df").alias("known"), F.min_by("word", F.struct("df", "word")).alias("rarest")).where("known = n")
+    likely = rare.join(own.select(F.col("word").alias("rarest"), doc), "rarest").select(claim, "n", doc)
+    found = likely.join(words.select(claim, "word"), claim).join(own, ["word", doc]).groupBy(claim, doc).agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    return found.where("k = n").select(claim, doc)
+
+
+def near_texts(df: DataFrame, key: str, text: str, groups: DataFrame, reach: int = 160) -> DataFrame:
+    """(key, group) of the texts in which all words of a group start within ``reach`` characters of each other.
+
+    ``groups`` is (group, words), few enough to be told to every task.  A text is
+    swept once where it is read; nothing is shuffled.
+    """
+    told = sorted((r[0], sorted(set(r[1]))) for r in groups.select("group", "words").collect())
+    held = df.sparkSession.sparkContext.broadcast(told)
+    kinds = f"`{key}` {df.schema[key].dataType.simpleString()}, group {groups.schema['group'].dataType.simpleString()}"
+    arrow = to_arrow_type(groups.schema["group"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, list[int]] = {}
+        for g, (_, words) in enumerate(held.value):
+            for w in words:
+                by.setdefault(w, []).append(g)
+        for b in batches:
+            out = []
+            for i, t in enumerate(b.column("t").to_pylist()):
+                last: dict[int, dict[str, int]] = {}
+                hit: set[int] = set()
+                for m in re.finditer(r"[a-z0-9]+", (t or "").lower()):
+                    for g in by.get(m[0], ()):
+                        if g not in hit:
+                            own = last.setdefault(g, {})
+                            own[m[0]] = m.start()
+                            if len(own) == len(held.value[g][1]) and m.start() - min(own.values()) <= reach:
+                                hit.add(g)
+                out += [(i, g) for g in sorted(hit)]
+            yield pa.record_batch([b.column("k").take(pa.array([i for i, _ in out], pa.int64())), pa.array([held.value[g][0] for _, g in out], arrow)], names=[key, "group"])
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, kinds)
 
 
 def unread_sources(claimed: DataFrame, read: DataFrame, run: str, url: str) -> DataFrame:

@@ -29,18 +29,21 @@ def bm25(queries: DataFrame, index: DataFrame, totals: DataFrame, key: str, quer
     """The k best documents of each query that hold all its terms, ties to the lesser key.
 
     ``queries`` is (query_key, term); ``totals`` one row (n_docs, avg_length).
-    Only postings of asked terms are kept before anything else is joined.
+    Only postings of asked terms are kept before anything else is joined, and a
+    question's documents are those of its rarest term.
     """
     asked = queries.select("term").distinct()
-    hit = index.join(asked, "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    hit = saved(index.join(asked, "term", "left_semi"), "hits")
+    df = saved(hit.groupBy("term").agg(F.count("*").alias("df")), "terms")
     n_docs, avg_length = totals.first()
     idf = F.greatest(F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(avg_length or 1.0))))
-    scored = hit.join(df.select("term", idf.alias("idf")), "term").select("term", key, weight.alias("w"))
-    needed = queries.groupBy(query_key).agg(F.count("*").alias("n_terms"))
-    found = queries.join(scored, "term").groupBy(query_key, key).agg(F.sum("w").alias("score"), F.count("*").alias("n"))
-    found = found.join(needed, query_key).where("n = n_terms")
+    # a document holds all terms only if it holds the rarest: those alone meet the other terms, by term and document
+    told = queries.join(df.withColumn("idf", idf), "term", "left")
+    needed = told.groupBy(query_key).agg(F.count("*").alias("n_terms"), F.count("df").alias("n_known"), F.min_by("term", F.struct("df", "term")).alias("rarest")).where("n_known = n_terms")
+    likely = needed.join(hit.select(F.col("term").alias("rarest"), key), "rarest").select(query_key, "n_terms", key)
+    pairs = likely.join(told.select(query_key, "term", "idf"), query_key).join(hit, ["term", key])
+    found = pairs.groupBy(query_key, key).agg(F.sum(weight).alias("score"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms")).where("n = n_terms")
     w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
 

@@ -82,8 +82,18 @@ def sanitised_props(spark: SparkSession, d: str) -> DataFrame:
     return contracts.sanitised_json(e, "event_id", "v")
 
 
-@query("concept_windows")
+# Word pairs of each question: its first two longer words, or the same one twice.
+_PAIRS = """SELECT item_id AS "group", list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')[1:2]) AS words FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z]{3,}')) > 1"""
+
+
+@query("concept_windows", rf"""
+    WITH g AS ({_PAIRS}), u AS (SELECT "group", words[1] AS x, words[len(words)] AS y FROM g), w AS (SELECT DISTINCT x AS w FROM u UNION SELECT DISTINCT y FROM u),
+    p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^a-z0-9]*[a-z0-9]+')) AS piece, generate_subscripts(regexp_extract_all(lower(text), '[^a-z0-9]*[a-z0-9]+'), 1) AS k FROM documents),
+    q AS (SELECT doc_id, regexp_extract(piece, '[a-z0-9]+$') AS word, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) - length(regexp_extract(piece, '[a-z0-9]+$')) AS pos FROM p),
+    h AS (SELECT doc_id, word, pos FROM q WHERE word IN (SELECT w FROM w))
+    SELECT DISTINCT a.doc_id, u."group" FROM u JOIN h a ON a.word = u.x JOIN h b ON b.doc_id = a.doc_id AND b.word = u.y AND abs(b.pos - a.pos) <= 20""")
 def concept_windows(spark: SparkSession, d: str) -> DataFrame:
-    wanted = spark.createDataFrame([("the", 2), ("and", 2)], "token string, n_tokens int")
-    docs = table(spark, d, "documents")
-    return grading.spans_within(contracts.token_positions(docs, "doc_id", "text", wanted), ["doc_id", "n_tokens"], "n_tokens", 20).select("doc_id")
+    """Documents in which two words of a question start within 20 characters of each other."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    groups = table(spark, d, "benchmark").select(F.col("item_id").alias("group"), found.alias("w")).where(F.size("w") > 1).select("group", F.array_distinct(F.slice("w", 1, 2)).alias("words"))
+    return grading.near_texts(table(spark, d, "documents"), "doc_id", "text", groups, 20)

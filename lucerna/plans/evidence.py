@@ -207,14 +207,14 @@ def coverage_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Candidates: pages under addresses that show versions and documentation, the same in both languages.
-_PLACED = """'https://h' || page_id % 50 || '.example/' || CASE WHEN page_id % 7 = 0 THEN '2025-0' || (1 + page_id % 9) || '-10/' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN 'docs/' ELSE '' END || page_id"""
+_PLACED = """'https://h' || page_id // 5 || '.example/' || CASE WHEN page_id % 7 = 0 THEN '2025-0' || (1 + page_id % 9) || '-10/' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN 'docs/' ELSE '' END || page_id"""
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """(page_id, url, corpus, pos, kind, novel, documents, newest): what is known of pages before they are rendered."""
     i = F.col("page_id")
     dated = F.when(i % 7 == 0, F.concat(F.lit("2025-0"), 1 + i % 9, F.lit("-10/"))).otherwise("")
-    url = F.concat(F.lit("https://h"), i % 50, F.lit(".example/"), dated, F.when(i % 3 == 0, "docs/").otherwise(""), i)
+    url = F.concat(F.lit("https://h"), F.floor(i / 5), F.lit(".example/"), dated, F.when(i % 3 == 0, "docs/").otherwise(""), i)
     p = table(spark, d, "pages").select("page_id", url.alias("url"), F.coalesce(texts.title_of(F.col("html")), F.lit("")).alias("title"), (1 + i % 10).alias("pos"), _kind(i).alias("kind"), (i % 4 != 0).alias("novel"))
     p = p.withColumn("host", urls.host(F.col("url"))).withColumn("dated", urls.dated_version(F.col("url"))).withColumn("documents", urls.path(F.col("url")).rlike(texts.DOCUMENTATION_PATH))
     latest = p.where("dated IS NOT NULL").groupBy(F.col("host").alias("_h")).agg(F.max("dated").alias("_d"))
@@ -229,7 +229,7 @@ def _prescore(cov) -> F.Column:
 
 
 @query("prerank_topk", rf"""
-    WITH p AS (SELECT *, '/' || regexp_extract(url, '^https://[^/]*/(.*)$', 1) AS path, nullif(regexp_extract(url, '/(2025-[0-9-]{{5}})/', 1), '') AS dated, page_id % 50 AS host FROM (
+    WITH p AS (SELECT *, '/' || regexp_extract(url, '^https://[^/]*/(.*)$', 1) AS path, nullif(regexp_extract(url, '/(2025-[0-9-]{{5}})/', 1), '') AS dated, page_id // 5 AS host FROM (
         SELECT page_id, {_PLACED} AS url, lower(coalesce(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') || ' ' || {_PLACED}) AS corpus, 1.0 / (1 + page_id % 10) AS pos, {_KIND.format("page_id")} AS kind, page_id % 4 <> 0 AS novel FROM pages)),
     n AS (SELECT *, coalesce(dated = max(dated) OVER (PARTITION BY host), false) AS newest FROM p),
     s AS (SELECT item_id, page_id, url, least(1.0, 0.45 * ({_HITS} / len(units)) + 0.25 * pos + 0.2 * {_typed("profile", "kind")} + CASE WHEN novel THEN 0.1 ELSE 0 END + CASE WHEN asks AND contains(path, '/docs/') THEN 0.15 ELSE 0 END)
@@ -357,7 +357,8 @@ def exact_dupes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("dedupe_keep_first", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")
 def dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id", "source")).alias("k")).select("k.doc_id", "k.source")
+    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    return dedup.keep_first(docs, ["h"], ["doc_id"]).select("doc_id", "source")
 
 
 @query("shingle_jaccard", rf"""
@@ -428,13 +429,10 @@ def lexical_token_counts(spark: SparkSession, d: str) -> DataFrame:
     d AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS s FROM documents)
     SELECT item_id, doc_id FROM q, d WHERE len(w) > 0 AND list_has_all(s, w)""")
 def grounding_words(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold every distinctive word of a claim: an equi-join on words, rarest kept by counting."""
-    claims = table(spark, d, "benchmark").select("item_id", grading.content_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    words = claims.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    """Documents that hold every distinctive word of a claim."""
+    claims = table(spark, d, "benchmark").select("item_id", grading.content_words(F.col("text")).alias("w"))
     held = table(spark, d, "documents").select("doc_id", F.explode(grading.word_set(F.col("text"))).alias("word"))
-    held = held.join(words.select("word").distinct(), "word", "left_semi")
-    found = held.join(words, "word").groupBy("item_id", "n", "doc_id").agg(F.count("*").alias("k"))
-    return found.where("k = n").select("item_id", "doc_id")
+    return grading.holding_words(claims, held, "item_id", "doc_id")
 
 
 @query("redact_secrets", r"""

@@ -101,11 +101,12 @@ def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("consumed_anti", """
-    WITH c AS (SELECT conv_id, turn, page_id, url FROM conversations JOIN pages ON page_id = (conv_id * 31 + turn * 7) % 97), k AS (SELECT DISTINCT conv_id, url FROM c WHERE turn = 0)
+    WITH c AS (SELECT conv_id, turn, page_id, url FROM conversations JOIN pages ON page_id = (conv_id * 31 + turn * 7) % (SELECT count(*) FROM pages)), k AS (SELECT DISTINCT conv_id, url FROM c WHERE turn = 0)
     SELECT conv_id, turn, page_id FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.conv_id = c.conv_id AND k.url = c.url) QUALIFY row_number() OVER (PARTITION BY conv_id, url ORDER BY turn) = 1""")
 def consumed_anti(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", "url")
-    calls = table(spark, d, "conversations").select("conv_id", "turn", ((F.col("conv_id") * 31 + F.col("turn") * 7) % 97).alias("page_id")).join(pages, "page_id")
+    n = pages.agg(F.count("*").alias("n"))
+    calls = table(spark, d, "conversations").join(F.broadcast(n)).select("conv_id", "turn", ((F.col("conv_id") * 31 + F.col("turn") * 7) % F.col("n")).alias("page_id")).join(pages, "page_id")
     return store.reserve(calls, calls.where("turn = 0"), ["conv_id", "url"], ["turn"]).select("conv_id", "turn", "page_id")
 
 
@@ -131,12 +132,12 @@ def interleave_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("quota_fill", """
-    WITH a AS (SELECT doc_id % 200 AS search, source AS host, doc_id AS rank, doc_id % 3 <> 0 AS ok FROM documents),
+    WITH a AS (SELECT doc_id // 40 AS search, lang AS host, doc_id AS rank, doc_id % 3 <> 0 AS ok FROM documents),
     f AS (SELECT *, coalesce(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY search, host ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM a),
     p AS (SELECT search, host, rank, CAST(row_number() OVER (PARTITION BY search ORDER BY rank) AS INTEGER) AS place FROM f WHERE f < 2 AND ok)
     SELECT search, host, rank, place FROM p WHERE place <= 3""")
 def quota_fill(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "documents").select((F.col("doc_id") % 200).alias("search"), F.col("source").alias("host"), F.col("doc_id").alias("rank"), (F.col("doc_id") % 3 != 0).alias("ok"))
+    a = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 40).alias("search"), F.col("lang").alias("host"), F.col("doc_id").alias("rank"), (F.col("doc_id") % 3 != 0).alias("ok"))
     return store.quota(a, "search", "host", "rank", "ok", 3).select("search", "host", "rank", "place")
 
 
@@ -238,7 +239,7 @@ def error_rate_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("capacity_controller")
 def capacity_controller(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select((F.col("user_id") % 8).cast("string").alias("controller"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("value").alias("duration"), (F.col("event_type") == "error").alias("failed"), (F.col("value") > 80).alias("timed_out"))
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("controller"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("value").alias("duration"), (F.col("event_type") == "error").alias("failed"), (F.col("value") > 80).alias("timed_out"))
     return controller.capacity_batch(e)
 
 

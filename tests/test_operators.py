@@ -182,24 +182,25 @@ def test_a_failing_sink_never_emits_twice(spark, tmp_path):
     assert sorted(out) == [(1, "u"), (1, "v")] and again == []
 
 
-def test_spans_and_sanitising(spark):
+def test_sanitising(spark):
     from lucerna.operators import contracts
 
-    assert contracts.smallest_span(["a b", "x", "b c", "c"], ["b", "c"]) == (2, 2)
-    assert contracts.smallest_span(["one", "two x", "three"], ["one", "three"]) == (0, 2)
-    assert contracts.smallest_span(["a"], ["z"]) is None and contracts.smallest_span([], []) is None
     df = spark.createDataFrame([(1, '{"a": [{"api_key": 5, "note": "Bearer abc"}]}'), (2, "not json Bearer x"), (3, None)], "id long, v string")
     got = {r["id"]: (r["clean"], r["valid"]) for r in contracts.sanitised_json(df, "id", "v").collect()}
     assert got == {1: ('{"a": [{"api_key": "[redacted]", "note": "[redacted]"}]}', True), 2: ("not json [redacted]", False), 3: (None, False)}
 
 
-def test_tokens_within_reach(spark):
-    from lucerna.operators import contracts
+def test_words_within_reach(spark):
+    docs = spark.createDataFrame([(1, "Alpha then beta."), (2, "alpha " + "x " * 100 + "beta"), (3, "alphabet beta"), (4, None)], "id long, text string")
+    groups = spark.createDataFrame([("g", ["alpha", "beta"]), ("h", ["beta"]), ("i", ["beta", "nowhere"])], "group string, words array<string>")
+    got = grading.near_texts(docs, "id", "text", groups, 160).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "g"), (1, "h"), (2, "h"), (3, "h")]
+
 
-    docs = spark.createDataFrame([(1, "Alpha then beta."), (2, "alpha " + "x " * 100 + "beta"), (3, "alphabet beta")], "id long, text string")
-    wanted = spark.createDataFrame([("alpha", 2), ("beta", 2)], "token string, n_tokens int")
-    got = grading.spans_within(contracts.token_positions(docs, "id", "text", wanted), ["id", "n_tokens"], "n_tokens", 160).collect()
-    assert [r["id"] for r in got] == [1]
+def test_documents_that_hold_all_words(spark):
+    claims = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "zz"]), (3, []), (4, ["c"])], "c int, w array<string>")
+    held = spark.createDataFrame([(10, "a"), (10, "b"), (11, "a"), (12, "b"), (12, "a"), (13, "c")], "d int, word string")
+    assert sorted(tuple(r) for r in grading.holding_words(claims, held, "c", "d").collect()) == [(1, 10), (1, 12), (4, 13)]
 
 
 def test_archive_entries_and_dates(spark):
@@ -224,13 +225,6 @@ def test_answers_of_documents_of_any_length(spark, tmp_path):
     assert got.keys() == {0, 1, 2} and got[2] - got[0] == 10_000 - 5
 
 
-def test_spans_in_documents_of_any_length(spark, tmp_path):
-    from lucerna.plans import contracts as plan
-
-    _documents(spark, tmp_path, ["the dog and the cat", "the dog", "word " * 1000 + "the dog and cat", "the " + "word " * 1000 + "and"])
-    assert {r["doc_id"] for r in plan.concept_windows(spark, str(tmp_path)).collect()} == {0, 2}
-
-
 def test_concepts_are_grounded_nearby():
     import itertools
 
