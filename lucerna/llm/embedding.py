@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.llm.common import Scratch
-from lucerna.llm.components import Forest, components
-from lucerna.llm.tiles import TILE, fan_out, runs, spread
+from lucerna.llm.components import Forest, components, hang
+from lucerna.llm.tiles import TILE, runs
 
 COSINE = 0.95
 #: Hyperplanes of a table: at least, and at most.
@@ -78,17 +78,16 @@ def bucket_keys(c: np.ndarray, dim: int) -> np.ndarray:
     return (((dim & 0xFFF) << 7) + np.arange(c.shape[1]) << 20) + c
 
 
-#: Bits of a key that number the tiles of a bucket, on either side.
-_SIDE = 12
-_MOST = (1 << _SIDE) - 1
+#: Overfull buckets that are told to every task; more of them travel to the rows by a join.
+TOLD = 100_000
 
 
-def compare(key: int, ids: np.ndarray, mult: np.ndarray, code: np.ndarray, v: np.ndarray, left: np.ndarray | None, least: float):
+def compare(bucket: int, ids: np.ndarray, mult: np.ndarray, code: np.ndarray, v: np.ndarray, left: np.ndarray | None, least: float):
     """Links of a tile that no earlier table has: (ids, their numbers of linked vectors), spanning edges.
 
     Between ``left`` and the other rows; within all rows if it is None.
     """
-    table_no = (key >> (2 * _SIDE + 20)) & 127
+    table_no = (bucket >> 20) & 127
     u = unit(v)
     within = left is None
     a = np.arange(len(ids)) if within else np.flatnonzero(left)
@@ -118,15 +117,17 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec
     nothing and are their own component; so are vectors of another length to
     each other.  Equal vectors link with each other (cosine one).  Ids are
     integers; ties go to the least id; an empty table gives no rows; other
-    columns are ignored.
+    columns are ignored.  An id that stands for several vectors is as many rows,
+    each with the links of its own vector, and they link only if those do; rows
+    without an id link with nothing.
     """
-    spark = df.sparkSession
     v = F.col(vec_col)
     sound = finite(v) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.when(sound, v).alias("v"))
     rows = rows.select("id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("h1"), F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v")).alias("h2"))
-    classes = rows.where("v IS NOT NULL AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("v").alias("v"))
-    classes = scratch.save(classes, "classes")
+    classes = rows.where("v IS NOT NULL AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("mult"), F.first("v").alias("v"))
+    # a class has a number of its own: several may stand under one id
+    classes = scratch.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     tables, bits = layout(classes.count(), least)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,26 +135,16 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec
             for at, x in matrix(b.column("v")):
                 yield pa.record_batch([pa.array(bucket_keys(codes(x, tables, bits), x.shape[1]).ravel())], names=["bucket"])
 
-    # at most tables x 2^bits rows for each length of vector, and no more than the vectors make up
-    wide = classes.select("v").mapInArrow(buckets, "bucket long").groupBy("bucket").count().where(F.col("count") > TILE).collect()
-    parts = spark.sparkContext.broadcast({r[0]: min(_MOST + 1, -(-r[1] // TILE)) for r in wide})
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = parts.value.get
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
-                ids = np.asarray(b.column("rep"))
                 for at, x in matrix(b.column("v")):
                     c = codes(x, tables, bits)
-                    keys = bucket_keys(c, x.shape[1]).ravel()
-                    k = np.array([get(q, 1) for q in keys.tolist()]) if parts.value else np.ones(len(keys), np.int64)
-                    s = np.repeat(spread(ids[at]), tables) % k
-                    row, t = fan_out(k)
-                    key = (keys[row] << 2 * _SIDE) | (np.minimum(s[row], t) << _SIDE) | np.maximum(s[row], t)
-                    take = pa.array(at[row // tables])
-                    raw = pa.array([c[i].tobytes() for i in range(len(c))], pa.binary()).take(pa.array(row // tables))
-                    yield pa.record_batch([pa.array(key), b.column("rep").take(take), b.column("mult").take(take), raw, b.column("v").take(take)], names=["key", "id", "mult", "codes", "v"])
+                    row = np.repeat(np.arange(len(c)), tables)
+                    take = pa.array(at[row])
+                    raw = pa.array([c[i].tobytes() for i in range(len(c))], pa.binary()).take(pa.array(row))
+                    yield pa.record_batch([pa.array(bucket_keys(c, x.shape[1]).ravel()), b.column("rep").take(take), b.column("mult").take(take), raw, b.column("v").take(take)], names=["bucket", "id", "mult", "codes", "v"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], []]
@@ -164,17 +155,15 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec
                 x.clear()
             return pa.record_batch([pa.array(x) for x in out], names=["a", "b", "n"])
 
-        for t in runs(batches, ["key"]):
+        for t in runs(batches, ["bucket", "tile"]):
             if t.num_rows < 2:
                 continue
-            key = t.column("key")[0].as_py()
-            every, codes_of = t.column("id").to_numpy(), np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int32).reshape(-1, tables)
-            low, high = (key >> _SIDE) & _MOST, key & _MOST
-            # lengths that agree in their last 12 bits share keys, no links
+            bucket, tile = t.column("bucket")[0].as_py(), t.column("tile")[0].as_py()
+            every, side, codes_of = t.column("id").to_numpy(), t.column("side").to_numpy(), np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int32).reshape(-1, tables)
+            # lengths that agree in their last 12 bits share buckets, no links
             for at, v in matrix(t.column("v")):
-                ids, mult = every[at], t.column("mult").to_numpy()[at]
-                left = spread(ids) % parts.value.get(key >> 2 * _SIDE, 1) == low if low != high else None
-                (some, n), (a, b) = compare(key, ids, mult, codes_of[at], v, left, least)
+                left = side[at] == 0 if tile >> 24 != tile & 0xFFFFFF else None
+                (some, n), (a, b) = compare(bucket, every[at], t.column("mult").to_numpy()[at], codes_of[at], v, left, least)
                 held[0] += [some, a]
                 held[1] += [np.full(len(some), -1), b]
                 held[2] += [n, np.zeros(len(a), np.int64)]
@@ -184,13 +173,23 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec
             yield ready()
 
     kind = df.schema[vec_col].dataType.simpleString()
-    dealt = classes.select("rep", "mult", "v").mapInArrow(deal, f"key long, id long, mult long, codes binary, v {kind}")
-    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    # an overfull bucket is split by a hash of the class, and its parts meet each other
+    wide = classes.select("v").mapInArrow(buckets, "bucket long").groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("_n")).where(F.col("_n") > TILE)
+    wide = scratch.save(wide, "wide")
+    wide = F.broadcast(wide) if wide.count() <= TOLD else wide
+    dealt = classes.select("rep", "mult", "v").mapInArrow(deal, f"bucket long, id long, mult long, codes binary, v {kind}").join(wide, F.col("bucket") == F.col("_b"), "left")
+    dealt = dealt.withColumn("_k", F.coalesce(F.ceil(F.col("_n") / TILE), F.lit(1)).cast("long")).withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_k")))
+    dealt = dealt.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
+    low = F.least("_s", "_t")
+    dealt = dealt.select("bucket", F.shiftleft(low, 24).bitwiseOR(F.greatest("_s", "_t")).alias("tile"), (F.col("_s") != low).cast("int").alias("side"), "id", "mult", "codes", "v")
+    dealt = dealt.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile")
     found = scratch.save(dealt.mapInArrow(link, "a long, b long, n long"), "links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("_c")).agg(F.sum("n").alias("links"))
     roots = components(found.where("n = 0").select("a", "b"), scratch)
-    answer = classes.drop("v").join(counts, F.col("rep") == F.col("_c"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    answer = answer.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("root"))
-    out = rows.drop("v").join(answer, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    # a component goes by the least id of its classes
+    rooted = scratch.save(classes.drop("v").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "h1", "h2", "mult", "least", F.coalesce("root", "rep").alias("root")), "rooted")
+    answer = hang(rooted, rooted.groupBy(F.col("root").alias("node")).agg(F.min("least").alias("m")), "root").join(counts, F.col("rep") == F.col("_c"), "left")
+    answer = answer.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.col("m").alias("root"))
+    out = rows.drop("v").join(answer, F.col("id").isNotNull() & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
     root = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (root == F.col("id")).alias("kept"))

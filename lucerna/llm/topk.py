@@ -32,13 +32,14 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, v = ids[order], values[order].T
         self.by = np.argsort(-(v.astype(np.float64) ** 2).sum(1), kind="stable")
-        self.v = np.ascontiguousarray(v[self.by])
+        self.top = float(np.abs(v).max()) if v.size else 0.0
+        # doubles hold integers up to 2^53
+        self.v = np.ascontiguousarray(v[self.by], np.float64 if self.top < 2**53 else np.int64)
         self.cuts = list(range(0, len(v), STEP)) + [len(v)]
         mass = np.zeros((len(self.cuts), len(ids)))
         for i in range(len(self.cuts) - 2, -1, -1):
             mass[i] = mass[i + 1] + (self.v[self.cuts[i] : self.cuts[i + 1]].astype(np.float64) ** 2).sum(0)
         self.rest = np.sqrt(mass)
-        self.top = float(np.abs(self.v).max()) if self.v.size else 0.0
 
     def best(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best candidates other than the query's own row; ties to the lesser id."""
@@ -50,7 +51,7 @@ class Block:
         for b in range(len(self.cuts) - 1):
             s, e = self.cuts[b], self.cuts[b + 1]
             part = self.v[s:e] if len(alive) == len(self.ids) else self.v[s:e, alive]
-            score = score + q[s:e].astype(kind) @ part.astype(kind)
+            score = score + q[s:e].astype(kind) @ part.astype(kind, copy=False)
             if len(alive) <= k or e == len(q):
                 continue
             slack = left[e] * self.rest[b + 1, alive] * (1 + 1e-9) + 1e-6 * (1 + np.abs(score))
@@ -75,12 +76,12 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
     null id, a null vector, or null or non-finite components take no part;
     vectors meet only vectors of their own length.  Ties go to the lesser id.
     A row that repeats an id is a candidate of its own, but never for its id's
-    query.  With fewer than k candidates all are returned; an empty table gives
+    query; an id that stands for several vectors asks with the least of them.  With fewer than k candidates all are returned; an empty table gives
     no rows.
     """
     rows = df.where(finite(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vec_col)).alias("v"))
     rows = rows.select("id", "v", F.size("v").alias("d"))
-    query = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    query = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.size("v").alias("d"))
     n, m = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
     size = min(CANDIDATES[1], max(CANDIDATES[0], n // 24))
     blocks, groups = max(1, -(-n // size)), max(1, -(-m // QUERIES))

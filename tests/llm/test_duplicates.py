@@ -130,6 +130,13 @@ def test_embedding_equals_brute_force(spark, small_tiles):
     assert embedding.near_duplicates(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_ids_that_stand_for_several_vectors(spark):
+    e = lambda k, x=0.0: [x] + [float(i == k) for i in range(5)]
+    rows = [(1, e(0)), (2, e(0, 0.1)), (2, e(1)), (3, e(1, 0.1)), (4, e(2)), (4, e(2)), (5, e(3)), (None, e(3)), (7, e(4)), (3, e(4, 0.1))]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Scratch(spark, "t")).collect())
+    assert got == sorted([(1, 1, 1), (2, 1, 1), (2, 1, 2), (3, 1, 2), (4, 1, 4), (4, 1, 4), (5, 0, 5), (0, 0, 0), (7, 1, 3), (3, 1, 3)])
+
+
 def test_tables_follow_the_number_of_vectors(spark, monkeypatch):
     assert embedding.layout(0) == embedding.layout(60_000) == (20, 12) and embedding.layout(10**9) == (52, 20)
     for n in (10, 10**5, 10**6, 10**7, 10**10):
@@ -160,6 +167,8 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert len(got) == 25
     few = topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [1.0]), (2, [1.0])], "vec_id long, embedding array<double>"), 5, 50).collect()
     assert [(r["rank"], r["vec_id"]) for r in sorted(few)] == [(1, 1), (2, 2)]
+    twice = topk.top_k(spark.createDataFrame([(0, [3.0, 1.0]), (0, [1.0, 3.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>").repartition(3), 5, 50).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(twice)] == [(1, 1, 3 << 16), (2, 2, 1 << 16)]
 
 
 def _brute_spans(texts, depth):
