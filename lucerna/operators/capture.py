@@ -12,10 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.operators.runs import REACH
+from lucerna.operators.runs import PATIENCE, REACH
 
-#: Seconds that a claim's pattern may take over one page.
-PATIENCE = 2.0
 # What stands between paragraphs.
 _BREAK = re.compile(r"(?:\r?\n)[^\S\r\n]*(?:\r?\n)+")
 _WORD = re.compile(r"[a-z0-9]+")

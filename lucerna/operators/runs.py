@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -14,6 +15,8 @@ from lucerna.operators import grading
 
 #: Characters between the outermost words of a concept that isn't written in one piece.
 REACH = 160
+#: Seconds that a pattern may take over one text.
+PATIENCE = 2.0
 # The statuses of a run that never searched.
 DID_NOT_SEARCH = ("blocked", "error")
 
@@ -125,9 +128,11 @@ def _absent_concept(concepts: pd.Series, corpus: pd.Series) -> pd.Series:
 def _absent_pattern(patterns: pd.Series, corpus: pd.Series) -> pd.Series:
     def fault(p: str, x: str) -> str | None:
         try:
-            return None if re.search(p, x, re.I) else f"grading pattern matches no evidence: {p}"
-        except re.error:
+            return None if regex.search(p, x, regex.I, timeout=PATIENCE) else f"grading pattern matches no evidence: {p}"
+        except regex.error:
             return f"grading pattern is not a valid regular expression: {p}"
+        except TimeoutError:
+            return f"grading pattern takes too long: {p}"
 
     return pd.Series([next((f for p in ps if (f := fault(p, x))), None) for ps, x in zip(patterns, corpus)], dtype=object)
 

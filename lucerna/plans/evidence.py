@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import scoring, texts, urls
 from lucerna.operators import dedup, discovery, extraction, grading, matching, retrieval
 from lucerna.plans.registry import registry
+from lucerna.session import saved
 from lucerna.sources.readers import table
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -262,20 +263,14 @@ def prerank_topk(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     return ranked.select("item_id", "rank", "page_id", F.round("score", 6).alias("score"), scoring.confidence(F.col("score")).alias("confidence"))
 
 
-VERSIONED = (
-    ("q1", "https://a.example/spec/2025-03-26/tools"), ("q1", "https://a.example/spec/2025-11-25/tools"), ("q1", "https://b.example/spec/2024-01-01/"), ("q1", "https://a.example/about"),
-    ("q2", "https://a.example/spec/2025-03-26/tools"), ("q2", "https://c.example/spec/2026-07-28"), ("q2", "https://c.example/spec/2026-07-28/server"),
-)
-_VERSIONED = ", ".join(f"('{a}', '{b}')" for a, b in VERSIONED)
-
-
 @query("version_preference", rf"""
-    WITH v(question, url) AS (VALUES {_VERSIONED}), x AS (SELECT question, url, {_HOST} AS host, nullif(regexp_extract(url, '/((?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}})(?:/|$)', 1), '') AS dated FROM v)
+    WITH v AS (SELECT page_id % 3 AS question, {_PLACED} AS url, page_id // 5 AS host FROM pages), x AS (SELECT *, nullif(regexp_extract(url, '/((?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}})(?:/|$)', 1), '') AS dated FROM v)
     SELECT question, url, CASE WHEN dated IS NOT NULL AND dated = max(dated) OVER (PARTITION BY question, host) THEN 0.25 ELSE 0.0 END AS bonus FROM x""")
 def version_preference(spark: SparkSession, d: str) -> DataFrame:
-    v = spark.createDataFrame(list(VERSIONED), "question string, url string").withColumn("dated", urls.dated_version(F.col("url")))
-    newest = F.max("dated").over(Window.partitionBy("question", urls.host(F.col("url"))))
-    return v.select("question", "url", F.when(F.col("dated") == newest, 0.25).otherwise(0.0).alias("bonus"))
+    """What the newest dated pages of each host gain, among those that one question found."""
+    v = _candidates(spark, d).select((F.col("page_id") % 3).alias("question"), "url").withColumn("dated", urls.dated_version(F.col("url"))).withColumn("host", urls.host(F.col("url")))
+    newest = v.groupBy("question", "host").agg(F.max("dated").alias("newest"))
+    return v.join(newest, ["question", "host"]).select("question", "url", F.when(F.col("dated") == F.col("newest"), 0.25).otherwise(0.0).alias("bonus"))
 
 
 _QUALITY = """least(1.0, greatest(0.0, 0.45 * (CASE WHEN length(trim(text)) >= 800 THEN 1 WHEN length(trim(text)) >= 200 THEN 0.6 ELSE 0.25 END)
@@ -384,7 +379,7 @@ def minhash_neardup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("near_dup_representatives")
 def near_dup_representatives(spark: SparkSession, d: str) -> DataFrame:
-    s = _signatures(spark, d)
+    s = saved(_signatures(spark, d), "signatures")
     classes = s.groupBy("source", "signature").agg(F.min("doc_id").alias("rep"))
     member = s.join(classes, ["source", "signature"]).select("doc_id", "rep")
     reps = dedup.representatives(classes.select("rep"), dedup.near_pairs(s, "source", "doc_id", 0.9), "rep")

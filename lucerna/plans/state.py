@@ -212,21 +212,27 @@ def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "champion_mean", "good")], "failures", "promoted")
 
 
+#: Robots files of the hosts, one after the other, and the rules in them that hold for the agent: place, whether it allows, path.
 ROBOTS = (
-    ("a.example", "User-agent: *\nDisallow: /private\nAllow: /private/open\n\nUser-agent: other\nDisallow: /"), ("b.example", "# all\nUser-agent: Lucerna\nDisallow: /\nAllow: /x"),
-    ("c.example", "User-agent: other\nDisallow: /"), ("d.example", ""),
+    ("User-agent: *\nDisallow: /private\nAllow: /private/open\n\nUser-agent: other\nDisallow: /", ((2, False, "/private"), (3, True, "/private/open"))), ("# all\nUser-agent: Lucerna\nDisallow: /\nAllow: /x", ((3, False, "/"), (4, True, "/x"))),
+    ("User-agent: other\nDisallow: /", ()), ("", ()), ("User-agent: lucerna # us\nDisallow: /private/\nDisallow: /z\nAllow: /z", ((2, False, "/private/"), (3, False, "/z"), (4, True, "/z"))),
 )
-PATHS = ("/", "/private", "/private/open/1", "/x/y", "/z")
-_RULES = ", ".join(f"('{h}', {p}, {str(a).lower()}, '{r}')" for h, p, a, r in (("a.example", 2, False, "/private"), ("a.example", 3, True, "/private/open"), ("b.example", 3, False, "/"), ("b.example", 4, True, "/x")))
+_PLACES = ("/", "/private", "/private/open/", "/x/y", "/z", "/private/")
+_RULES = ", ".join(f"({k}, {p}, {str(a).lower()}, '{r}')" for k, (_, rules) in enumerate(ROBOTS) for p, a, r in rules)
 
 
 @query("robots_permits", f"""
-    WITH r(host, pos, allow, rule) AS (VALUES {_RULES}), h(host) AS (VALUES {", ".join(f"('{h}')" for h, _ in ROBOTS)}), p(path) AS (VALUES {", ".join(f"('{p}')" for p in PATHS)})
-    SELECT h.host, p.path, coalesce((SELECT r.allow FROM r WHERE r.host = h.host AND starts_with(p.path, r.rule) ORDER BY length(r.rule) DESC, r.pos DESC LIMIT 1), true) AS allowed FROM h, p""")
+    WITH r(kind, pos, allow, rule) AS (VALUES {_RULES}), p AS (SELECT page_id, 's' || page_id // 6 || '.example' AS host, page_id // 6 % {len(ROBOTS)} AS kind, ([{", ".join(f"'{p}'" for p in _PLACES)}])[page_id % 6 + 1] || page_id AS path FROM pages),
+    h AS (SELECT p.host, p.path, arg_max(r.allow, struct_pack(n := length(r.rule), pos := r.pos)) AS allow FROM p JOIN r ON r.kind = p.kind AND starts_with(p.path, r.rule) GROUP BY p.host, p.path)
+    SELECT p.host, p.path, coalesce(h.allow, true) AS allowed FROM p LEFT JOIN h ON h.host = p.host AND h.path = p.path""")
 def robots_permits(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame(list(ROBOTS), "host string, body string")
-    paths = spark.createDataFrame([(h, p) for h, _ in ROBOTS for p in PATHS], "host string, path string")
-    return extraction.robots_permits(rules, paths, "lucerna")
+    """Pages as paths of hosts, six each, under five kinds of robots files."""
+    i = F.col("page_id")
+    host, kind = F.concat(F.lit("s"), F.floor(i / 6).cast("string"), F.lit(".example")), F.floor(i / 6) % len(ROBOTS)
+    path = F.concat(F.element_at(F.array(*map(F.lit, _PLACES)), (i % 6 + 1).cast("int")), i.cast("string"))
+    body = F.element_at(F.array(*[F.lit(b) for b, _ in ROBOTS]), (kind + 1).cast("int"))
+    p = table(spark, d, "pages").select(host.alias("host"), path.alias("path"), body.alias("body"))
+    return extraction.robots_permits(p.select("host", "body").distinct(), p.select("host", "path"), "lucerna")
 
 
 @query("error_rate_windows", """

@@ -55,10 +55,27 @@ ADDRESSES = (
 _ADDRESSES = "(VALUES " + ", ".join(f"('{a}', {str(b).lower()}, {i})" for i, (a, b) in enumerate(ADDRESSES)) + ") AS a(address, bad, i)"
 
 
-@query("forbidden_addresses", f"SELECT event_id, address, bad AS forbidden FROM events JOIN {_ADDRESSES} ON event_id % {len(ADDRESSES)} = i")
+# Addresses of the rows' own numbers, written as dotted, mapped in both forms, or as plain IPv6; SQL goes by the numbers.
+_OCTETS = "CAST(event_id * 7919 % 256 AS INTEGER) AS a, CAST(event_id * 104729 // 8 % 256 AS INTEGER) AS b, CAST(event_id % 251 AS INTEGER) AS c, CAST(event_id * 31 % 253 AS INTEGER) AS d"
+_BAD_V4 = "a IN (0, 10, 127) OR a >= 224 OR a = 100 AND b BETWEEN 64 AND 127 OR a = 169 AND b = 254 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b IN (0, 168) OR a = 198 AND b IN (18, 19, 51) OR a = 203 AND b = 0"
+
+
+@query("forbidden_addresses", f"""
+    WITH e AS (SELECT event_id, {_OCTETS} FROM events), w AS (SELECT *, printf('%04x', a * 256 + b) AS x, printf('%x', c * 256 + d) AS y FROM e),
+    f AS (SELECT *, event_id % 4 AS m FROM w)
+    SELECT event_id, CASE m WHEN 0 THEN a || '.' || b || '.' || c || '.' || d WHEN 1 THEN '::ffff:' || a || '.' || b || '.' || c || '.' || d WHEN 2 THEN '::FFFF:' || printf('%x', a * 256 + b) || ':' || y ELSE x || '::' || y END AS address,
+        CASE WHEN m < 3 THEN {_BAD_V4} ELSE a * 256 + b BETWEEN 65152 AND 65152 OR a >= 252 END AS forbidden FROM f
+    UNION ALL SELECT -1 - i, address, bad FROM {_ADDRESSES}""")
 def forbidden_addresses(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", chosen(F.col("event_id"), tuple(a for a, _ in ADDRESSES)).alias("address"))
-    return e.select("event_id", "address", urls.forbidden_address(F.col("address")).alias("forbidden"))
+    """Addresses counted from the table's rows, and one of each special kind."""
+    i = F.col("event_id")
+    octets = [(i * 7919 % 256), F.floor(i * 104729 / 8) % 256, i % 251, i * 31 % 253]
+    a, b, c, e = (o.cast("int") for o in octets)
+    dotted, low = F.concat_ws(".", *(o.cast("string") for o in (a, b, c, e))), F.lower(F.hex(c * 256 + e))
+    address = F.when(i % 4 == 0, dotted).when(i % 4 == 1, F.concat(F.lit("::ffff:"), dotted)).when(i % 4 == 2, F.concat(F.lit("::FFFF:"), F.lower(F.hex(a * 256 + b)), F.lit(":"), low)).otherwise(F.concat(F.lpad(F.lower(F.hex(a * 256 + b)), 4, "0"), F.lit("::"), low))
+    rows = table(spark, d, "events").select("event_id", address.alias("address"))
+    special = spark.createDataFrame([(-1 - k, x) for k, (x, _) in enumerate(ADDRESSES)], "event_id long, address string")
+    return rows.unionByName(special).select("event_id", "address", urls.forbidden_address(F.col("address")).alias("forbidden"))
 
 
 @query("dns_rebinding", f"""
