@@ -66,7 +66,10 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
     return sinks.log_lines(e).agg(F.sum(F.length("value")).alias("n_chars"), F.count("*").alias("n"), F.countDistinct("value").alias("n_distinct"))
 
 
-@query("answer_text")
+_ANSWER = "'# https://h.example/' || doc_id || chr(10) || chr(10) || 'https://h.example/' || doc_id || chr(10) || chr(10) || text || chr(10) || chr(10) || '````txt' || chr(10) || 'a ``` b' || chr(10) || '````'"
+
+
+@query("answer_text", f"SELECT doc_id AS answer, CAST(length({_ANSWER}) AS INTEGER) AS n_chars, sha256({_ANSWER}) AS body_sha256 FROM documents")
 def answer_text(spark: SparkSession, d: str) -> DataFrame:
     """One answer per document, of any length: groups stay small."""
     r = table(spark, d, "documents").select(
@@ -76,7 +79,8 @@ def answer_text(spark: SparkSession, d: str) -> DataFrame:
     return sinks.render(r, "answer").select("answer", F.length("body").alias("n_chars"), F.sha2("body", 256).alias("body_sha256"))
 
 
-@query("sanitised_props")
+@query("sanitised_props", """
+    SELECT event_id, '{"deep": [{"path": "[path]"}], "props": {"k": ' || (props->>'$.k') || '}, "token": "[redacted]"}' AS clean, true AS valid FROM events""")
 def sanitised_props(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.concat(F.lit('{"token": "x", "deep": [{"path": "/home/u/f"}], "props": '), "props", F.lit("}")).alias("v"))
     return contracts.sanitised_json(e, "event_id", "v")

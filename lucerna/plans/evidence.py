@@ -321,7 +321,8 @@ def passages_best(spark: SparkSession, d: str) -> DataFrame:
     return extraction.best_passages(extraction.blocks(table(spark, d, "documents"), "doc_id", "text"), "doc_id").drop("text")
 
 
-@query("code_blocks")
+@query("code_blocks", """
+    SELECT doc_id, 0 AS pos, 'sql' AS language, sha256(replace(text, '```', '')) AS content_hash FROM documents WHERE NOT contains(text, '```')""")
 def code_blocks(spark: SparkSession, d: str) -> DataFrame:
     fenced = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# Part\n\n```sql\n"), F.regexp_replace("text", "```", ""), F.lit("\n```\n"), F.col("text")).alias("text"))
     return extraction.code_blocks(extraction.blocks(fenced, "doc_id", "text"), "doc_id").select("doc_id", "pos", "language", "content_hash")

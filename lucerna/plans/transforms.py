@@ -301,3 +301,40 @@ def document_texts(spark: SparkSession, d: str) -> DataFrame:
     mime, url = chosen(i, ("text/html", "text/plain", "application/json", "application/json", "text/xml", "text/plain")), F.when(m == 1, "https://raw.githubusercontent.com/a/b/x.py").otherwise("https://a.example/x.json")
     said = texts.document_text(mime, url, body, F.when(m == 5, F.col("t")), F.lit(None).cast("string"))
     return t.select("doc_id", F.sha2(said, 256).alias("said"))
+
+
+# Result pages of sixteen links each, the same in both languages: plain links, redirects, the engine's own pages, log-ins,
+# advertisements, private addresses, links without a text, repeats.
+_LINKED = """SELECT page_id // 16 AS serp_id, page_id % 16 AS pos, page_id AS n, page_id % 8 AS m, CASE page_id % 3 WHEN 0 THEN 'Top stories ' WHEN 1 THEN 'A video ' ELSE 'Result ' END || page_id AS title FROM pages"""
+_STATES = ("plain", "No results found", "Our systems have detected unusual traffic", "An anomaly occurred", "")
+
+
+def _result_pages(spark: SparkSession, d: str) -> DataFrame:
+    i, m = F.col("page_id"), F.col("page_id") % 8
+    at = lambda before, n: F.concat(F.lit(before), n.cast("string"))
+    url = (
+        F.when(m == 0, at("https://r.example/", i)).when(m == 1, F.concat(at("https://www.google.com/url?q=https%3A%2F%2Fd.example%2F", i), F.lit("&sa=U"))).when(m == 2, at("https://accounts.google.com/", i)).when(m == 3, at("https://x.example/login/", i))
+        .when(m == 4, at("https://s.example/", i)).when(m == 5, at("http://10.0.0.1/", i)).when(m == 6, at("https://b.example/", i)).otherwise(at("https://d.example/", i - 6))
+    )
+    said = F.concat(F.when(i % 3 == 0, "Top stories  ").when(i % 3 == 1, " A video ").otherwise("Result "), i.cast("string"))
+    link = F.struct(url.alias("url"), F.when(m == 4, F.concat(said, F.lit(" Sponsored"))).when(m == 6, "  ").otherwise(said).alias("text"))
+    serp = F.floor(i / 16)
+    links = table(spark, d, "pages").groupBy(serp.alias("serp_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("page_id", link.alias("l")))), lambda x: x["l"]).alias("links"))
+    return links.select("serp_id", chosen(F.col("serp_id"), _STATES).alias("text"), F.when(F.col("serp_id") % 5 < 1, F.col("links")).otherwise(F.slice("links", 1, 0)).alias("few"), "links")
+
+
+@query("serp_admission", f"""
+    WITH l AS ({_LINKED}), a AS (SELECT serp_id, pos, CASE m WHEN 0 THEN 'https://r.example/' || n WHEN 1 THEN 'https://d.example/' || n WHEN 7 THEN 'https://d.example/' || (n - 6) END AS url, title, n FROM l WHERE m IN (0, 1, 7)),
+    u AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY serp_id, url ORDER BY pos) = 1)
+    SELECT serp_id, pos, url, CASE n % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'video' ELSE 'organic' END AS source_type, title FROM u""")
+def serp_admission(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.candidates(_result_pages(spark, d), "google").select("serp_id", F.col("pos").cast("long").alias("pos"), "url", "source_type", "title")
+
+
+@query("serp_outcomes", """
+    WITH s AS (SELECT DISTINCT page_id // 16 AS serp_id, page_id // 16 % 5 AS k FROM pages)
+    SELECT serp_id, CASE k WHEN 2 THEN 'blocked' WHEN 3 THEN 'blocked' WHEN 0 THEN 'parsed' WHEN 1 THEN 'empty' ELSE 'parse_failure' END AS status, CASE k WHEN 2 THEN 'captcha' WHEN 3 THEN 'waf' WHEN 4 THEN 'unrecognized_serp_markup' END AS reason FROM s""")
+def serp_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with links are parsed; without any they say that there are none, refuse, or can't be read."""
+    pages = _result_pages(spark, d).select("serp_id", "text", F.col("few").alias("links"))
+    return discovery.serp_status(pages, "duckduckgo").select("serp_id", "status", "reason")
