@@ -10,7 +10,8 @@ their number; a question lies in one pass.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,55 @@ def folded(text: str | None) -> str:
     return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
+@dataclass(frozen=True)
+class Best:
+    """Keeps, in each task, the k best texts of each question instead of every text that shares a unit with it.
+
+    ``prior`` is a column of the texts, numbers for each kind of question one after
+    the other; ``kind`` a column of the questions; ``tie`` a column of the texts.
+    ``score`` takes the shares of a question's units in a text and in its best line
+    and the prior's numbers of its kind (a row each); higher is better, ties go to
+    the lesser ``tie``.  What is kept may be scored anew: near the k-th best all stay.
+    """
+
+    k: int
+    prior: str
+    kind: str
+    tie: str
+    score: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+#: Kinds of questions that a prior tells apart.
+KINDS = 20
+#: Scores that close are equal to the scan.
+_CLOSE = 1e-8
+
+
+class _Kept:
+    """The best of each question so far."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least, self.held = k, np.full(n, -np.inf), [[] for _ in range(n)]
+
+    def add(self, asked: np.ndarray, scores: np.ndarray, rows: Callable[[int], tuple]) -> None:
+        for i in np.flatnonzero(scores >= self.least[asked] - _CLOSE).tolist():
+            own = self.held[asked[i]]
+            own.append((-float(scores[i]), *rows(i)))
+            if len(own) >= 4 * self.k + 8:
+                self.cut(int(asked[i]))
+
+    def cut(self, q: int) -> list:
+        own = sorted(self.held[q], key=lambda r: r[:2])
+        if len(own) > self.k:
+            last = own[self.k - 1]
+            # of scores that are close, those that tie better or equally well may still win
+            self.held[q] = own = own[: self.k] + [r for r in own[self.k :] if r[0] <= last[0] + _CLOSE and (r[0] < last[0] - 1e-12 or abs(r[0] - last[0]) > 1e-12)]
+            self.least[q] = -last[0]
+        else:
+            self.held[q] = own
+        return own
+
+
 class Units:
     """An automaton over the units of some questions, built where it is used."""
 
@@ -90,15 +140,16 @@ class Units:
         return asked, whole, best
 
 
-def matched_units(questions: DataFrame, key: str, texts: DataFrame, corpus: str, keep: list[str], least: float = 0.0) -> DataFrame:
+def matched_units(questions: DataFrame, key: str, texts: DataFrame, corpus: str, keep: list[str], least: float = 0.0, best: Best | None = None) -> DataFrame:
     """(key, n_units, ``keep`` columns, n_hits, n_best) of every pair that shares a unit, and at least that share of them.
 
     ``questions`` has ``key`` and ``units`` (folded, without line ends); n_best is
     the hits of the text's best line.  A question without units and an empty text
-    match nothing.
+    match nothing.  With ``best`` those pairs only that may be among a question's
+    best leave a task.
     """
     spark = texts.sparkSession
-    asked = questions.where(F.size("units") > 0).select(key, "units")
+    asked = questions.where(F.size("units") > 0).select(key, "units", *([best.kind] if best else []))
     total = asked.agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
     passes = max(1, -(-total // LIMIT))
     kind = {f.name: f.dataType.simpleString() for f in [*texts.schema, *questions.schema]}
@@ -106,24 +157,49 @@ def matched_units(questions: DataFrame, key: str, texts: DataFrame, corpus: str,
     found, arrow = None, to_arrow_type(questions.schema[key].dataType)
     for p in range(passes):
         own = asked.where(F.pmod(F.xxhash64(key), F.lit(passes)) == p) if passes > 1 else asked
-        held = spark.sparkContext.broadcast(Units([(r[0], r[1]) for r in own.collect()]))
+        rows = own.collect()
+        held = spark.sparkContext.broadcast((Units([(r[0], r[1]) for r in rows]), np.array([r[2] for r in rows] if best else [], np.int64)))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            units = held.value
+            units, kinds = held.value
             sizes = units.ready()[2]
             keys = pa.array([k for k, _ in units.asked]).cast(arrow)
+            if best:
+                yield from chosen(batches, units, kinds, sizes, keys)
+                return
             for b in batches:
                 out = []
                 for text in b.column(b.num_columns - 1).to_pylist():
-                    hit, whole, best = units.count(folded(text))
+                    hit, whole, lined = units.count(folded(text))
                     enough = whole >= least * sizes[hit] - 1e-9
-                    out.append((hit[enough], whole[enough], best[enough]))
+                    out.append((hit[enough], whole[enough], lined[enough]))
                 row = pa.array(np.repeat(np.arange(b.num_rows), [len(x[0]) for x in out]))
-                hit, whole, best = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out) if out else ([], [], [])))
-                columns = [keys.take(pa.array(hit)), pa.array(sizes[hit].astype(np.int32)), *(b.column(i).take(row) for i in range(len(keep))), pa.array(whole), pa.array(best)]
+                hit, whole, lined = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out) if out else ([], [], [])))
+                columns = [keys.take(pa.array(hit)), pa.array(sizes[hit].astype(np.int32)), *(b.column(i).take(row) for i in range(len(keep))), pa.array(whole), pa.array(lined)]
+                yield pa.record_batch(columns, names=[key, "n_units", *keep, "n_hits", "n_best"])
+
+        def chosen(batches, units, kinds, sizes, keys) -> Iterator[pa.RecordBatch]:
+            kept, schemas = _Kept(len(sizes), best.k), None
+            for b in batches:
+                schemas = [b.column(i).type for i in range(len(keep))]
+                values = [b.column(i).to_pylist() for i in range(len(keep))]
+                ties, priors = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()
+                for r, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                    hit, whole, lined = units.count(folded(text))
+                    enough = whole >= least * sizes[hit] - 1e-9
+                    hit, whole, lined = hit[enough], whole[enough], lined[enough]
+                    if len(hit):
+                        prior = np.array(priors[r], np.float64).reshape(-1, max(1, len(priors[r]) // KINDS))[kinds[hit]]
+                        scores = best.score(whole / sizes[hit], lined / sizes[hit], prior)
+                        kept.add(hit, scores, lambda i, r=r, whole=whole, lined=lined: (ties[r], int(whole[i]), int(lined[i]), *(v[r] for v in values)))
+            out = [(q, row) for q in range(len(sizes)) for row in kept.cut(q)]
+            if out:
+                own = np.array([q for q, _ in out])
+                columns = [keys.take(pa.array(own)), pa.array(sizes[own].astype(np.int32)), *(pa.array([row[4 + i] for _, row in out], t) for i, t in enumerate(schemas)), *(pa.array([row[i] for _, row in out], pa.int64()) for i in (2, 3))]
                 yield pa.record_batch(columns, names=[key, "n_units", *keep, "n_hits", "n_best"])
 
-        one = texts.select(*keep, F.col(corpus).alias("_corpus")).mapInArrow(run, schema)
+        extra = [F.col(best.tie).alias("_tie"), F.col(best.prior).alias("_prior")] if best else []
+        one = texts.select(*keep, *extra, F.col(corpus).alias("_corpus")).mapInArrow(run, schema)
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -223,6 +224,30 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", "url", F.concat("title", F.lit(" "), "url").alias("corpus"), "pos", "kind", "novel", "documents", F.coalesce(F.col("dated") == F.col("_d"), F.lit(False)).alias("newest"))
 
 
+# A question's kind: its profile, and two of its flags; what is known of a page is worked out once for each.
+_PROFILES = ("general", *scoring.EXPECTED)
+
+
+def _question_kind() -> F.Column:
+    at = F.array_position(F.array(*map(F.lit, _PROFILES)), F.col("profile")).cast("int") - 1
+    return at * 4 + F.col("temporal").cast("int") * 2 + F.col("asks").cast("int")
+
+
+def _for_each_kind(*of) -> F.Column:
+    """Columns (functions of profile, temporal, asks) as one array, kind by kind."""
+    return F.array(*[f(F.lit(p), F.lit(t), F.lit(a)).cast("double") for p in _PROFILES for t in (False, True) for a in (False, True) for f in of])
+
+
+def _prescored(cov: np.ndarray, _: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    return np.clip(0.45 * cov + prior[:, 0], 0, 1) + prior[:, 1]
+
+
+def _postscored(concept: np.ndarray, passage: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    base = 0.35 * passage + 0.2 * concept + prior[:, 0]
+    special = np.clip(0.7 * base + 0.3 * prior[:, 1], 0, 1)
+    return np.clip(np.where(prior[:, 2] > 0, base, 0.7 * base + 0.3 * special), 0, 1)
+
+
 def _prescore(cov) -> F.Column:
     bonus = F.when(F.col("asks") & F.col("documents"), 0.15).otherwise(0.0)
     known = scoring.prerank(cov, scoring.position(F.col("pos")), scoring.type_score(F.col("kind"), F.col("profile")), scoring.novelty(F.col("novel")), bonus)
@@ -248,7 +273,10 @@ def prerank_topk(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     asked, pages = _questions(spark, d), _candidates(spark, d)
     after = asked.select("item_id", "profile", "temporal", "asks")
     keep = [c for c in pages.columns if c != "corpus"]
-    hits = matching.matched_units(asked, "item_id", pages, "corpus", keep).join(after, "item_id")
+    bonus = lambda p, t, a: 0.25 * scoring.position(F.col("pos")) + 0.2 * scoring.type_score(F.col("kind"), p) + 0.1 * scoring.novelty(F.col("novel")) + F.when(a & F.col("documents"), 0.15).otherwise(0.0)
+    newer = lambda p, t, a: F.when(t & F.col("newest"), 0.25).otherwise(0.0)
+    known = pages.withColumn("prior", _for_each_kind(bonus, newer)).withColumn("tie", F.concat("url", F.lit(" "), F.lpad(F.col("page_id").cast("string"), 20, "0")))
+    hits = matching.matched_units(asked.withColumn("kind_no", _question_kind()), "item_id", known, "corpus", keep, best=matching.Best(k, "prior", "kind_no", "tie", _prescored)).join(after, "item_id")
     hits = hits.withColumn("score", _prescore(F.col("n_hits") / F.col("n_units")))
     names, flag = ["general", *scoring.EXPECTED], F.array(F.lit(False), F.lit(True))
     known = pages.select(*keep, F.explode(F.array(*map(F.lit, names))).alias("profile")).select("*", F.explode(flag).alias("temporal")).select("*", F.explode(flag).alias("asks"))
@@ -296,7 +324,12 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 def postrank_topk(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     """The best rendered pages of each question: the best line as passage, whole texts as concept."""
     asked, pages = _questions(spark, d), _pages(spark, d)
-    hits = matching.matched_units(asked, "item_id", pages, "text", ["doc_id", "kind", "pos", "quality", "published"]).join(asked.select("item_id", "profile", "temporal"), "item_id")
+    observed = F.to_timestamp(F.lit(_OBSERVED))
+    rest = lambda p, t, a: 0.15 * scoring.type_score(F.col("kind"), F.lit("general")) + 0.15 * scoring.position(F.col("pos")) + 0.1 * F.col("quality") + 0.05 * scoring.freshness(F.col("published"), t, observed)
+    own = lambda p, t, a: scoring.type_score(F.col("kind"), p)
+    known = pages.withColumn("prior", _for_each_kind(rest, own, lambda p, t, a: p == "general")).withColumn("tie", F.col("doc_id"))
+    best = matching.Best(k, "prior", "kind_no", "tie", _postscored)
+    hits = matching.matched_units(asked.withColumn("kind_no", _question_kind()), "item_id", known, "text", ["doc_id", "kind", "pos", "quality", "published"], best=best).join(asked.select("item_id", "profile", "temporal"), "item_id")
     n, general = F.col("n_units"), scoring.type_score(F.col("kind"), F.lit("general"))
     fresh = scoring.freshness(F.col("published"), F.col("temporal"), F.to_timestamp(F.lit(_OBSERVED)))
     score = scoring.postrank(F.col("n_best") / n, F.col("n_hits") / n, general, scoring.type_score(F.col("kind"), F.col("profile")), scoring.position(F.col("pos")), F.col("quality"), fresh, F.col("profile"))

@@ -239,3 +239,31 @@ def test_concepts_are_grounded_nearby():
         assert runs.near(text, words, 60) == want
     assert runs.concept_grounded("Generic_Build", "the generic -- build") and not runs.concept_grounded("!", "x")
     assert runs.concept_grounded("doc tf", "tf " + "y" * 150 + " doc") and not runs.concept_grounded("doc tf", "tf " + "y" * 170 + " doc")
+
+
+def _half(cov, line, prior):
+    return 0.5 * cov + 0.3 * line + prior[:, 0]
+
+
+def test_the_best_of_each_question_leave_the_scan(spark):
+    rng = random.Random(13)
+    words = [f"u{i}" for i in range(12)]
+    texts = [(i, "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 5))), f"t{rng.randrange(60):03d}", [round(rng.random() * 0.2, 1) if k % 20 < 10 else 0.0 for k in range(20)]) for i in range(400)]
+    asked = [(q, rng.sample(words, rng.randint(1, 4)), rng.choice([0, 15])) for q in range(15)]
+    t = spark.createDataFrame(texts, "id int, body string, tie string, prior array<double>").repartition(4)
+    q = spark.createDataFrame(asked, "q int, units array<string>, kind int")
+    every = matching.matched_units(q, "q", t, "body", ["id"]).collect()
+    prior, kind, tie = {i: p for i, _, _, p in texts}, {n: k for n, _, k in asked}, {i: x for i, _, x, _ in texts}
+    want: dict = {}
+    for r in every:
+        score = 0.5 * r["n_hits"] / r["n_units"] + 0.3 * r["n_best"] / r["n_units"] + prior[r["id"]][kind[r["q"]]]
+        want.setdefault(r["q"], []).append((-round(score, 9), tie[r["id"]], r["id"], r["n_hits"], r["n_best"]))
+    kept = matching.matched_units(q, "q", t, "body", ["id"], best=matching.Best(3, "prior", "kind", "tie", _half)).collect()
+    got: dict = {}
+    for r in kept:
+        got.setdefault(r["q"], {})[r["id"]] = (r["n_hits"], r["n_best"])
+    for n, rows in want.items():
+        lead = sorted(rows)[:3]
+        # what ties in all stands for each other
+        assert len(got[n]) >= min(3, len(rows)) and all(got[n].get(i) == (h, b) or sum(r[:2] == (s, x) for r in rows) > 1 for s, x, i, h, b in lead)
+    assert len(kept) < len(every) / 3
