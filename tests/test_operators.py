@@ -241,10 +241,6 @@ def test_concepts_are_grounded_nearby():
     assert runs.concept_grounded("doc tf", "tf " + "y" * 150 + " doc") and not runs.concept_grounded("doc tf", "tf " + "y" * 170 + " doc")
 
 
-def _half(cov, line, prior):
-    return 0.5 * cov + 0.3 * line + prior[:, 0]
-
-
 def test_the_best_of_each_question_leave_the_scan(spark):
     rng = random.Random(13)
     words = [f"u{i}" for i in range(12)]
@@ -258,7 +254,7 @@ def test_the_best_of_each_question_leave_the_scan(spark):
     for r in every:
         score = 0.5 * r["n_hits"] / r["n_units"] + 0.3 * r["n_best"] / r["n_units"] + prior[r["id"]][kind[r["q"]]]
         want.setdefault(r["q"], []).append((-round(score, 9), tie[r["id"]], r["id"], r["n_hits"], r["n_best"]))
-    kept = matching.matched_units(q, "q", t, "body", ["id"], best=matching.Best(3, "prior", "kind", "tie", _half)).collect()
+    kept = matching.matched_units(q, "q", t, "body", ["id"], best=matching.Best(3, "prior", "kind", "tie", lambda cov, line, prior: 0.5 * cov + 0.3 * line + prior[:, 0])).collect()
     got: dict = {}
     for r in kept:
         got.setdefault(r["q"], {})[r["id"]] = (r["n_hits"], r["n_best"])
