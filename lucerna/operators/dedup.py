@@ -31,8 +31,8 @@ def jaccard_pairs(df: DataFrame, origin: str, text: str, key: str, least: float)
     """Pairs of an origin's texts whose 3-word shingle sets have that Jaccard similarity, by prefix filtering.
 
     Shingles are ordered by how rare they are; texts that similar must share one
-    of the first n - ceil(least n) + 1, so only those are joined, then verified.
-    Equal texts are one class, met once.
+    of the first n - ceil(least n) + 1, so only those are joined, where sizes and
+    places leave enough to share, then verified.  Equal texts are one class, met once.
     """
     sets = df.groupBy(origin, F.sha2(F.col(text), 256).alias("digest")).agg(F.min(key).alias("id"), F.first(text).alias("text"))
     sets = sets.select(origin, "id", F.transform(texts.shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("s")).where(F.size("s") > 0)
@@ -41,9 +41,12 @@ def jaccard_pairs(df: DataFrame, origin: str, text: str, key: str, least: float)
     ranked = rows.join(counts, [origin, "h"]).groupBy(origin, "id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("r"))
     n = F.size("r")
     ranked = ranked.select(origin, "id", F.transform("r", lambda x: x.h).alias("all"), F.transform(F.slice("r", 1, (n - F.ceil(n * least) + 1).cast("int")), lambda x: x.h).alias("prefix"))
-    probe = ranked.select(origin, "id", F.size("all").alias("n"), F.explode("prefix").alias("h"))
+    ranked = saved(ranked, "ranked")
+    probe = ranked.select(origin, "id", F.size("all").alias("n"), F.posexplode("prefix").alias("pos", "h"))
     a, b = probe.alias("a"), probe.alias("b")
-    near = (F.col("a.n") >= F.col("b.n") * least) & (F.col("b.n") >= F.col("a.n") * least)
+    # what can still be shared from the first shared shingle on has to be enough
+    enough = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= F.ceil((F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
+    near = (F.col("a.n") >= F.col("b.n") * least) & (F.col("b.n") >= F.col("a.n") * least) & enough
     pairs = a.join(b, (F.col(f"a.{origin}") == F.col(f"b.{origin}")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & near)
     pairs = pairs.select(F.col(f"a.{origin}").alias(origin), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
     left = ranked.select(F.col("id").alias("left_id"), F.col("all").alias("x"))
