@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions import texts
-from lucerna.session import saved, shared_dir
+from lucerna.session import dealt, saved, shared_dir
 
 SLOTS = 64
 _MASK = 4294967295
@@ -35,7 +35,8 @@ def jaccard_pairs(df: DataFrame, origin: str, text: str, key: str, least: float)
     places leave enough to share, then verified.  Equal texts are one class, met once.
     """
     sets = df.groupBy(origin, F.sha2(F.col(text), 256).alias("digest")).agg(F.min(key).alias("id"), F.first(text).alias("text"))
-    sets = sets.select(origin, "id", F.transform(texts.shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("s")).where(F.size("s") > 0)
+    sets = sets.select(origin, "id", F.transform(texts.shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("s"))
+    sets = saved(sets, "sets").where(F.size("s") > 0)
     rows = sets.select(origin, "id", F.explode(F.array_distinct("s")).alias("h"))
     counts = rows.groupBy(origin, "h").agg(F.count("*").alias("df"))
     ranked = rows.join(counts, [origin, "h"]).groupBy(origin, "id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("r"))
@@ -106,7 +107,9 @@ def minhash(df: DataFrame, key: str, text: str, seeds: int = SLOTS) -> DataFrame
             found = [signature(s, seeds) for s in b.column("s").to_pylist()]
             yield pa.record_batch([b.column("k"), pa.array(found, pa.list_(pa.int64()))], names=[key, "signature"])
 
-    cut = df.select(F.col(key).alias("k"), texts.shingles(F.col(text)).alias("s")).where(F.size("s") > 0)
+    # texts of fewer words have no shingle: counted first, so that shingles are made once
+    some = dealt(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).where(F.regexp_count(F.lower("t"), F.lit(r"[\p{L}\p{N}]+")) > 2)
+    cut = some.select("k", texts.shingles(F.col("t")).alias("s"))
     return cut.mapInArrow(run, f"`{key}` {kind}, signature array<long>")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions import texts, urls
+from lucerna.session import dealt
 from lucerna.sources.readers import robots_status
 
 PASSAGE, DEFAULT_PASSAGES = 1200, 2
@@ -106,7 +107,7 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
             found = [segment(t or "") for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("key"), pa.array(found, pa.list_(item))], names=["key", "blocks"])
 
-    cut = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, blocks array<struct<text:string,heading:string,heading_path:array<string>,code:string>>")
+    cut = dealt(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, blocks array<struct<text:string,heading:string,heading_path:array<string>,code:string>>")
     return cut.select(F.col("key").alias(key), F.posexplode("blocks").alias("pos", "b")).select(key, "pos", "b.*")
 
 

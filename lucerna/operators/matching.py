@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lucerna.session import dealt
+
 #: Units of questions that one pass searches for, about: the automaton and the counts of a pass stay below some 200 MB.
 LIMIT = 500_000
 
@@ -105,13 +107,14 @@ class Units:
             if places:
                 automaton.make_automaton()
             self._ready = automaton if places else None, [np.array(x) for x in places.values()], np.array([max(1, len(set(u))) for _, u in self.asked])
+            self._best = np.zeros(len(self.asked), np.int64)
         return self._ready
 
     def count(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The questions that the text holds a unit of, how many of its units each finds in the text, and how many in its best line.
 
-        Only what is found is added up: neither the number of questions nor that
-        of lines without a unit costs anything.
+        What is found is added up; lines without a unit cost nothing, and the number
+        of questions little.
         """
         automaton, places, sizes = self.ready()
         none = np.zeros(0, np.int64)
@@ -129,15 +132,26 @@ class Units:
         lines = [x for x in [*lines, found] if x]
         if not lines:
             return none, none, none
-        asked, whole = np.unique(np.concatenate([places[u] for u in set().union(*lines)]), return_counts=True)
+        asked, whole = self._counted(set().union(*lines))
         if len(lines) == 1:
             return asked, whole, whole
-        parts = [(k, places[u]) for k, units in enumerate(lines) for u in units]
-        of_line = np.repeat([k for k, _ in parts], [len(p) for _, p in parts])
-        keys, counts = np.unique(of_line * len(sizes) + np.concatenate([p for _, p in parts]), return_counts=True)
-        best = np.zeros(len(asked), np.int64)
-        np.maximum.at(best, np.searchsorted(asked, keys % len(sizes)), counts)
-        return asked, whole, best
+        best = self._best
+        for units in lines:
+            own, counts = self._counted(units)
+            best[own] = np.maximum(best[own], counts)
+        found = best[asked]
+        best[asked] = 0
+        return asked, whole, found
+
+    def _counted(self, units: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The questions that some units belong to, and how many to each: by counting where they are many, else by sorting them."""
+        _, places, sizes = self._ready
+        every = np.concatenate([places[u] for u in units])
+        if 16 * len(every) < len(sizes):
+            return np.unique(every, return_counts=True)
+        counts = np.bincount(every)
+        own = np.flatnonzero(counts)
+        return own, counts[own]
 
 
 def matched_units(questions: DataFrame, key: str, texts: DataFrame, corpus: str, keep: list[str], least: float = 0.0, best: Best | None = None) -> DataFrame:
@@ -199,7 +213,7 @@ def matched_units(questions: DataFrame, key: str, texts: DataFrame, corpus: str,
                 yield pa.record_batch(columns, names=[key, "n_units", *keep, "n_hits", "n_best"])
 
         extra = [F.col(best.tie).alias("_tie"), F.col(best.prior).alias("_prior")] if best else []
-        one = texts.select(*keep, *extra, F.col(corpus).alias("_corpus")).mapInArrow(run, schema)
+        one = dealt(texts.select(*keep, *extra, F.col(corpus).alias("_corpus"))).mapInArrow(run, schema)
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -232,6 +246,6 @@ def containing(passages: DataFrame, key: str, column: str, texts: DataFrame, cor
                 pairs = [(k, i) for i, some in enumerate(hits) for x in some for k in by[x]]
                 row = pa.array([i for _, i in pairs], pa.int64())
                 yield pa.record_batch([pa.array([k for k, _ in pairs]).cast(arrow), *(b.column(i).take(row) for i in range(len(keep)))], names=[key, *keep])
-        one = texts.select(*keep, F.col(corpus).alias("_corpus")).mapInArrow(run, f"`{key}` {kind[key]}" + "".join(f", `{c}` {kind[c]}" for c in keep))
+        one = dealt(texts.select(*keep, F.col(corpus).alias("_corpus"))).mapInArrow(run, f"`{key}` {kind[key]}" + "".join(f", `{c}` {kind[c]}" for c in keep))
         found = one if found is None else found.unionByName(one)
     return found

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions import texts
-from lucerna.session import saved
+from lucerna.session import dealt, saved
 
 K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, length): one row per distinct term of a document."""
-    terms = docs.select(key, texts.words(F.col(text)).alias("w"))
+    terms = dealt(docs.select(key, text)).select(key, texts.words(F.col(text)).alias("w"))
     terms = terms.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
     return terms.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import scoring, texts, urls
 from lucerna.operators import dedup, discovery, extraction, grading, matching, retrieval
 from lucerna.plans.registry import registry
-from lucerna.session import saved
+from lucerna.session import dealt, saved
 from lucerna.sources.readers import table
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -34,7 +34,7 @@ def url_strip_trackers(spark: SparkSession, d: str) -> DataFrame:
     SELECT page_id, regexp_extract(url, '^[a-z]+') || '://' || {_HOST} || CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END || CASE WHEN k <> '' THEN '?' || k ELSE '' END AS canonical_url
     FROM (SELECT page_id, url, {_PATH} AS p, {_KEPT} AS k FROM pages)""")
 def url_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical_url"))
+    return dealt(table(spark, d, "pages").select("page_id", "url")).select("page_id", urls.canonical(F.col("url")).alias("canonical_url"))
 
 
 @query("url_host_site", rf"""
@@ -92,7 +92,7 @@ def _removed(column: str) -> str:
 
 @query("html_to_text", f"SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS text_sha256 FROM (SELECT page_id, {_removed('html')} AS t FROM pages)")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "pages").select("page_id", texts.html_to_text(F.col("html")).alias("t"))
+    t = dealt(table(spark, d, "pages").select("page_id", "html")).select("page_id", texts.html_to_text(F.col("html")).alias("t"))
     return t.select("page_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
 
 
@@ -106,7 +106,7 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id, kind ORDER BY pos) AS INTEGER) AS rank FROM g)
     SELECT page_id, kind, rank, link AS url FROM r WHERE rank <= CASE kind WHEN 'navigation' THEN 10 ELSE 20 END""")
 def links_classified(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.links(table(spark, d, "pages"), "page_id", "url", "html").drop("title")
+    return extraction.links(dealt(table(spark, d, "pages")), "page_id", "url", "html").drop("title")
 
 
 @query("serp_source_type", rf"""
@@ -217,7 +217,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("page_id")
     dated = F.when(i % 7 == 0, F.concat(F.lit("2025-0"), 1 + i % 9, F.lit("-10/"))).otherwise("")
     url = F.concat(F.lit("https://h"), F.floor(i / 5), F.lit(".example/"), dated, F.when(i % 3 == 0, "docs/").otherwise(""), i)
-    p = table(spark, d, "pages").select("page_id", url.alias("url"), F.coalesce(texts.title_of(F.col("html")), F.lit("")).alias("title"), (1 + i % 10).alias("pos"), _kind(i).alias("kind"), (i % 4 != 0).alias("novel"))
+    p = dealt(table(spark, d, "pages").select("page_id", "html")).select("page_id", url.alias("url"), F.coalesce(texts.title_of(F.col("html")), F.lit("")).alias("title"), (1 + i % 10).alias("pos"), _kind(i).alias("kind"), (i % 4 != 0).alias("novel"))
     p = p.withColumn("host", urls.host(F.col("url"))).withColumn("dated", urls.dated_version(F.col("url"))).withColumn("documents", urls.path(F.col("url")).rlike(texts.DOCUMENTATION_PATH))
     latest = p.where("dated IS NOT NULL").groupBy(F.col("host").alias("_h")).agg(F.max("dated").alias("_d"))
     p = p.join(latest, F.col("host") == F.col("_h"), "left")
@@ -233,9 +233,16 @@ def _question_kind() -> F.Column:
     return at * 4 + F.col("temporal").cast("int") * 2 + F.col("asks").cast("int")
 
 
-def _for_each_kind(*of) -> F.Column:
-    """Columns (functions of profile, temporal, asks) as one array, kind by kind."""
-    return F.array(*[f(F.lit(p), F.lit(t), F.lit(a)).cast("double") for p in _PROFILES for t in (False, True) for a in (False, True) for f in of])
+def _for_each_kind(of) -> F.Column:
+    """What ``of`` makes of the page's score by type under a kind's profile, its two flags and whether it is general: one array, kind by kind."""
+    n = matching.KINDS // len(_PROFILES)
+    flag = lambda k, d: F.floor(k / d) % 2 == 1
+    each = lambda k: F.array(*[x.cast("double") for x in of(F.col("types")[F.floor(k / n).cast("int")], flag(k, 2), flag(k, 1), k < n)])
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(matching.KINDS - 1)), each))
+
+
+def _types(kind) -> F.Column:
+    return F.array(*[scoring.type_score(kind, F.lit(p)) for p in _PROFILES])
 
 
 def _prescored(cov: np.ndarray, _: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -273,9 +280,11 @@ def prerank_topk(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     asked, pages = _questions(spark, d), _candidates(spark, d)
     after = asked.select("item_id", "profile", "temporal", "asks")
     keep = [c for c in pages.columns if c != "corpus"]
-    bonus = lambda p, t, a: 0.25 * scoring.position(F.col("pos")) + 0.2 * scoring.type_score(F.col("kind"), p) + 0.1 * scoring.novelty(F.col("novel")) + F.when(a & F.col("documents"), 0.15).otherwise(0.0)
-    newer = lambda p, t, a: F.when(t & F.col("newest"), 0.25).otherwise(0.0)
-    known = pages.withColumn("prior", _for_each_kind(bonus, newer)).withColumn("tie", F.concat("url", F.lit(" "), F.lpad(F.col("page_id").cast("string"), 20, "0")))
+    def known_of(kind, temporal, asks, _):
+        bonus = F.when(asks & F.col("documents"), 0.15).otherwise(0.0)
+        return 0.25 * scoring.position(F.col("pos")) + 0.2 * kind + 0.1 * scoring.novelty(F.col("novel")) + bonus, F.when(temporal & F.col("newest"), 0.25).otherwise(0.0)
+
+    known = pages.withColumn("types", _types(F.col("kind"))).withColumn("prior", _for_each_kind(known_of)).withColumn("tie", F.concat("url", F.lit(" "), F.lpad(F.col("page_id").cast("string"), 20, "0")))
     hits = matching.matched_units(asked.withColumn("kind_no", _question_kind()), "item_id", known, "corpus", keep, best=matching.Best(k, "prior", "kind_no", "tie", _prescored)).join(after, "item_id")
     hits = hits.withColumn("score", _prescore(F.col("n_hits") / F.col("n_units")))
     names, flag = ["general", *scoring.EXPECTED], F.array(F.lit(False), F.lit(True))
@@ -325,9 +334,12 @@ def postrank_topk(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     """The best rendered pages of each question: the best line as passage, whole texts as concept."""
     asked, pages = _questions(spark, d), _pages(spark, d)
     observed = F.to_timestamp(F.lit(_OBSERVED))
-    rest = lambda p, t, a: 0.15 * scoring.type_score(F.col("kind"), F.lit("general")) + 0.15 * scoring.position(F.col("pos")) + 0.1 * F.col("quality") + 0.05 * scoring.freshness(F.col("published"), t, observed)
-    own = lambda p, t, a: scoring.type_score(F.col("kind"), p)
-    known = pages.withColumn("prior", _for_each_kind(rest, own, lambda p, t, a: p == "general")).withColumn("tie", F.col("doc_id"))
+
+    def known_of(kind, temporal, _, general):
+        fresh = scoring.freshness(F.col("published"), temporal, observed)
+        return 0.15 * F.col("types")[0] + 0.15 * scoring.position(F.col("pos")) + 0.1 * F.col("quality") + 0.05 * fresh, kind, general
+
+    known = pages.withColumn("types", _types(F.col("kind"))).withColumn("prior", _for_each_kind(known_of)).withColumn("tie", F.col("doc_id"))
     best = matching.Best(k, "prior", "kind_no", "tie", _postscored)
     hits = matching.matched_units(asked.withColumn("kind_no", _question_kind()), "item_id", known, "text", ["doc_id", "kind", "pos", "quality", "published"], best=best).join(asked.select("item_id", "profile", "temporal"), "item_id")
     n, general = F.col("n_units"), scoring.type_score(F.col("kind"), F.lit("general"))
@@ -428,8 +440,8 @@ def near_dup_representatives(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s JOIN k USING (item_id) WHERE c = k)
     SELECT item_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    totals = docs.agg(F.count("*"), F.avg(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    totals = dealt(docs).agg(F.count("*"), F.avg(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))))
     terms = table(spark, d, "benchmark").select("item_id", F.explode(retrieval.query_terms(F.col("text"))).alias("term"))
     return retrieval.bm25(terms, retrieval.postings(docs, "doc_id", "text"), totals, "doc_id", "item_id", 10).withColumn("score", F.round("score", 6))
 

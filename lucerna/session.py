@@ -29,6 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
+#: Bytes of a table that a core reads at least before it is worth dealing anew, and those above which files are cut finely enough.
+SMALL, ENOUGH = 1 << 20, 4 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores, if they come from a table too small to be cut by its files.
+
+    A file is read by row groups, and a small one has one: whatever is done to its
+    texts would be one task's work.  By Catalyst's estimate of its size, tables of
+    more than ENOUGH bytes a core are left as they are, so nothing large is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if SMALL <= size <= ENOUGH * cores else df
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The table written to the shared folder and read back: its lineage ends there.  It goes when the driver ends."""
     spark = df.sparkSession
