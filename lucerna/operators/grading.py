@@ -36,24 +36,21 @@ def grade(claims: DataFrame, results: DataFrame) -> DataFrame:
     passages array<struct<url,text>>; ``results``: case_id, pos, url, text, token_count.
     """
     ranks = source_ranks(claims, results).groupBy("case_id", "claim_id").agg(F.min("rank").alias("first"), F.countDistinct("rank").alias("n"), F.countDistinct("host").alias("hosts"))
-    page = results.groupBy("case_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), "\n").alias("all_text"),
-        F.sum(F.coalesce("token_count", texts.lexical_tokens(F.col("text")))).alias("tokens"),
-    )
+    # a case's texts are gathered once and meet its claims there; nothing that carries a text is dealt again
+    row = F.struct("pos", "text", urls.page_identity(F.col("url")).alias("page"))
+    page = results.groupBy("case_id").agg(F.sort_array(F.collect_list(row)).alias("_rows"), F.sum(F.coalesce("token_count", texts.lexical_tokens(F.col("text")))).alias("tokens"))
     pattern = lambda p: F.replace(F.replace(p, F.lit("\\`"), F.lit("`")), F.lit("`"), F.lit("`?"))
     # flattened once for each case, not for each of its claims
-    page = page.select("case_id", "tokens", texts.flattened(F.col("all_text")).alias("_said"))
+    page = page.select("case_id", "tokens", texts.flattened(F.array_join(F.transform("_rows", lambda x: x.text), "\n")).alias("_said"), F.transform("_rows", lambda x: F.struct(x.page.alias("page"), texts.flattened(x.text).alias("have"))).alias("_pages"))
     said = F.coalesce("_said", F.lit(""))
     concept = lambda c: F.regexp_like(said, F.concat(F.lit("(?<![a-z0-9])"), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "[^\\\\p{L}\\\\p{N}]+"), F.lit("(?![a-z0-9])")))
-    c = claims.join(page, "case_id", "left").join(ranks, ["case_id", "claim_id"], "left")
-    c = c.withColumn("evident", F.forall("concepts", concept) & F.exists("patterns", lambda p: F.regexp_like(said, F.concat(F.lit("(?iu)"), pattern(p)))))
-    expected = claims.select("case_id", "claim_id", F.posexplode("passages").alias("k", "p")).select("case_id", "claim_id", "k", urls.page_identity(F.col("p.url")).alias("page"), texts.flattened(F.col("p.text")).alias("want"))
-    have = results.select("case_id", urls.page_identity(F.col("url")).alias("page"), texts.flattened(F.col("text")).alias("have"))
-    got = expected.join(have, ["case_id", "page"], "left").groupBy("case_id", "claim_id", "k").agg(F.max(F.coalesce(F.contains("have", F.col("want")), F.lit(False))).alias("hit"))
-    got = got.groupBy("case_id", "claim_id").agg(F.min("hit").alias("extracted"))
-    c = c.join(got, ["case_id", "claim_id"], "left")
+    evident = F.forall("concepts", concept) & F.exists("patterns", lambda p: F.regexp_like(said, F.concat(F.lit("(?iu)"), pattern(p))))
+    wanted = F.transform("passages", lambda p: F.struct(urls.page_identity(p.url).alias("page"), texts.flattened(p.text).alias("want")))
+    hit = lambda p: F.coalesce(F.exists("_pages", lambda x: (x.page == p.page) & F.contains(x.have, p.want)), F.lit(False))
+    c = claims.select("case_id", "claim_id", "weight", "patterns", "concepts", (F.size("passages") > 0).alias("expects"), wanted.alias("_wanted")).join(page, "case_id", "left")
+    c = c.select("case_id", "claim_id", "weight", "tokens", "expects", evident.alias("evident"), F.when(F.col("expects"), F.forall("_wanted", hit)).alias("extracted")).join(ranks, ["case_id", "claim_id"], "left")
     w = F.col("weight")
-    total_w, passage_w = F.nullif(F.sum(w), F.lit(0.0)), F.nullif(F.sum(F.when(F.size("passages") > 0, w)), F.lit(0.0))
+    total_w, passage_w = F.nullif(F.sum(w), F.lit(0.0)), F.nullif(F.sum(F.when(F.col("expects"), w)), F.lit(0.0))
     share = lambda cond: F.sum(F.when(cond, w).otherwise(0.0)) / total_w
     out = c.groupBy("case_id").agg(
         share(F.col("evident")).alias("evidence_coverage"),

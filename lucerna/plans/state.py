@@ -182,15 +182,16 @@ def grade_components(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     w = Window.partitionBy("case_id").orderBy("doc_id")
     docs = table(spark, d, "documents").select("doc_id", "text", F.floor(i / 40).alias("case_id"), F.concat(F.lit("https://h"), i.cast("string"), F.lit(".example/p")).alias("url"))
-    docs = docs.withColumn("pos", F.row_number().over(w))
     word = F.regexp_extract("text", "[A-Za-z]{4,}", 0)
     passage = F.struct("url", F.substring("text", 1, 40).alias("text"))
-    claims = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).join(docs, "doc_id").select(
+    # what a claim takes of a text is cut where the text is read
+    named = docs.select("doc_id", "case_id", "url", F.when(word != "", F.array(word)).otherwise(F.array().cast("array<string>")).alias("patterns"), passage.alias("passage"))
+    claims = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).join(named, "doc_id").select(
         "case_id", F.col("doc_id").alias("claim_id"), F.when(F.col("quality") == 1, 2.0).otherwise(1.0).alias("weight"), F.array("url").alias("source_urls"),
-        F.when(word != "", F.array(word)).otherwise(F.array().cast("array<string>")).alias("patterns"), F.array().cast("array<string>").alias("concepts"),
-        F.when(i % 5 != 0, F.array(passage)).otherwise(F.array().cast("array<struct<url:string,text:string>>")).alias("passages"),
+        "patterns", F.array().cast("array<string>").alias("concepts"),
+        F.when(i % 5 != 0, F.array("passage")).otherwise(F.array().cast("array<struct<url:string,text:string>>")).alias("passages"),
     )
-    results = docs.where(i % 3 != 0).select("case_id", "pos", "url", "text", F.lit(None).cast("int").alias("token_count"))
+    results = docs.withColumn("pos", F.row_number().over(w)).where(i % 3 != 0).select("case_id", "pos", "url", "text", F.lit(None).cast("int").alias("token_count"))
     return grading.grade(claims, results).drop("total", "classification")
 
 
