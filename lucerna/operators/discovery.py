@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,20 +172,23 @@ def _joined(lists: list[DataFrame]) -> DataFrame:
     return first.select("question", place.alias("pos"), "url", "title")
 
 
-def chained(questions: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def chained(questions: DataFrame, answers: DataFrame | Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Discovery as one plan: engines in turn, later ones to widen, a few words where results are thin, the dominant site last.
 
     ``questions``: question (the text, unique); ``answers`` as ``walked`` takes them,
-    of the questions and of what is derived from them.  Returns (question, engine,
+    of the questions and of what is derived from them, or a function that gives the
+    answers to what is asked (asked, distinct), so that nothing else is.  Returns (question, engine,
     status, follow_up) and the candidates (question, pos, url, title).  A question's
     lists are a search's, so they stay small.
     """
     asked = saved(questions.select(F.col("question").alias("asked")).where("asked IS NOT NULL").distinct(), "asked")
-    first, own = walked(asked, answers)
+    ask = answers if callable(answers) else lambda rows: answers.join(rows, "asked", "left_semi")
+    got = saved(ask(asked), "answers")
+    first, own = walked(asked, got)
     own = own.withColumnRenamed("asked", "question")
     # later engines add what is new, up to a ceiling that the first list may exceed
     answering = first.where("status = 'success'").select("asked", F.col("engine_order").alias("_at"))
-    later = answers.where("status = 'success'").join(answering, "asked").where("engine_order > _at").select(F.col("asked").alias("question"), "engine_order", F.posexplode("candidates").alias("k", "c"))
+    later = got.where("status = 'success'").join(answering, "asked").where("engine_order > _at").select(F.col("asked").alias("question"), "engine_order", F.posexplode("candidates").alias("k", "c"))
     later = later.groupBy("question", F.col("c.url").alias("url")).agg(F.min(F.struct("engine_order", "k", F.col("c.title").alias("title"))).alias("f"))
     later = later.join(own.select("question", "url"), ["question", "url"], "left_anti").select("question", "url", "f.title", F.row_number().over(Window.partitionBy("question").orderBy("f.engine_order", "f.k")).alias("pos"))
     held = own.groupBy("question").agg(F.countDistinct("url").alias("n"))
@@ -193,13 +198,13 @@ def chained(questions: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFr
     good = first.where("status = 'success'").select(F.col("asked").alias("question"))
     thin = good.join(wide.groupBy("question").agg(F.count("*").alias("n")), "question", "left").where(F.coalesce("n", F.lit(0)) < THIN).select("question", follow_up(F.col("question")).alias("asked")).where("asked IS NOT NULL")
     thin = saved(thin, "thin")
-    second, more = walked(thin, answers)
+    second, more = walked(thin, ask(thin.select("asked").distinct()))
     spent = thin.join(second.where("status = 'success'").select("asked"), "asked")
     wide = saved(_joined([wide, more.join(thin, "asked").select("question", "pos", "url", "title")]), "followed")
 
     again = good.join(spent.withColumnRenamed("asked", "spent"), "question", "left").select("question", F.coalesce("spent", follow_up(F.col("question")), "question").alias("asked"), "spent")
     scoped = saved(scoped_question(again, wide).select("question", F.col("scoped").alias("asked")), "scoped")
-    _, deep = walked(scoped, answers)
+    _, deep = walked(scoped, ask(scoped.select("asked").distinct()))
     deep = deep.join(scoped, "asked").select("question", "asked", "pos", "url", "title").join(wide.select("question", "url"), ["question", "url"], "left_anti")
     # what the site adds leads, in turns with what was there
     turn = lambda order: F.row_number().over(Window.partitionBy("question").orderBy(order))

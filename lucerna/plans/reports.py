@@ -9,6 +9,7 @@ from lucerna.functions import scoring, texts, urls
 from lucerna.operators import contracts, discovery, ranking, runs, store
 from lucerna.plans import evidence
 from lucerna.plans.registry import registry
+from lucerna.session import saved
 from lucerna.sources.readers import table
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -148,24 +149,35 @@ def discovery_chain(spark: SparkSession, d: str) -> DataFrame:
     """Users' questions through the whole chain; engines answer with pages, by the length of what is asked of them."""
     asked = table(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("question")).where("question <> ''").distinct()
     pages = table(spark, d, "pages").select(F.col("page_id"), "url", F.coalesce(texts.title_of(F.col("html")), F.lit("")).alias("title"))
+    pages = saved(pages, "pages")
     n = pages.agg(F.count("*").alias("n_pages"))
     engines = F.explode(F.array(*[F.struct(F.lit(k).alias("engine_order"), F.lit(e).alias("engine")) for k, e in enumerate(("first", "second", "third"))])).alias("e")
 
     def answered(rows: DataFrame) -> DataFrame:
+        # numbers, not the questions, meet the pages
+        rows = saved(rows.select("asked").withColumn("n", F.monotonically_increasing_id()), "asked")
         h = F.pmod(F.xxhash64("asked", "e.engine"), F.lit(1_000_003))
-        x = rows.select("asked", engines).join(F.broadcast(n)).withColumn("h", h)
+        x = rows.select("n", "asked", engines).join(F.broadcast(n)).withColumn("h", h)
         status = F.when(F.col("h") % 9 < 2, "blocked").when(F.col("h") % 9 == 2, "error").when(F.col("h") % 9 == 3, "empty").otherwise("success")
-        x = x.select("asked", "e.engine", "e.engine_order", status.alias("status"), F.explode(F.transform(F.sequence(F.lit(0), 2 + F.col("h") % 9), lambda k: F.struct(k.alias("k"), F.pmod(F.col("h") + k * 37, F.col("n_pages")).alias("page_id")))).alias("c"))
-        x = x.select("asked", "engine", "engine_order", "status", "c.k", "c.page_id").join(pages, "page_id", "left")
+        x = x.select("n", "e.engine", "e.engine_order", status.alias("status"), F.explode(F.transform(F.sequence(F.lit(0), 2 + F.col("h") % 9), lambda k: F.struct(k.alias("k"), F.pmod(F.col("h") + k * 37, F.col("n_pages")).alias("page_id")))).alias("c"))
+        x = x.select("n", "engine", "engine_order", "status", "c.k", "c.page_id").join(pages, "page_id", "left")
         listed = F.transform(F.sort_array(F.collect_list(F.when(F.col("status") == "success", F.struct("k", "url", "title")))), lambda c: F.struct(c["url"].alias("url"), c["title"].alias("title")))
-        return x.groupBy("asked", "engine", "engine_order", "status").agg(listed.alias("candidates"))
+        x = x.groupBy("n", "engine", "engine_order", "status").agg(listed.alias("candidates"))
+        return x.join(rows, "n").select("asked", "engine", "engine_order", "status", "candidates")
 
     few = asked.select(discovery.follow_up(F.col("question")).alias("asked")).where("asked IS NOT NULL")
-    plain = asked.select(F.col("question").alias("asked")).unionByName(few).distinct()
-    # what a dominant site may be asked: each site of what is found, with either wording
-    first = answered(plain)
-    sites = first.select("asked", F.explode("candidates").alias("c")).select("asked", urls.site(urls.host(F.col("c.url"))).alias("site")).distinct()
-    scoped = sites.select(F.concat(F.lit("site:"), "site", F.lit(" "), "asked").alias("asked"))
-    told, found = discovery.chained(asked, first.unionByName(answered(scoped)))
+    plain = saved(asked.select(F.col("question").alias("asked")).unionByName(few).distinct(), "plain")
+
+    def reached(rows: DataFrame) -> DataFrame:
+        """Answers to questions, and to what a dominant site may be asked: each site of what is found, with either wording."""
+        rows = saved(rows, "reached")
+        scoping = r"(?s)^site:([^ ]*) (.*)$"
+        told = rows.where(F.col("asked").rlike(scoping)).select("asked", F.regexp_extract("asked", scoping, 1).alias("site"), F.regexp_extract("asked", scoping, 2).alias("wording"))
+        worded = plain.join(told.select(F.col("wording").alias("asked")).distinct(), "asked", "left_semi")
+        sites = answered(worded).select(F.col("asked").alias("wording"), F.explode("candidates").alias("c")).select("wording", urls.site(urls.host(F.col("c.url"))).alias("site"))
+        scoped = told.join(sites, ["site", "wording"], "left_semi").select("asked")
+        return answered(rows.join(plain, "asked", "left_semi").unionByName(scoped).distinct())
+
+    told, found = discovery.chained(asked, reached)
     lists = found.groupBy("question").agg(F.count("*").alias("n_candidates"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"]), " "), 256).alias("urls_sha256"))
     return told.join(lists, "question", "left").select(F.sha2("question", 256).alias("question_sha256"), "engine", "status", "follow_up", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), "urls_sha256")

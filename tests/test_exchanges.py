@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lucerna.operators import grading
+from lucerna.operators import discovery, grading
 
 
 def exchanged(df) -> list[str]:
@@ -31,3 +31,22 @@ def test_a_cases_texts_are_not_dealt_with_each_of_its_claims(spark):
         assert (r[1]["extraction"], r[1]["evidence_coverage"], r[2]["extraction"], r[2]["token_budget"]) == (2.5, 10.0, None, 5.0)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_chain_asks_engines_nothing_but_what_it_needs(spark):
+    long = "Which retention rules does the archive of alpha registers apply to old tables"
+    few = "retention archive alpha registers"
+    pages = [[(f"https://docs.alpha{k}.example/{w}", w)] for k, w in enumerate(("one", "two"))]
+    rows = [(q, e, k, "success", pages[k]) for q in (long, few, "never asked", f"site:alpha0.example {long}") for k, e in enumerate(("first", "second"))]
+    answers = spark.createDataFrame(rows, "asked string, engine string, engine_order int, status string, candidates array<struct<url:string,title:string>>")
+    asked = []
+
+    def reached(wanted):
+        asked.extend(r[0] for r in wanted.collect())
+        return answers.join(wanted, "asked", "left_semi")
+
+    questions = spark.createDataFrame([(long,)], "question string")
+    told, found = discovery.chained(questions, reached)
+    want, listed = discovery.chained(questions, answers)
+    assert told.collect() == want.collect() and found.sort("pos").collect() == listed.sort("pos").collect() and found.count() == 2
+    assert long in asked and "never asked" not in asked and len(asked) == len(set(asked)) <= 3
