@@ -27,31 +27,58 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first.select(*[F.col(f"_e.{c}").alias(c) for c in df.columns])
 
 
+#: Counters by which shingles are ordered.
+COUNTERS = 1 << 18
+
+
+def _probes(sets: DataFrame, origin: str, least: float) -> DataFrame:
+    """(origin, id, n, pos, h): the first n - ceil(least n) + 1 shingles of each set, the rare ones first.
+
+    How rare a shingle is, is read from one of COUNTERS counters that it shares
+    with others: any order serves, if it is the same for all sets, and a common
+    shingle never hides in a low counter.  So no shingle is dealt to be counted,
+    and those of the prefixes alone go on.
+    """
+    counted = sets.select(F.explode("s").alias("h")).groupBy(F.pmod("h", F.lit(COUNTERS)).cast("int").alias("at")).agg(F.count("*").alias("n"))
+    counts = np.zeros(COUNTERS, np.int64)
+    for at, n in counted.collect():
+        counts[at] = n
+    kinds = [sets.schema[c].dataType.simpleString() for c in (origin, "id")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column("s").flatten().to_numpy()
+            size = b.column("s").value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((h, counts[h % COUNTERS], row))
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            first = np.flatnonzero(pos < (size - np.ceil(size * least - 1e-9) + 1)[row])
+            own = pa.array(row[first])
+            columns = [b.column(origin).take(own), b.column("id").take(own), pa.array(size[row[first]], pa.int32()), pa.array(pos[first], pa.int32()), pa.array(h[order[first]])]
+            yield pa.record_batch(columns, names=[origin, "id", "n", "pos", "h"])
+
+    return sets.select(origin, "id", "s").mapInArrow(run, f"`{origin}` {kinds[0]}, id {kinds[1]}, n int, pos int, h long")
+
+
 def jaccard_pairs(df: DataFrame, origin: str, text: str, key: str, least: float) -> DataFrame:
     """Pairs of an origin's texts whose 3-word shingle sets have that Jaccard similarity, by prefix filtering.
 
-    Shingles are ordered by how rare they are; texts that similar must share one
+    Shingles are ordered by about how rare they are; texts that similar must share one
     of the first n - ceil(least n) + 1, so only those are joined, where sizes and
     places leave enough to share, then verified.  Equal texts are one class, met once.
     """
     sets = df.groupBy(origin, F.sha2(F.col(text), 256).alias("digest")).agg(F.min(key).alias("id"), F.first(text).alias("text"))
-    sets = sets.select(origin, "id", F.transform(texts.shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("s"))
+    sets = sets.select(origin, "id", F.array_distinct(F.transform(texts.shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("s"))
     sets = saved(sets, "sets").where(F.size("s") > 0)
-    rows = sets.select(origin, "id", F.explode(F.array_distinct("s")).alias("h"))
-    counts = rows.groupBy(origin, "h").agg(F.count("*").alias("df"))
-    ranked = rows.join(counts, [origin, "h"]).groupBy(origin, "id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("r"))
-    n = F.size("r")
-    ranked = ranked.select(origin, "id", F.transform("r", lambda x: x.h).alias("all"), F.transform(F.slice("r", 1, (n - F.ceil(n * least) + 1).cast("int")), lambda x: x.h).alias("prefix"))
-    ranked = saved(ranked, "ranked")
-    probe = ranked.select(origin, "id", F.size("all").alias("n"), F.posexplode("prefix").alias("pos", "h"))
+    probe = saved(_probes(sets, origin, least), "probes")
     a, b = probe.alias("a"), probe.alias("b")
     # what can still be shared from the first shared shingle on has to be enough
     enough = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= F.ceil((F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
     near = (F.col("a.n") >= F.col("b.n") * least) & (F.col("b.n") >= F.col("a.n") * least) & enough
     pairs = a.join(b, (F.col(f"a.{origin}") == F.col(f"b.{origin}")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & near)
     pairs = pairs.select(F.col(f"a.{origin}").alias(origin), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
-    left = ranked.select(F.col("id").alias("left_id"), F.col("all").alias("x"))
-    right = ranked.select(F.col("id").alias("right_id"), F.col("all").alias("y"))
+    left = sets.select(F.col("id").alias("left_id"), F.col("s").alias("x"))
+    right = sets.select(F.col("id").alias("right_id"), F.col("s").alias("y"))
     both = pairs.join(left, "left_id").join(right, "right_id")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select(origin, "left_id", "right_id", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).where(F.col("jaccard") >= least)

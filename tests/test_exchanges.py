@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from lucerna import session
-from lucerna.operators import cache, discovery, grading
+from lucerna.operators import cache, dedup, discovery, grading
 
 
 def exchanged(df) -> list[str]:
@@ -65,3 +66,24 @@ def test_a_put_leaves_nothing_but_its_results(spark, tmp_path, monkeypatch):
     # decisions, entries written, aliases and index of each batch
     assert sorted(p.name.split("-")[1] for p in tmp_path.iterdir()) == sorted(["decisions", "written", "aliases", "index"] * 2)
     assert "signature" not in now.index.columns and now.entries.count() and decisions.count() == 7
+
+
+def test_shingles_outside_the_prefixes_are_not_dealt(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    for k in range(40):
+        text = ["all", "share", "these", "words"] + rng.sample(words, 120)
+        rows += [(2 * k, "s", " ".join(text)), (2 * k + 1, "s", " ".join(text[: 124 - k % 20] + ["other"] * (k % 9)))]
+    rows += [(100, "s", rows[0][2]), (101, "t", rows[0][2]), (102, "s", ""), (103, "s", None), (104, None, "a b c d"), (105, None, "a b c d e")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    got = {(r.left_id, r.right_id): r.jaccard for r in dedup.jaccard_pairs(df, "source", "text", "doc_id", 0.8).collect()}
+    cut = {k: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for k, s, t in rows if s == "s" and t and k not in (1, 100)}
+    want = {(a, b): len(cut[a] & cut[b]) / len(cut[a] | cut[b]) for a in cut for b in cut if a < b}
+    assert got == {p: j for p, j in want.items() if j >= 0.8} and 20 < len(got) < 40
+    # two tables: the sets once, and no more of their shingles than the prefixes hold
+    names = {p.name.split("-")[1]: f"file://{p}" for p in tmp_path.iterdir()}
+    assert sorted(names) == ["probes", "sets"]
+    sets = spark.read.parquet(names["sets"]).selectExpr("sum(size(s))").first()[0]
+    assert spark.read.parquet(names["probes"]).count() < 0.25 * sets
