@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions import texts
-from lucerna.session import dealt, saved
+from lucerna.session import dealt, dropped, saved
 
 K1, B = 1.2, 0.75
 
@@ -20,6 +20,17 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return terms.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
+def row_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The same where ``key`` is unique: each text is counted where it is read, and nothing is dealt by document."""
+    terms = dealt(docs.select(key, text)).select(key, F.array_sort(texts.words(F.col(text))).alias("w"))
+    n = F.size("w")
+    # where each run of equal words starts, from 1, and one beyond the last
+    starts = F.filter(F.sequence(F.lit(1), n + 1), lambda i: (i == 1) | (i > n) | (F.get("w", i - 1) != F.get("w", i - 2)))
+    runs = F.transform(F.slice(F.col("s"), 1, F.size("s") - 1), lambda i, k: F.struct(F.get("w", i - 1).alias("term"), (F.get("s", k + 1) - i).cast("long").alias("tf")))
+    found = terms.where(n > 0).select(key, "w", n.alias("length"), starts.alias("s")).select(key, "length", F.explode(runs).alias("r"))
+    return found.select(key, "r.term", "length", "r.tf")
+
+
 def query_terms(question, limit: int | None = None):
     found = F.array_distinct(texts.words(question))
     return F.slice(found, 1, limit) if limit else found
@@ -82,9 +93,11 @@ class Postings:
     def upsert(self, docs: DataFrame, key: str, text: Column) -> int:
         """Replaces the postings of these documents; a null text leaves none.  ``key`` is unique; returns the version."""
         own = saved(docs.select(F.col(key).cast("string").alias("key"), text.alias("text")), "upsert")
-        rows = postings(own.where("text IS NOT NULL"), "key", "text")
+        rows = row_postings(own.where("text IS NOT NULL"), "key", "text")
         length = F.when(F.col("text").isNotNull(), F.size(texts.words(F.col("text"))))
-        return self._write(rows, own.select("key", length.alias("length")))
+        version = self._write(rows, own.select("key", length.alias("length")))
+        dropped(self.spark, own)
+        return version
 
     def delete(self, keys: DataFrame, key: str) -> int:
         gone = keys.select(F.col(key).cast("string").alias("key"), F.lit(None).cast("int").alias("length"))
@@ -120,6 +133,7 @@ class Postings:
             for v in older:
                 path, files = self._folder(f"{name}/version={v}")
                 files.delete(path, True)
+        dropped(self.spark, documents)
         return version
 
     def search(self, queries: DataFrame, query_key: str, k: int) -> DataFrame:

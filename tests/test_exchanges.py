@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lucerna import session
-from lucerna.operators import cache, dedup, discovery, grading
+from lucerna.operators import cache, dedup, discovery, grading, retrieval
 
 
 def exchanged(df) -> list[str]:
@@ -87,3 +89,16 @@ def test_shingles_outside_the_prefixes_are_not_dealt(spark, tmp_path, monkeypatc
     assert sorted(names) == ["probes", "sets"]
     sets = spark.read.parquet(names["sets"]).selectExpr("sum(size(s))").first()[0]
     assert spark.read.parquet(names["probes"]).count() < 0.25 * sets
+
+
+def test_an_upsert_deals_nothing_by_document(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    docs = spark.createDataFrame([("a", "one Two two one one"), ("b", ""), ("c", None), ("d", "x"), ("e", "b a b")], "key string, text string")
+    own = retrieval.row_postings(docs.where("text IS NOT NULL"), "key", "text")
+    assert not exchanged(own) and own.dtypes == retrieval.postings(docs, "key", "text").dtypes
+    want = sorted(map(tuple, retrieval.postings(docs.where("text IS NOT NULL"), "key", "text").collect()))
+    assert sorted(map(tuple, own.collect())) == want and ("a", "two", 5, 2) in want
+    index = retrieval.Postings(spark, f"file://{tmp_path}/index")
+    index.upsert(docs, "key", F.col("text"))
+    index.merge()
+    assert [p.name for p in tmp_path.iterdir()] == ["index"] and index.rows().count() == len(want)
