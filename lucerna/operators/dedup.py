@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,9 +101,20 @@ def slot_hash(text: Column, seed: int) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 13))
 
 
+def _starts(seeds: int) -> np.ndarray:
+    return np.array([(2166136261 ^ ((s + 1) * 0x9E3779B1 & _MASK)) & _MASK for s in range(seeds)], np.uint32)
+
+
+def _avalanche(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    return x
+
+
 def signature(shingles: list[str], seeds: int = SLOTS) -> list[int]:
     """The least hash of the shingles under each seed."""
-    start = np.array([(2166136261 ^ ((s + 1) * 0x9E3779B1 & _MASK)) & _MASK for s in range(seeds)], np.uint32)
+    start = _starts(seeds)
     best = np.full(seeds, _MASK, np.uint32)
     for at in range(0, len(shingles), 2048):
         some = sorted(shingles[at : at + 2048], key=len)
@@ -115,29 +127,111 @@ def signature(shingles: list[str], seeds: int = SLOTS) -> list[int]:
             live = x[int(np.searchsorted(lens, j, "right")) :]
             live ^= grid[len(x) - len(live) :, j, None]
             live *= np.uint32(16777619)
-        x ^= x >> np.uint32(16)
-        x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
-        best = np.minimum(best, x.min(0))
+        best = np.minimum(best, _avalanche(x).min(0))
     return best.astype(np.int64).tolist()
 
 
+#: Words of a batch that get a table at most (1.3 KB each), how often they have to occur, and shingles hashed at once.
+WORDS, OFTEN, STEP = 16384, 8, 1024
+
+
+class _Words:
+    """The hashes of ``signature`` for a batch's 3-word shingles, most of them a word at a time instead of a letter at a time.
+
+    A letter below 256 changes nothing of a state but its low byte before the
+    state is multiplied, and low bytes follow from low bytes.  So what a space and
+    a word make of a state is the state times a power, plus a number that depends
+    on the word and the state's low byte: a table of 256.  Frequent words have
+    one; the others, and words with other letters, go by their letters.
+    """
+
+    def __init__(self, words: pa.Array, codes: np.ndarray, seeds: int):
+        self.letters = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
+        self.size = pc.utf8_length(words).to_numpy()
+        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.start = _starts(seeds)
+        n = np.bincount(codes, minlength=len(words))
+        if len(words):
+            n[np.maximum.reduceat(self.letters, self.at) > 255] = 0
+        often = np.argsort(-n, kind="stable")[:WORDS]
+        often = often[n[often] >= OFTEN]
+        self.row = np.full(len(words), -1)
+        self.row[often] = np.arange(len(often))
+        self.first = self._spelt(np.repeat(self.start[None], len(often), 0), often, False)
+        low = np.repeat(np.arange(256, dtype=np.uint32)[None], len(often), 0)
+        self.power = np.array([pow(16777619, k + 1, 1 << 32) for k in self.size[often].tolist()], np.uint32)
+        self.table = self._spelt(low.copy(), often, True) - low * self.power[:, None]
+
+    def _spelt(self, x: np.ndarray, codes: np.ndarray, spaced: bool) -> np.ndarray:
+        """The states x after the letters of their words, with a space before them if asked for."""
+        if not len(codes):
+            return x
+        if spaced:
+            x ^= np.uint32(32)
+            x *= np.uint32(16777619)
+        order = np.argsort(-self.size[codes], kind="stable")
+        less, at, y = -self.size[codes][order], self.at[codes][order], x[order]
+        for j in range(-int(less[0])):
+            live = int(np.searchsorted(less, -j))
+            y[:live] ^= self.letters[at[:live] + j, None]
+            y[:live] *= np.uint32(16777619)
+        x[order] = y
+        return x
+
+    def hashes(self, codes: np.ndarray) -> np.ndarray:
+        """Of the shingle that starts at each word but the last two, under each seed."""
+        x = np.repeat(self.start[None], len(codes) - 2, 0)
+        for k in range(3):
+            own = codes[k : k + len(x)]
+            row = self.row[own]
+            rare = np.flatnonzero(row < 0)
+            spelt = self._spelt(x[rare], own[rare], k > 0)
+            if len(rare) < len(row):
+                if not k:
+                    x = self.first[row]
+                else:
+                    index = np.bitwise_and(x, np.uint32(255)).astype(np.intp)
+                    index += (np.maximum(row, 0) * 256)[:, None]
+                    x *= self.power[row][:, None]
+                    x += self.table.ravel().take(index)
+            x[rare] = spelt
+        return _avalanche(x)
+
+
+def _signatures(lists: pa.Array, seeds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists of words: the places of those of three words or more, and a row of least hashes for each of them."""
+    size = lists.value_lengths().fill_null(0).to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    words = _Words(coded.dictionary, codes, seeds)
+    row = np.repeat(np.arange(len(size)), size)
+    best = np.full((len(size), seeds), _MASK, np.uint32)
+    for at in range(0, len(codes) - 2, STEP):
+        some = codes[at : at + STEP + 2]
+        own, last = row[at : at + len(some) - 2], row[at + 2 : at + len(some)]
+        x, own = words.hashes(some)[own == last], own[own == last]
+        if len(own):
+            cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            best[own[cut]] = np.minimum(best[own[cut]], np.minimum.reduceat(x, cut))
+    kept = np.flatnonzero(size > 2)
+    return kept, best[kept]
+
+
 def minhash(df: DataFrame, key: str, text: str, seeds: int = SLOTS) -> DataFrame:
     """(key, signature) over the distinct 3-word shingles of each text; no row without a shingle.
 
-    All seeds of a text are hashed at once in numpy, over Arrow batches.
+    Words alone travel; their shingles are hashed in numpy, many texts at once.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [signature(s, seeds) for s in b.column("s").to_pylist()]
-            yield pa.record_batch([b.column("k"), pa.array(found, pa.list_(pa.int64()))], names=[key, "signature"])
+            kept, found = _signatures(b.column("w"), seeds)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * seeds), pa.array(found.ravel().astype(np.int64)))
+            yield pa.record_batch([b.column("k").take(pa.array(kept)), lists], names=[key, "signature"])
 
-    # texts of fewer words have no shingle: counted first, so that shingles are made once
-    some = dealt(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).where(F.regexp_count(F.lower("t"), F.lit(r"[\p{L}\p{N}]+")) > 2)
-    cut = some.select("k", texts.shingles(F.col("t")).alias("s"))
-    return cut.mapInArrow(run, f"`{key}` {kind}, signature array<long>")
+    some = dealt(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).select("k", texts.words(F.col("t")).alias("w"))
+    return some.mapInArrow(run, f"`{key}` {kind}, signature array<long>")
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,63 @@ def test_batches_equal_one_put_after_the_other(spark, monkeypatch, near, round_s
         assert now.index.count() == cache.BANDS * len(signed) and {r["canonical_url"] for r in now.index.select("canonical_url").collect()} == signed
 
 
+@pytest.mark.parametrize("near", [None, 0.9])
+def test_batches_with_pages_that_change_and_return_equal_one_put_after_the_other(spark, near):
+    """Pages that were put before, that show several texts, nothing at first, or near copies of what others show."""
+    rng = random.Random(8)
+    texts, now, state = _texts(rng, 6), None, ({}, {})
+    for start in (0, 1000, 2000):
+        rows = _puts(rng, texts, 60, start, 25) + [(start + 500, "https://a.example/none", None, None, ""), (start + 501, "https://a.example/none", texts[0], None, "")]
+        puts = spark.createDataFrame(rows, SCHEMA)
+        now, decisions, _ = cache.put(now or cache.empty(puts), puts, near)
+        want, *state = _sequential(rows, near, state)
+        assert {r["seq"]: (r["canonical_url"], r["representative"], r["rule"]) for r in decisions.collect()} == want
+
+
+@pytest.mark.parametrize("near", [None, 0.9])
+def test_puts_of_known_pages_need_no_round(spark, monkeypatch, near):
+    """However many known pages change their texts: where they go is known, and nobody asks for what they show."""
+    page = lambda i, add: (add + i, f"https://a.example/{i}", f"a text of its own {i * i} {add} {i}", None, "")
+    puts = spark.createDataFrame([page(i, 0) for i in range(20)], SCHEMA)
+    now, _, _ = cache.put(cache.empty(puts), puts, near)
+    monkeypatch.setattr(cache, "_round", lambda *a: pytest.fail("a round"))
+    now, decisions, _ = cache.put(now, spark.createDataFrame([page(i, 100) for i in range(20)], SCHEMA), near)
+    assert {(r["representative"], r["rule"]) for r in decisions.collect()} == {(f"https://a.example/{i}", "alias") for i in range(20)}
+    assert {r["seq"] for r in now.entries.collect()} == set(range(100, 120))
+
+
+def test_groups_of_near_copies_share_a_round(spark, monkeypatch):
+    """Puts of an origin that can't meet are folded at once, even where there are more of them than a round takes."""
+    rounds = []
+    real = cache._round
+    monkeypatch.setattr(cache, "_round", lambda *a: rounds.append(a) or real(*a))
+    monkeypatch.setattr(cache, "ROUND", 4)
+    rng = random.Random(4)
+    rows = []
+    for g in range(8):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(120)]
+        for k in range(3):
+            rows.append((3 * g + k, f"https://a.example/{g}/{k}", " ".join(base + [f"end{k}"]), None, ""))
+    puts = spark.createDataFrame(rows, SCHEMA)
+    _, decisions, _ = cache.put(cache.empty(puts), puts, 0.9)
+    want, *_ = _sequential(rows, 0.9)
+    assert {r["seq"]: (r["canonical_url"], r["representative"], r["rule"]) for r in decisions.collect()} == want
+    assert len(rounds) == 1 and "near" in {w[2] for w in want.values()}
+
+
+@pytest.mark.parametrize(("words", "often", "step"), [(16384, 8, 1024), (5, 2, 64)])
+def test_shingles_hash_alike_by_words_and_by_letters(monkeypatch, words, often, step):
+    for name, value in (("WORDS", words), ("OFTEN", often), ("STEP", step)):
+        monkeypatch.setattr(dedup, name, value)
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdeéßÿ") for _ in range(rng.randint(1, 9))) for _ in range(40)] + ["слово", "日本", "ā", "𝒳"]
+    lists = [[rng.choice(vocabulary) for _ in range(n)] for n in (0, 1, 2, 3, 4, 63, 64, 65, 66, 700)] + [None, ["x"] * 5]
+    kept, found = dedup._signatures(pa.array(lists, pa.list_(pa.string())), 64)
+    want = {i: dedup.signature([" ".join(w[k : k + 3]) for k in range(len(w) - 2)]) for i, w in enumerate(lists) if w and len(w) > 2}
+    assert dict(zip(kept.tolist(), found.tolist())) == want
+    assert not len(dedup._signatures(pa.array([], pa.list_(pa.string())), 64)[0])
+
+
 def test_settled_copies_need_no_round(spark, monkeypatch):
     """Any number of copies of a text that nothing else touches is decided by joins."""
     monkeypatch.setattr(cache, "_round", lambda *a: pytest.fail("a round"))
