@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +24,56 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return terms.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
+#: Words of texts that are counted at once.
+COUNTED = 1 << 20
+
+
+def packed_postings(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
+    """(key, bucket, length, terms, tfs) where ``key`` is unique: a row for each bucket of a document's distinct terms, by their CRC-32.
+
+    Each text is counted where it is read, in Arrow batches, and nothing is dealt
+    by document; a document's key goes with a bucket's terms, not with each term.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    names = ["key", "bucket", "length", "terms", "tfs"]
+
+    def counted(keys: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+        size = lists.value_lengths().fill_null(0).to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        bucket = np.array([crc32(t.encode()) % buckets for t in coded.dictionary.to_pylist()], np.int32)
+        # terms in the order of their buckets
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        found, n = np.unique(np.repeat(np.arange(len(size)), size) * len(order) + place[coded.indices.to_numpy()], return_counts=True)
+        doc, term = found // max(1, len(order)), order[found % max(1, len(order))]
+        at = bucket[term]
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])][: len(doc)])
+        cut = pa.array(np.r_[first, len(doc)].astype(np.int32))
+        terms, tfs = coded.dictionary.take(pa.array(term)), pa.array(n.astype(np.int64))
+        columns = [keys.take(pa.array(doc[first])), pa.array(at[first]), pa.array(size[doc[first]], pa.int32())]
+        return pa.record_batch([*columns, pa.ListArray.from_arrays(cut, terms), pa.ListArray.from_arrays(cut, tfs)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = np.cumsum(b.column("w").value_lengths().fill_null(0).to_numpy(), dtype=np.int64) // COUNTED
+            cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)]), len(part)]
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own = b.slice(i, j - i)
+                yield counted(own.column("k"), own.column("w"))
+
+    some = dealt(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))).select("k", texts.words(F.col("t")).alias("w"))
+    return some.mapInArrow(run, f"key {kind}, bucket int, length int, terms array<string>, tfs array<long>")
+
+
+def unpacked(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, term and tf of packed postings: a row for each term."""
+    return rows.select(*keep, F.explode(F.arrays_zip("terms", "tfs")).alias("_r")).select(*keep, F.col("_r.terms").alias("term"), F.col("_r.tfs").alias("tf"))
+
+
 def row_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The same where ``key`` is unique: each text is counted where it is read, and nothing is dealt by document."""
-    terms = dealt(docs.select(key, text)).select(key, F.array_sort(texts.words(F.col(text))).alias("w"))
-    n = F.size("w")
-    # where each run of equal words starts, from 1, and one beyond the last
-    starts = F.filter(F.sequence(F.lit(1), n + 1), lambda i: (i == 1) | (i > n) | (F.get("w", i - 1) != F.get("w", i - 2)))
-    runs = F.transform(F.slice(F.col("s"), 1, F.size("s") - 1), lambda i, k: F.struct(F.get("w", i - 1).alias("term"), (F.get("s", k + 1) - i).cast("long").alias("tf")))
-    found = terms.where(n > 0).select(key, "w", n.alias("length"), starts.alias("s")).select(key, "length", F.explode(runs).alias("r"))
-    return found.select(key, "r.term", "length", "r.tf")
+    """The same as ``postings`` where ``key`` is unique: each text is counted where it is read, and nothing is dealt by document."""
+    return unpacked(packed_postings(docs, key, text, 1), "key", "length").select(F.col("key").alias(key), "term", "length", "tf")
 
 
 def query_terms(question, limit: int | None = None):
@@ -59,11 +104,14 @@ def bm25(queries: DataFrame, index: DataFrame, totals: DataFrame, key: str, quer
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
 
 
+PACKED = "key string, length int, terms array<string>, tfs array<long>"
+
+
 class Postings:
     """Postings that follow upserts and deletions without being rebuilt: two Parquet tables under one folder.
 
-    ``postings`` holds (bucket, term, key, tf, length) by version and by bucket of
-    the term's hash, ``documents`` (key, length) by version; a null length says
+    ``postings`` holds (bucket, key, length, terms, tfs) by version and by bucket of
+    the terms' hash, a row for a document's terms of a bucket, ``documents`` (key, length) by version; a null length says
     that the document is gone.  An upsert writes a version with its own documents
     only; a posting counts if its version is its document's last.  ``merge`` writes
     what counts as one new version and drops the older ones.  One writer at a time:
@@ -84,16 +132,15 @@ class Postings:
 
     def _write(self, rows: DataFrame, documents: DataFrame) -> int:
         version = max(self._versions(), default=0) + 1
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
-        rows = rows.select("term", "key", "tf", "length", bucket.alias("bucket"))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/version={version}")
+        rows = rows.select("key", "length", "terms", "tfs", "bucket")
+        rows.repartition("bucket").sortWithinPartitions("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/version={version}")
         documents.select("key", "length").write.mode("overwrite").parquet(f"{self.path}/documents/version={version}")
         return version
 
     def upsert(self, docs: DataFrame, key: str, text: Column) -> int:
         """Replaces the postings of these documents; a null text leaves none.  ``key`` is unique; returns the version."""
         own = saved(docs.select(F.col(key).cast("string").alias("key"), text.alias("text")), "upsert")
-        rows = row_postings(own.where("text IS NOT NULL"), "key", "text")
+        rows = packed_postings(own.where("text IS NOT NULL"), "key", "text", self.buckets)
         length = F.when(F.col("text").isNotNull(), F.size(texts.words(F.col("text"))))
         version = self._write(rows, own.select("key", length.alias("length")))
         dropped(self.spark, own)
@@ -101,7 +148,7 @@ class Postings:
 
     def delete(self, keys: DataFrame, key: str) -> int:
         gone = keys.select(F.col(key).cast("string").alias("key"), F.lit(None).cast("int").alias("length"))
-        return self._write(self.spark.createDataFrame([], "term string, key string, tf long, length int"), gone)
+        return self._write(self.spark.createDataFrame([], f"{PACKED}, bucket int"), gone)
 
     def documents(self) -> DataFrame:
         """(key, version, length): the last version of each document that is there."""
@@ -109,26 +156,29 @@ class Postings:
         every = reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], "key string, length int, version int"))
         return every.groupBy("key").agg(F.max_by(F.struct("version", "length"), "version").alias("d")).select("key", "d.version", "d.length").where("length IS NOT NULL")
 
-    def rows(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, key, tf, length) of the documents that are there; with ``terms`` (term), those terms' only, read from their buckets."""
+    def _packed(self, only: list[int] | None = None) -> DataFrame:
+        """(key, length, terms, tfs, bucket, version) of all versions, whether they count or not; with ``only``, of these buckets."""
         found = []
-        only = None
-        if terms is not None:
-            only = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).distinct().collect()]
         for v in self._versions():
             path, files = self._folder(f"postings/version={v}")
             if any(x.getPath().getName().startswith("bucket=") for x in files.listStatus(path)):
-                own = self.spark.read.schema("term string, key string, tf long, length int, bucket int").parquet(f"{self.path}/postings/version={v}")
-                found.append((own.where(F.col("bucket").isin(only)) if only is not None else own).drop("bucket").withColumn("version", F.lit(v)))
-        every = reduce(DataFrame.unionByName, found, self.spark.createDataFrame([], "term string, key string, tf long, length int, version int"))
-        if terms is not None:
-            every = every.join(terms.select("term").distinct(), "term", "left_semi")
-        return every.join(self.documents().select("key", "version"), ["key", "version"]).select("term", "key", "tf", "length")
+                own = self.spark.read.schema(f"{PACKED}, bucket int").parquet(f"{self.path}/postings/version={v}")
+                found.append((own.where(F.col("bucket").isin(only)) if only is not None else own).withColumn("version", F.lit(v)))
+        return reduce(DataFrame.unionByName, found, self.spark.createDataFrame([], f"{PACKED}, bucket int, version int"))
+
+    def rows(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, key, tf, length) of the documents that are there; with ``terms`` (term), those terms' only, read from their buckets."""
+        documents = self.documents().select("key", "version")
+        if terms is None:
+            return unpacked(self._packed().join(documents, ["key", "version"]), "key", "length").select("term", "key", "tf", "length")
+        only = [r[0] for r in terms.select((F.crc32("term") % self.buckets).cast("int")).distinct().collect()]
+        every = unpacked(self._packed(only), "key", "length", "version").join(terms.select("term").distinct(), "term", "left_semi")
+        return every.join(documents, ["key", "version"]).select("term", "key", "tf", "length")
 
     def merge(self) -> int:
         """One version with all that counts."""
         older, documents = self._versions(), saved(self.documents(), "documents")
-        version = self._write(self.rows(), documents)
+        version = self._write(self._packed().join(documents.select("key", "version"), ["key", "version"]), documents)
         for name in ("documents", "postings"):
             for v in older:
                 path, files = self._folder(f"{name}/version={v}")

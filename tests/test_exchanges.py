@@ -102,3 +102,22 @@ def test_an_upsert_deals_nothing_by_document(spark, tmp_path, monkeypatch):
     index.upsert(docs, "key", F.col("text"))
     index.merge()
     assert [p.name for p in tmp_path.iterdir()] == ["index"] and index.rows().count() == len(want)
+
+
+def test_postings_carry_a_documents_key_once_a_bucket(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    docs = [(f"d{k}", " ".join(f"t{rng.randrange(90)}" for _ in range(rng.choice([0, 1, 40, 300])))) for k in range(30)] + [("none", None)]
+    index = retrieval.Postings(spark, f"file://{tmp_path}/index", buckets=4)
+    monkeypatch.setattr(retrieval, "COUNTED", 100)
+    rows = retrieval.packed_postings(spark.createDataFrame(docs[:-1], "k string, t string"), "k", "t", 4).collect()
+    want = sorted((t, k, x.split().count(t), len(x.split())) for k, x in docs if x for t in set(x.split()))
+    assert sorted((t, r["key"], n, r["length"]) for r in rows for t, n in zip(r["terms"], r["tfs"])) == want
+    assert len(rows) == len({(r["key"], r["bucket"]) for r in rows}) < len(want) / 5
+    index.upsert(spark.createDataFrame(docs[:20], "k string, t string"), "k", F.col("t"))
+    index.upsert(spark.createDataFrame(docs[10:], "k string, t string"), "k", F.col("t"))
+    version = index.merge()
+    assert spark.read.parquet(f"file://{tmp_path}/index/postings/version={version}").count() == len(rows)
+    assert sorted(map(tuple, index.rows().collect())) == want
+    for term in ("t1", "t89", "elsewhere"):
+        asked = spark.createDataFrame([(term,)], "term string")
+        assert sorted(map(tuple, index.rows(asked).collect())) == [w for w in want if w[0] == term]
